@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import licenses, media, tokens, urls
+from pagewright.llm import licenses, media, substrings, tokens, urls
 from pagewright.llm.blocks import read
 
 
@@ -48,11 +48,29 @@ FROM parts p
 """
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT r, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35),
+windows AS (SELECT s.r, s.i, md5(array_to_string(d.w[s.i:s.i + 34], ' ')) AS k FROM starts s JOIN docs d USING (r)),
+again AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY k) > 1),
+gone AS (SELECT DISTINCT r, i + o AS i FROM again, range(0, 35) t(o)),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM docs),
+kept AS (SELECT words.r, string_agg(word, ' ' ORDER BY words.i) AS text, count(*) AS n FROM words ANTI JOIN gone ON words.r = gone.r AND words.i = gone.i GROUP BY words.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     rows = tokens.count_tokens(docs, tokenizer=tokenizer_path())
     return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_license_scans, op3_url_filters, op10_token_counts)}
-SQL = {"op3_url_filters": OP3_SQL}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_license_scans, op3_url_filters, op7_substring_dedup, op10_token_counts)}
+SQL = {"op3_url_filters": OP3_SQL, "op7_substring_dedup": OP7_SQL}

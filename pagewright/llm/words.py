@@ -103,16 +103,38 @@ def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool
     return mix(out)
 
 
-def run_hashes(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
-    """The hash of each run h[i:i+k]; shorter than h by k-1, and empty if h is too short."""
-    n = len(h) - k + 1
-    if n <= 0:
+def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """The hash of each run h[i:i+k]; shorter than h by k-1, and empty if h is too short.
+
+    A run of 2n values is put together from two runs of n, so the work grows with the logarithm of k.
+    """
+    if len(h) < k:
         return np.empty(0, np.uint64)
-    out = np.full(n, salt, np.uint64)
-    for j in range(k):
-        out *= np.uint64(_STEP)
-        out += h[j : j + n]
-    return mix(out)
+    out, size = None, 0
+    part, width = h, 1
+    while True:
+        if k & width:
+            if out is None:
+                out, size = part, width
+            else:  # the run goes on with what has been put together so far
+                n = len(h) - (width + size) + 1
+                out = part[:n] * np.uint64(pow(_STEP, size, 1 << 64)) + out[width : width + n]
+                size += width
+        if size == k:
+            return mix(out)
+        n = len(part) - width
+        part = part[:n] * np.uint64(pow(_STEP, width, 1 << 64)) + part[width:]
+        width *= 2
+
+
+def sliding(x: np.ndarray, k: int, best: np.ufunc) -> np.ndarray:
+    """best (np.minimum or np.maximum) over each x[i:i+k]; shorter than x by k-1."""
+    width = 1
+    while width * 2 <= k:
+        x = best(x[:-width], x[width:])
+        width *= 2
+    rest = k - width
+    return best(x[: len(x) - rest], x[rest:]) if rest else x
 
 
 def row_ends(first: np.ndarray) -> np.ndarray:

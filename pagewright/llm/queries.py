@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import licenses, media, substrings, tokens, urls
+from pagewright.llm import licenses, media, mixing, substrings, tokens, urls
 from pagewright.llm.blocks import read
 
 
@@ -48,6 +48,53 @@ FROM parts p
 """
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "shards")
+
+
+def _op6_sql(seed: int = 7, blocks: int = mixing.BLOCKS, levels: int = mixing.LEVELS) -> str:
+    tree = ", ".join(
+        f"""tree{i + 1} AS (SELECT source_key, block, draw, shard * 2 + (row_number() OVER (PARTITION BY shard ORDER BY md5('{seed}-{i}:' || source_key || ':' || block || ':' || draw), source_key, block, draw) * 2 > count(*) OVER (PARTITION BY shard) + 1)::INT AS shard FROM tree{i})"""
+        for i in range(levels)
+    )
+    return rf"""
+WITH keyed AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5('{seed}:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(md5(text), '')) AS key, coalesce('=' || source, '') AS source_key
+  FROM documents),
+slim AS (SELECT *, ('0x' || key[1:8])::BIGINT % {blocks} AS block FROM keyed),
+sizes AS (SELECT source_key, source, sum(size)::BIGINT AS source_size FROM slim GROUP BY ALL),
+weighed AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM sizes),
+ranked AS (
+  SELECT *, row_number() OVER o AS place,
+    (sum(source_size) OVER () - coalesce(sum(source_size * 3) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS share
+  FROM weighed WINDOW o AS (ORDER BY source_size * 3 / weight, source NULLS LAST)),
+shared AS (SELECT (SELECT share FROM ranked WHERE source_size * 3 / weight >= share ORDER BY place LIMIT 1) AS share),
+goals AS (SELECT source_key, source_size, least((source_size * 3)::DOUBLE, shared.share * weight) AS target FROM ranked, shared),
+plan AS (
+  SELECT *, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS times,
+    CASE WHEN source_size > 0 THEN round(target)::BIGINT % source_size ELSE 0 END AS rest
+  FROM goals),
+by_block AS (SELECT source_key, block, sum(size)::BIGINT AS block_size FROM slim GROUP BY ALL),
+drawn AS (
+  SELECT source_key, block, source_size, target, times,
+    greatest(0, rest - coalesce(sum(block_size) OVER (PARTITION BY source_key ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS rest
+  FROM by_block JOIN plan USING (source_key)),
+tree0 AS (SELECT source_key, block, unnest(range(1, 1 + times + (rest > 0)::INT)) AS draw, 0 AS shard FROM drawn),
+{tree},
+dealt AS (SELECT source_key, block, list(shard::VARCHAR ORDER BY draw) AS dealt FROM tree{levels} GROUP BY ALL),
+parts AS (
+  SELECT s.doc_id, s.size, d.source_size, d.target, d.times, e.dealt,
+    greatest(0, least(s.size, d.rest - coalesce(sum(s.size) OVER (PARTITION BY s.source_key, s.block ORDER BY s.key, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS part
+  FROM slim s JOIN drawn d USING (source_key, block) LEFT JOIN dealt e USING (source_key, block))
+SELECT doc_id, size, source_size, target, (size * times + part)::BIGINT AS taken,
+  CASE WHEN size > 0 THEN coalesce(array_to_string(dealt[1:times + (part > 0)::INT], ','), '') ELSE '' END AS shards
+FROM parts
+"""
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -72,5 +119,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_license_scans, op3_url_filters, op7_substring_dedup, op10_token_counts)}
-SQL = {"op3_url_filters": OP3_SQL, "op7_substring_dedup": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_license_scans, op3_url_filters, op6_source_mixing, op7_substring_dedup, op10_token_counts)}
+SQL = {"op3_url_filters": OP3_SQL, "op6_source_mixing": _op6_sql(), "op7_substring_dedup": OP7_SQL}

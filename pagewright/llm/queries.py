@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import licenses, media, mixing, substrings, tokens, urls
+from pagewright.llm import licenses, media, mixing, neardup, substrings, tokens, urls
 from pagewright.llm.blocks import read
 
 
@@ -113,11 +113,31 @@ FROM docs LEFT JOIN kept USING (r)
 """
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM docs WHERE len(w) > 0),
+sets AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS s FROM starts),
+sizes AS (SELECT r, count(*) AS n FROM sets GROUP BY r),
+common AS (SELECT a.r AS x, b.r AS y, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+links AS (SELECT x, y FROM common c JOIN sizes p ON p.r = c.x JOIN sizes q ON q.r = c.y WHERE 100 * c.n >= 75 * (p.n + q.n - c.n)),
+sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(r, s) AS (SELECT r, r FROM docs UNION SELECT reach.r, sides.y FROM reach JOIN sides ON reach.s = sides.x),
+lowest AS (SELECT reach.r, min(docs.doc_id) AS component_id FROM reach JOIN docs ON docs.r = reach.s GROUP BY reach.r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM docs JOIN lowest USING (r) LEFT JOIN sizes USING (r)
+"""
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     rows = tokens.count_tokens(docs, tokenizer=tokenizer_path())
     return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_license_scans, op3_url_filters, op6_source_mixing, op7_substring_dedup, op10_token_counts)}
-SQL = {"op3_url_filters": OP3_SQL, "op6_source_mixing": _op6_sql(), "op7_substring_dedup": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_license_scans, op3_url_filters, op6_source_mixing, op7_substring_dedup, op8_minhash_near_dedup, op10_token_counts)}
+SQL = {"op3_url_filters": OP3_SQL, "op6_source_mixing": _op6_sql(), "op7_substring_dedup": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL}

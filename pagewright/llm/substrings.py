@@ -180,7 +180,7 @@ def remove_repeats(df: DataFrame, text: str = "text", *, window: int = WINDOW, p
 
     ddl = "bucket long, block_id long, keys binary, again binary"
     first = branching(blocks.mapInArrow(prefixes, ddl), "prefixes")
-    visit = blocks.join(first, "block_id", "left")
+    visit = blocks.join(first.hint("merge"), "block_id", "left")
     deep = branching(visit.mapInArrow(nodes, ddl), "nodes")
     schema = df.select(*own, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text")).schema
 
@@ -196,4 +196,4 @@ def remove_repeats(df: DataFrame, text: str = "text", *, window: int = WINDOW, p
                 kept = kept_words(rows.column(place), ~gone)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.diff(s.first)), pa.array(np.diff(removed)), kept], [*own, *new])
 
-    return visit.join(deep, "block_id", "left").select("payload", "prefixes", "nodes").mapInArrow(remove, schema)
+    return visit.join(deep.hint("merge"), "block_id", "left").select("payload", "prefixes", "nodes").mapInArrow(remove, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import langid, licenses, lm, media, mixing, neardup, substrings, tokens, urls
+from pagewright.llm import decontam, langid, licenses, lm, media, mixing, neardup, substrings, tokens, urls
 from pagewright.llm.blocks import read
 
 
@@ -58,6 +58,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, ~F.col("held_out")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find_leaks(docs, read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "shards")
@@ -154,5 +160,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_license_scans, op3_url_filters, op4_language_id, op6_source_mixing, op7_substring_dedup, op8_minhash_near_dedup, op9_lm_scoring, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_license_scans, op3_url_filters, op4_language_id, op5_benchmark_decontamination, op6_source_mixing, op7_substring_dedup, op8_minhash_near_dedup, op9_lm_scoring, op10_token_counts)}
 SQL = {"op3_url_filters": OP3_SQL, "op6_source_mixing": _op6_sql(), "op7_substring_dedup": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL}

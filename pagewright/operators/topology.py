@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pagewright.functions.geometry import FRAME_FRACTION, GRID_TOLERANCE, Box, Line, has_center, meets_table, on_page_frame, strictly_has
 from pagewright.functions.text import minted
 from pagewright.operators.assign import nearest, one_or_ambiguous, outer_rectangles, prefixed
+from pagewright.operators.match import cut
 from pagewright.operators.order import boundaries
 
 TILING = (0.8, 1.2)
@@ -39,13 +40,16 @@ def usable(rects: DataFrame, page_w: Column, page_h: Column) -> DataFrame:
 
 
 def grids(rects: DataFrame, page: Sequence[str]) -> Grids:
-    """Infer the grids of pages from usable rectangles."""
+    """Infer the grids of pages from usable rectangles.
+
+    Outer rectangles, members, axes and spans are each used several times, so they are written out once.
+    """
     p = list(page)
-    outers = outer_rectangles(rects, p)
+    outers = cut(outer_rectangles(rects, p))
     o = prefixed(outers.select(*p, "ref", "x", "y", "w", "h"), "o_", p)
     inner = rects.join(outers.select(*p, "ref"), [*p, "ref"], "left_anti")
-    held = one_or_ambiguous(inner, o, p, strictly_has(Box.of("o_"), Box.of()), "ref", "o_ref")
-    members = inner.join(held.where("hits = 1").select(*p, "ref", F.col("o_ref").alias("outer")), [*p, "ref"])
+    held = cut(one_or_ambiguous(inner, o, p, strictly_has(Box.of("o_"), Box.of()), "ref", "o_ref"))
+    members = cut(inner.join(held.where("hits = 1").select(*p, "ref", F.col("o_ref").alias("outer")), [*p, "ref"]))
     key = [*p, "outer"]
     tops = o.select(*p, F.col("o_ref").alias("outer"), "o_x", "o_y", "o_w", "o_h")
     both = members.join(tops, key)
@@ -54,7 +58,7 @@ def grids(rects: DataFrame, page: Sequence[str]) -> Grids:
     for axis, (lo, hi, start, end) in sides.items():
         part = both.select(*key, F.lit(axis).alias("axis"), start.alias("start"), end.alias("end"), F.explode(F.array(lo, hi, start, end)).alias("value"))
         edges = part if edges is None else edges.unionByName(part)
-    axes = boundaries(edges, [*key, "axis"])
+    axes = cut(boundaries(edges, [*key, "axis"]))
     cell_edges = None
     for axis, (lo, hi, _, _) in sides.items():
         for side, value in (("lo", lo), ("hi", hi)):
@@ -65,7 +69,7 @@ def grids(rects: DataFrame, page: Sequence[str]) -> Grids:
         F.max(F.when((F.col("axis") == axis) & (F.col("side") == side), F.col("index"))).alias(name)
         for axis, side, name in (("y", "lo", "row"), ("y", "hi", "row_end"), ("x", "lo", "col"), ("x", "hi", "col_end"))
     ])
-    spans = spans.withColumns({"rowspan": F.col("row_end") - F.col("row"), "colspan": F.col("col_end") - F.col("col")})
+    spans = cut(spans.withColumns({"rowspan": F.col("row_end") - F.col("row"), "colspan": F.col("col_end") - F.col("col")}))
     # Every slot once: spans are positive, their areas sum to the slots of the grid, and no slot is taken twice.
     slots = spans.where("rowspan > 0 AND colspan > 0").select(*key, F.explode(F.sequence(F.col("row"), F.col("row_end") - 1)).alias("r"), "col", "col_end").select(*key, "r", F.explode(F.sequence(F.col("col"), F.col("col_end") - 1)).alias("c"))
     taken = slots.groupBy(*key, "r", "c").agg(F.count(F.lit(1)).alias("n")).groupBy(*key).agg(F.count(F.lit(1)).alias("slots"), F.max("n").alias("most"))
@@ -79,9 +83,10 @@ def grids(rects: DataFrame, page: Sequence[str]) -> Grids:
     )
     order = Window.partitionBy(*p).orderBy("o_y", "o_x", "o_h", "o_w", "outer")
     tables = tops.join(good, key, "left_semi").withColumn("table_index", F.row_number().over(order) - 1).withColumn("table_id", minted("p001-table-", F.col("table_index")))
+    tables = cut(tables)
     cells = spans.join(tables.select(*key, "table_id"), key).withColumn("cell_id", F.format_string("%s-cell-r%03d-c%03d", "table_id", "row", "col"))
-    cells = cells.join(members.select(*key, "ref", "x", "y", "w", "h"), [*key, "ref"])
-    rejected = tops.join(good, key, "left_anti").select(*key)
+    cells = cut(cells.join(members.select(*key, "ref", "x", "y", "w", "h"), [*key, "ref"]))
+    rejected = tops.join(tables.select(*key), key, "left_anti").select(*key)
     return Grids(outers, members, axes.join(tables.select(*key, "table_id"), key), cells, tables, rejected, held.where("hits > 1").select(*p, "ref"))
 
 

@@ -69,7 +69,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train_net(windows: np.ndarray, target: np.ndarray, labels: list[str], *, widths: tuple[int, ...] = WIDTHS, n_filters: int = FILTERS, size: int = EMBEDDING, epochs: int = 10, batch: int = 32, rate: float = 0.01, seed: int = 5) -> ByteNet:
+def train_net(windows: np.ndarray, target: np.ndarray, labels: list[str], *, widths: tuple[int, ...] = WIDTHS, n_filters: int = FILTERS, size: int = EMBEDDING, epochs: int = 10, least_steps: int = 1500, batch: int = 32, rate: float = 0.01, seed: int = 5) -> ByteNet:
     """Adam on cross entropy. Only the largest response of a filter passes a gradient back, to the bytes it covers.
 
     In each round every other window is cut at a random length, as short texts are, and the rate falls to nothing.
@@ -81,7 +81,9 @@ def train_net(windows: np.ndarray, target: np.ndarray, labels: list[str], *, wid
     )
     params = [net.embedding, *net.filters, net.bias, net.dense, net.shift]
     mean, square, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    steps = epochs * -(-len(windows) // batch) + 1
+    a_round = -(-len(windows) // batch)
+    epochs = max(epochs, -(-least_steps // max(1, a_round)))
+    steps = epochs * a_round + 1
     for _ in range(epochs if len(windows) else 0):
         order = rng.permutation(len(windows))
         for lo in range(0, len(order), batch):

@@ -99,7 +99,8 @@ def signatures(df: DataFrame, doc_id: str, text: str, shingle: int, halves: int,
                     ["doc_id", "text_key", "n_shingles", "node", "halves"],
                 )
 
-    schema = rows.select("doc_id", "text_key").withColumns({"n_shingles": F.lit(0).cast("long"), "node": F.lit(b""), "halves": F.array(F.lit(0).cast("long"))}).schema
+    null = F.lit(None)
+    schema = rows.select("doc_id", "text_key", null.cast("long").alias("n_shingles"), null.cast("binary").alias("node"), null.cast("array<long>").alias("halves")).schema
     return rows.mapInArrow(sign, schema)
 
 

@@ -203,11 +203,12 @@ def measured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query()
 def stage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stage passes only if each of its fixtures does."""
-    return gate.stage_decisions(gate.fixture_decisions(measured(spark, sf_dir)[0]))
+    d = gate.stage_decisions(gate.fixture_decisions(measured(spark, sf_dir)[0]))
+    return d.select("stage_id", "fixtures", "minimum", F.round(F.col("average") * F.col("fixtures") * 100).cast("long").alias("hundredths"), "passed")
 
 
 SQL["stage_gate"] = "WITH " + MEASURED.strip() + """
-SELECT stage_id, count(*) AS fixtures, round(min(score), 6) AS minimum, round(avg(score), 6) AS average, bool_and(score >= 70 AND integrity) AS passed FROM m GROUP BY stage_id"""
+SELECT stage_id, count(*) AS fixtures, round(min(score), 6) AS minimum, round(sum(score) * 100)::BIGINT AS hundredths, bool_and(score >= 70 AND integrity) AS passed FROM m GROUP BY stage_id"""
 
 
 @query()

@@ -121,10 +121,10 @@ def changed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(layout.TOKENS_SQL + """
-SELECT doc_id, count(*) AS n, round(sum(CASE WHEN w >= 24 AND w >= 4 * h / 2 THEN round(least(1.0, greatest(0.0, 0.55 + 0.25 * (word_no % 5) / 4 + 0.20 * least(1.0, 4 * w / 595.0))), 6) ELSE 0 END), 4) AS scores, count(*) FILTER (WHERE w >= 24 AND w >= 4 * h / 2) AS kept FROM tokens GROUP BY doc_id""")
+SELECT doc_id, count(*) AS n, floor(sum(CASE WHEN w >= 24 AND w >= 4 * h / 2 THEN round(least(1.0, greatest(0.0, 0.55 + 0.25 * (word_no % 5) / 4 + 0.20 * least(1.0, 4 * w / 595.0))), 6) ELSE 0 END))::BIGINT AS scores, count(*) FILTER (WHERE w >= 24 AND w >= 4 * h / 2) AS kept FROM tokens GROUP BY doc_id""")
 def line_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filter and score of measured line candidates."""
     c = layout.tokens(spark, sf_dir)
     keep = g.is_raw_line(F.col("w"), F.col("h") / 2, 24, 100)
     s = g.line_score((F.col("word_no") % 5) / 4, F.col("w") / 595.0)
-    return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.when(keep, s).otherwise(0.0)), 4).alias("scores"), F.count(F.when(keep, 1)).alias("kept"))
+    return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.floor(F.sum(F.when(keep, s).otherwise(0.0))).cast("long").alias("scores"), F.count(F.when(keep, 1)).alias("kept"))

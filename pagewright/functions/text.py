@@ -8,6 +8,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: the characters that count as white space, as Python's str.isspace has them.
 WHITE = r"[\x09-\x0D\x1C-\x20\x85\xA0  -     　]"
@@ -22,7 +23,7 @@ NARROW = 0.55
 LANGUAGE = "^[A-Za-z0-9_]+$"
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _nfkc(values: pa.Array) -> pa.Array:
     return pa.array([None if v is None else unicodedata.normalize("NFKC", v) for v in values.to_pylist()], pa.string())
 
@@ -52,7 +53,7 @@ def accuracy(expected: Column, observed: Column) -> Column:
     return F.when(longer == 0, 100.0).otherwise(F.round(F.greatest(F.lit(0.0), 100 * (1 - distance / longer)), 6))
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     """Twice the matched characters over all, matching longest blocks first; 1 if both are empty, null for null."""
     out = []
@@ -109,7 +110,7 @@ def edit_runs(expected: str, observed: str) -> tuple[list[str], list[str]]:
     return missing[::-1], extra[::-1]
 
 
-@F.arrow_udf("struct<missing: array<string>, extra: array<string>>")
+@F.arrow_udf(T.StructType([T.StructField("missing", T.ArrayType(T.StringType())), T.StructField("extra", T.ArrayType(T.StringType()))]))
 def text_differences(expected: pa.Array, observed: pa.Array) -> pa.Array:
     rows = []
     for x, y in zip(expected.to_pylist(), observed.to_pylist()):

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewright.functions.geometry import Box, gap_crossed, row_overlap
 from pagewright.functions.text import advance, needs_space
@@ -29,7 +30,7 @@ REGION_KEY = ("y", "x", "w", "h", "ref")
 ELEMENT_KEY = ("y", "x", "h", "w", "type", "ref")
 
 
-@F.arrow_udf("array<int>")
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
 def _grow_rows(ys: pa.Array, hs: pa.Array) -> pa.Array:
     """For boxes in scan order, the row of each: the earliest row with the largest overlap ratio of at least 0.45."""
     out = []
@@ -156,7 +157,7 @@ def segments(slots: DataFrame, band: Sequence[str], width: Column) -> DataFrame:
     return filled.unionByName(gaps).unionByName(tail)
 
 
-@F.arrow_udf("array<int>")
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
 def _plan_lines(ys: pa.Array, hs: pa.Array) -> pa.Array:
     """For texts in scan order, the line of each: largest overlap ratio, then nearest centre, then highest, then first."""
     out = []
@@ -218,7 +219,7 @@ def next_edges(rows: DataFrame, container: Sequence[str], order: Sequence[str],
     return rows.withColumn("target", F.lead(ref).over(w)).where("target is not null").select(*container, F.lit(kind).alias("kind"), F.col(ref).alias("source"), "target")
 
 
-@F.arrow_udf("array<int>")
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
 def _merge_lines(lines: pa.Array, gaps: pa.Array) -> pa.Array:
     """For raw lines in scan order (center, start, end, thickness, ...), the merged line that each one joins."""
     out = []

@@ -11,7 +11,7 @@ from pagewright.operators import validate as v
 from pagewright.sources import layout
 
 PAGE = ["doc_id"]
-W, H = F.lit(layout.PAGE_W), F.lit(layout.PAGE_H)
+W, H = layout.PAGE_W, layout.PAGE_H
 QUERIES, SQL = {}, {}
 
 
@@ -38,7 +38,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def found(spark: SparkSession, sf_dir: str) -> topology.Grids:
-    return topology.grids(topology.usable(rects(spark, sf_dir), W, H), PAGE)
+    return topology.grids(topology.usable(rects(spark, sf_dir), F.lit(W), F.lit(H)), PAGE)
 
 
 #: The generator knows its grids: a page closes unless a cell is missing, columns are a third of the width.
@@ -78,8 +78,8 @@ UNION ALL SELECT doc_id, element_id, CASE WHEN element_id = 'line-edge' THEN 'pa
 def primitive_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rectangle and line is for."""
     g = found(spark, sf_dir)
-    a = topology.rectangle_roles(rects(spark, sf_dir), g, PAGE, W, H).select("doc_id", "ref", "role")
-    return a.unionByName(topology.line_roles(lines(spark, sf_dir), g, PAGE, W, H).select("doc_id", "ref", "role"))
+    a = topology.rectangle_roles(rects(spark, sf_dir), g, PAGE, F.lit(W), F.lit(H)).select("doc_id", "ref", "role")
+    return a.unionByName(topology.line_roles(lines(spark, sf_dir), g, PAGE, F.lit(W), F.lit(H)).select("doc_id", "ref", "role"))
 
 
 @query(CLOSED + """
@@ -117,7 +117,7 @@ def table_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shifted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Reviewed cells, and candidates that lie a little aside; every 11th is missing."""
     cells = rects(spark, sf_dir).where("kind = 'cell'").withColumn("type", F.lit("rectangle"))
-    box = unit_box(Box.of(), W, H)
+    box = unit_box(Box.of(), F.lit(W), F.lit(H))
     expected = cells.select("doc_id", "type", "ref", box.x.alias("x"), box.y.alias("y"), box.w.alias("w"), box.h.alias("h"))
     moved = cells.where("(doc_id + r * 3 + c) % 11 <> 0").withColumn("x", F.col("x") + (F.col("doc_id") % 3) * 15.0).withColumn("ref", F.concat(F.lit("o-"), "ref"))
     return expected, moved.select("doc_id", "type", "ref", box.x.alias("x"), box.y.alias("y"), box.w.alias("w"), box.h.alias("h"))
@@ -180,7 +180,7 @@ def document_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = rects(spark, sf_dir)
     t = texts(spark, sf_dir).withColumn("number", F.when((F.col("doc_id") % 13 == 0) & (F.col("reading_order") > 0), F.col("reading_order") + 1).otherwise(F.col("reading_order")))
     found_issues = v.issues(
-        v.outside_page(e.withColumns({"page_w": W, "page_h": H}), "ref"),
+        v.outside_page(e.withColumns({"page_w": F.lit(W), "page_h": F.lit(H)}), "ref"),
         v.broken(e, [("low_confidence_value", F.col("conf") > 1)], "ref"),
         v.not_contiguous(t, PAGE, "number", ["reading_order", "ref"], "ref"),
         v.repeated(e.withColumn("id", F.when(F.col("doc_id") % 17 == 0, "same").otherwise(F.col("ref"))), ["doc_id", "id"], ["ref"], "ref"),

@@ -12,11 +12,14 @@ from pagewright.operators import assign, compare, order, score
 from pagewright.sources import layout
 
 PAGE = ["doc_id", "page_number"]
-REGION = Box("rx", "ry", F.col("rr") - F.col("rx"), F.col("rb") - F.col("ry"))
 BASE = layout.TOKENS_SQL + "," + layout.candidate_sql() + "," + layout.REGIONS_SQL
 QUERIES, SQL = {}, {}
 
 
+def region_box() -> Box:
+    return Box("rx", "ry", F.col("rr") - F.col("rx"), F.col("rb") - F.col("ry"))
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -45,7 +48,7 @@ def blocks(spark: SparkSession, sf_dir: str, **run: int) -> DataFrame:
     """Reviewed lines with the accuracy of what a candidate run has in them."""
     tokens = layout.tokens(spark, sf_dir)
     regions = layout.regions(tokens)
-    held = assign.exclusive(layout.candidate(tokens, **run), regions.withColumnRenamed("line_no", "region_line"), PAGE, Box.of(), REGION, ["region_line"], ["doc_id", "line_no", "word_no"])
+    held = assign.exclusive(layout.candidate(tokens, **run), regions.withColumnRenamed("line_no", "region_line"), PAGE, Box.of(), region_box(), ["region_line"], ["doc_id", "line_no", "word_no"])
     found = score.joined_text(held.select(*PAGE, F.col("region_line").alias("line_no"), "x", "y", "word_no", "word"), [*PAGE, "line_no"], ["x", "y", "word_no"], "word")
     return score.block_accuracy(regions.withColumnRenamed("txt", "text"), found, [*PAGE, "line_no"], normal=False)
 
@@ -103,7 +106,7 @@ SELECT doc_id, line_no, b_line, ox AS overlap_x, round(oy / least(rb - ry, b_b -
 FROM m""")
 def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How neighbouring lines of a page lie to each other."""
-    regions = layout.regions(layout.tokens(spark, sf_dir)).withColumns({"x": F.col("rx"), "y": F.col("ry"), "w": REGION.w, "h": REGION.h})
+    regions = layout.regions(layout.tokens(spark, sf_dir)).withColumns({"x": F.col("rx"), "y": F.col("ry"), "w": region_box().w, "h": region_box().h})
     w = Window.partitionBy(*PAGE).orderBy("line_no")
     pairs = regions.select("*", *[F.lead(c).over(w).alias(f"b_{c}") for c in ("line_no", "x", "y", "w", "h")]).where("b_line_no is not null")
     a, b = Box.of(), Box.of("b_")
@@ -175,7 +178,7 @@ def tokens_in_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = layout.tokens(spark, sf_dir)
     c = layout.candidate(tokens)
     regions = layout.regions(tokens).select(*PAGE, F.col("line_no").alias("region_line"), "rx", "ry", "rr", "rb")
-    hits = assign.in_every(c, regions, PAGE, Box.of(), REGION).groupBy(*PAGE, "line_no", "word_no").agg(F.min("region_line").alias("region_line"), F.count(F.lit(1)).alias("hits"))
+    hits = assign.in_every(c, regions, PAGE, Box.of(), region_box()).groupBy(*PAGE, "line_no", "word_no").agg(F.min("region_line").alias("region_line"), F.count(F.lit(1)).alias("hits"))
     return c.select(*PAGE, "line_no", "word_no").join(hits, [*PAGE, "line_no", "word_no"], "left").fillna(0, ["hits"])
 
 
@@ -191,7 +194,7 @@ def token_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = layout.tokens(spark, sf_dir)
     ref = lambda c: F.format_string("%08d", c)
     c = layout.candidate(tokens).withColumns({"parent_ref": F.when(F.col("word_no") % 4 == 0, ref("line_no")), "ref": F.format_string("%08d-%08d", "line_no", "word_no")})
-    regions = layout.regions(tokens).where("line_no % 3 <> 2").select(*PAGE, ref("line_no").alias("ref"), REGION.x.alias("x"), REGION.y.alias("y"), REGION.w.alias("w"), REGION.h.alias("h"))
+    regions = layout.regions(tokens).where("line_no % 3 <> 2").select(*PAGE, ref("line_no").alias("ref"), region_box().x.alias("x"), region_box().y.alias("y"), region_box().w.alias("w"), region_box().h.alias("h"))
     rows = assign.tokens_to_regions(c, regions, PAGE)
     return rows.select("doc_id", "line_no", "word_no", F.coalesce(F.col("region_ref").cast("int"), F.lit(-1)).alias("region_line"), F.coalesce("inferred", F.lit(False)).alias("inferred"))
 

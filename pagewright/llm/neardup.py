@@ -127,7 +127,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     before = None
-    while (now := state(edges)) != before:
+    while (now := state(edges)) != before and now[0]:
         before = now
         edges = star(star(edges, True), False)
     roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.geometry import FRAME_FRACTION, GRID_TOLERANCE, Box, Line, has_center, meets_table, on_page_frame, strictly_has
 from pagewright.functions.text import minted
-from pagewright.operators.assign import nearest, one_or_ambiguous, outer_rectangles, prefixed
+from pagewright.operators.assign import covering_line, nearest, one_or_ambiguous, outer_rectangles, prefixed
 from pagewright.operators.match import cut
 from pagewright.operators.order import boundaries
 
@@ -163,3 +163,27 @@ def diagnostics(g: Grids, texts: DataFrame, page: Sequence[str]) -> DataFrame:
     rows = held.where("hits <> 1").select(*page, F.when(F.col("hits") > 1, "ambiguous_text").otherwise("unassigned_text").alias("code"), "ref")
     rows = rows.unionByName(g.ambiguous.select(*page, F.lit("ambiguous_primitive").alias("code"), "ref")).unionByName(g.rejected.select(*page, F.lit("rejected_outer").alias("code"), F.col("outer").alias("ref")))
     return rows.groupBy(*page, "code").agg(F.array_sort(F.collect_list("ref")).alias("refs"))
+
+
+def line_rectangles(contours: DataFrame, lines: DataFrame, page: Sequence[str], tolerance: float = 3.0) -> DataFrame:
+    """Rectangles whose four edges lie on lines, from measured contours: (page, x, y, w, h, score), each box once.
+
+    contours: page, ref, x, y, w, h in pixels and area; lines: page, ref, level, at, start, end, conf. Contours under 12
+    pixels or filled to less than half are left out. Edges move to the nearest line; the score weighs the lines' mean
+    confidence with .55 and how full the contour is with .45."""
+    p = list(page)
+    b = Box.of()
+    full = contours.where((b.w >= 12) & (b.h >= 12) & (F.col("area") >= b.w * b.h * 0.5))
+    sides = [("left", False, b.x), ("right", False, b.x + b.w - 1), ("top", True, b.y), ("bottom", True, b.y + b.h - 1)]
+    ends = full.select(*p, "ref", F.explode(F.array(*[F.struct(F.lit(n).alias("side"), F.lit(level).alias("level"), v.cast("double").alias("v")) for n, level, v in sides])).alias("e")).select(*p, "ref", "e.*")
+    axes = lines.select(*p, "level", "at", F.col("at").alias("index"))
+    moved = nearest(ends, axes, [*p, "level"], ["ref", "side"], "v", tolerance=tolerance)
+    wide = moved.groupBy(*p, "ref").agg(*[F.max(F.when(F.col("side") == n, F.col("index"))).alias(n) for n, _, _ in sides])
+    boxes = full.select(*p, "ref", F.least(F.lit(1.0), F.col("area") / F.greatest(F.lit(1.0), b.w * b.h)).alias("filled")).join(wide, [*p, "ref"]).where("right > left and bottom > top")
+    edge = lambda side, level, at, start, end: F.struct(F.lit(side).alias("side"), F.lit(level).alias("level"), F.col(at).alias("at"), F.col(start).alias("start"), F.col(end).alias("end"))
+    edges = F.explode(F.array(edge("left", False, "left", "top", "bottom"), edge("right", False, "right", "top", "bottom"), edge("top", True, "top", "left", "right"), edge("bottom", True, "bottom", "left", "right"))).alias("e")
+    covered = covering_line(boxes.select(*p, F.col("ref").alias("key"), edges).select(*p, "key", "e.*"), lines, p, tolerance)
+    four = covered.groupBy(*p, F.col("key").alias("ref")).agg(F.count(F.lit(1)).alias("n"), (F.sum("conf") / 4).alias("held")).where("n = 4")
+    score = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.55 * F.col("held") + 0.45 * F.col("filled"))), 6)
+    found = boxes.join(four, [*p, "ref"]).select(*p, F.col("left").alias("x"), F.col("top").alias("y"), (F.col("right") - F.col("left") + 1).alias("w"), (F.col("bottom") - F.col("top") + 1).alias("h"), score.alias("score"))
+    return found.groupBy(*p, "x", "y", "w", "h").agg(F.max("score").alias("score"))

@@ -7,7 +7,7 @@ import __spark_entry__ as driver
 from tests.conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["ocr_quality", "reading_order", "token_regions", "grouped_regions", "line_texts", "experiment_decisions", "primitive_roles", "suppressed_boxes", "document_issues", "stage_gate", "parsed_elements", "changed_fields", "selections", "layer_states", "covered_edges", "slot_segments", "contract_gates", "padding_decisions", "text_assignments", "truth_issues", "provenance_issues", "run_field_issues", "score_issues"]
+CHECKED = ["ocr_quality", "reading_order", "token_regions", "grouped_regions", "line_texts", "experiment_decisions", "primitive_roles", "suppressed_boxes", "document_issues", "stage_gate", "parsed_elements", "changed_fields", "selections", "layer_states", "covered_edges", "slot_segments", "contract_gates", "padding_decisions", "text_assignments", "truth_issues", "provenance_issues", "run_field_issues", "score_issues", "crop_issues", "resize_issues", "option_issues", "line_rectangles"]
 
 
 @pytest.fixture(scope="module")

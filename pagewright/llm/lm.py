@@ -1,27 +1,33 @@
-"""Language-model scores from a probabilistic suffix tree, beside a unigram base score.
-
-A text is its words (A-Z lower-cased) and one end. The tree spells words: its symbols are bytes, the end of a word, and
-the end of the text, and a context never reaches back over the start of a word. A context (a suffix of what the word
-has so far) is kept if it is likely enough in training and if its next-symbol distribution diverges from that of the
-context one symbol shorter. Each symbol is scored in the state of the longest kept suffix, whose distribution is
-smoothed with that of its parent. The probability of a word joins its own training count with the tree's spelling of it,
-in the proportion of words seen once, so unseen words get about the weight that unseen words have.
-
-Word counts are summed over all words of all training texts. The tree is counted from the distinct words of that sum,
-one each, as it has to spell words that training doesn't know.
+"""Language-model scores from a probabilistic suffix tree over words, beside a unigram base score.
+
+A text is its words (A-Z lower-cased) and one end. Contexts are the last 1 to ``REACH`` words, the start of the text
+counting as one; they cross words and are counted over every word of every training text. A context is kept if it
+occurs at least twice in training and if its next-word distribution diverges from that of the longest kept context that
+is shorter. Each word is scored in the state of the longest kept suffix of the words before it, whose distribution is
+smoothed with that of its parent: n / (n + kinds) of the weight goes to its own counts.
+
+The tree grows level by level. A block asks for its distinct contexts and next words, with its training counts, in groups
+of context hashes; a group sums the counts of all blocks, tests each context and answers each block. What the test needs
+of the parent's distribution is a sum over occurrences, so blocks send it with the context. A context is asked for only
+if its parent occurs twice, which loses nothing.
+
+The root is the word's own training count joined with a spelling, in the proportion of words seen once, so unseen words
+get about the weight that unseen words have. The spelling is a suffix tree over bytes that never reaches back over the
+start of a word, counted from the distinct training words, one each, as it has to spell words that training doesn't know.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.blocks import load, pack, saved
-from pagewright.llm.words import LOWER, chunks, flat, spans, word_hashes
+from pagewright.llm.words import LOWER, chunks, flat, run_hashes, spans, word_hashes
 
 DEPTH = 6
 LIKELY = 2e-6
@@ -29,6 +35,11 @@ DIVERGENCE = 4.0
 WORD_END, TEXT_END = 0x20, 0x0A  # neither is a byte of a word
 START = 0x09  # stands before a word's first byte in contexts
 BASE_EPSILON = 0.5
+REACH = 3  # words of the longest context
+BLOCK = 4 << 20  # bytes of a block: a walk holds several times as much
+ROUNDS = (1, 2, 2)  # by level: in so many parts by context, so that less is on disk at once
+HEAD, TAIL = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)  # stand for the start and the end of a text
+NEXT_BYTES = 5  # that tell apart the words after one context
 
 
 class BlockWords:
@@ -253,8 +264,130 @@ def count_contexts(vocabulary: DataFrame, texts: int, depth: int, likely: float,
     return SuffixTree(pair >> np.uint64(8), length, (pair & np.uint64(255)).astype(np.uint8), n, divergence)
 
 
+class Walk:
+    """The words of a block as places of one sequence, each text between a start and an end, and their log10 probability
+    in the longest kept context so far."""
+
+    def __init__(self, w: BlockWords, train: np.ndarray, root: np.ndarray):
+        """root: log10 of the root's probability of each distinct word and of the end."""
+        n = np.diff(w.first)
+        self.first = w.first + 2 * np.arange(len(w.first))
+        self.symbols = np.concatenate([w.keys, [TAIL, HEAD]])
+        self.code = np.full(self.first[-1], len(w.keys) + 1, np.int64)
+        self.code[self.first[1:] - 1] = len(w.keys)
+        self.code[np.arange(len(w.code)) + np.repeat(2 * np.arange(len(n)) + 1, n)] = w.code
+        self.place = np.arange(len(self.code)) - np.repeat(self.first[:-1], n + 2)
+        self.train = np.repeat(train, n + 2)
+        self.score = np.append(root, 0.0)[self.code]
+        self.hash = self.symbols[self.code]
+        self.live = self.place > 0  # the context one word shorter occurs twice in training
+        self.next_live = np.zeros(len(self.live), bool)
+
+    def asked(self, level: int, part: int, parts: int) -> tuple[np.ndarray, ...]:
+        """Places, their contexts (places in the next), distinct contexts, places' pairs, and each pair's context and next word."""
+        at = np.flatnonzero(self.live & (self.place >= level))
+        context = run_hashes(self.hash, level)[at - level]
+        own = context % np.uint64(parts) == part
+        at, context = at[own], context[own]
+        keys, row = np.unique(context, return_inverse=True)
+        pair, code = np.unique(row * len(self.symbols) + self.code[at], return_inverse=True)
+        return at, row, keys, code, pair // len(self.symbols), self.symbols[pair % len(self.symbols)]
+
+    def apply(self, level: int, answers: dict[int, bytes]) -> None:
+        """Go one level down with the answers of all its parts."""
+        for part in range(len(answers)):
+            at, row, keys, code, owner, _ = self.asked(level, part, len(answers))
+            total, kinds, n = unpacked(answers[part], len(keys), owner)
+            self.next_live[at[total[row] != 0]] = True
+            own = total[row] > 0
+            at, t, k, seen = at[own], total[row[own]], kinds[row[own]], n[code[own]]
+            rest = np.log10(k) + self.score[at]
+            self.score[at] = np.where(seen > 0, np.log10(np.maximum(seen, 1) + 10.0 ** np.maximum(rest, -300)), rest) - np.log10(t + k)
+        self.live, self.next_live = self.next_live, np.zeros(len(self.live), bool)
+
+
+def unpacked(answers: list[bytes], contexts: int, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's answers group by group: each context's total (negative if it isn't kept, 0 if it doesn't occur twice),
+    its number of next words, and each pair's count; the last two are given for kept contexts only."""
+    parts = [[np.frombuffer(x[key], np.int64) for x in answers] for key in ("total", "kinds", "n")]
+    total, held, pairs = (np.concatenate([*p, np.empty(0, np.int64)]) for p in parts)
+    kinds, n = np.zeros(contexts, np.int64), np.zeros(len(owner), np.int64)
+    kinds[total > 0] = held
+    n[total[owner] > 0] = pairs
+    return total, kinds, n
+
+
+def count_level(asking: DataFrame, walk, level: int, part: int, parts: int, bits: int, divergence: float) -> DataFrame:
+    """Count and test the contexts of ``level`` words whose hash modulo ``parts`` is ``part``: answers by block and group.
+
+    ``walk`` gives the Walk of a row of ``asking`` down to the level before.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, payload, answers in zip(batch["block_id"].to_pylist(), batch["payload"], batch["answers"]):
+                _, _, w = walk(payload, answers)
+                at, row, keys, code, owner, symbol = w.asked(level, part, parts)
+                counted = w.train[at]
+                n = np.bincount(code, counted, minlength=len(owner)).astype(np.int32)
+                past = np.bincount(row, np.where(counted, w.score[at], 0), minlength=len(keys)).astype(np.float32)
+                asked = np.bincount(owner, minlength=len(keys)).astype(np.int32)
+                short = np.ascontiguousarray(symbol).view(np.uint8).reshape(-1, 8)[:, :NEXT_BYTES]
+                edges = [0, *np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist(), len(keys)]
+                pairs = np.searchsorted(owner, edges).tolist()
+                for g, (a, b, i, j) in enumerate(zip(edges, edges[1:], pairs, pairs[1:])):
+                    if a < b:
+                        yield pa.RecordBatch.from_pylist([{
+                            "bucket": g, "block_id": block, "keys": keys[a:b].tobytes(), "asked": asked[a:b].tobytes(), "past": past[a:b].tobytes(),
+                            "next": short[i:j].tobytes(), "counts": n[i:j].tobytes(),
+                        }], wire)
+
+    names = ["keys", "asked", "past", "next", "counts"]
+    wire = pa.schema([("bucket", pa.int64()), ("block_id", pa.int64()), *[(c, pa.binary()) for c in names]])
+
+    def count(table: pa.Table) -> pa.Table:
+        keys, asked, past, short, counts = ([np.frombuffer(x, kind) for x in table[c].to_pylist()] for c, kind in zip(names, (np.uint64, np.int32, np.float32, np.uint8, np.int32)))
+        own, code = np.unique(np.concatenate(keys), return_inverse=True)
+        row = np.repeat(code, np.concatenate(asked))
+        symbol = np.zeros((len(row), 8), np.uint8)
+        symbol[:, :NEXT_BYTES] = np.concatenate(short).reshape(-1, NEXT_BYTES)
+        pair, place = np.unique(row.astype(np.uint64) << np.uint64(8 * NEXT_BYTES) | symbol.view(np.uint64)[:, 0], return_inverse=True)
+        n = np.bincount(place, np.concatenate(counts), minlength=len(pair))
+        owner = (pair >> np.uint64(8 * NEXT_BYTES)).astype(np.int64)
+        total, kinds = np.bincount(owner, n, minlength=len(own)), np.bincount(owner, n > 0, minlength=len(own)).astype(np.int64)
+        high = lambda x: x * np.log(np.maximum(x, 1))
+        gain = np.bincount(owner, high(n), minlength=len(own)) - high(total) - np.log(10) * np.bincount(code, np.concatenate(past).astype(np.float64), minlength=len(own))
+        keep = gain >= divergence
+        state = np.where(total < 2, 0, np.where(keep, total, -total)).astype(np.int64)
+        n, out, at, to = n.astype(np.int64), {"total": [], "kinds": [], "n": []}, 0, 0
+        for k, a in zip(keys, asked):
+            mine, size = code[at : at + len(k)], int(a.sum())
+            kept = state[mine] > 0
+            out["total"].append(state[mine].tobytes())
+            out["kinds"].append(kinds[mine[kept]].tobytes())
+            out["n"].append(n[place[to : to + size][np.repeat(kept, a)]].tobytes())
+            at, to = at + len(k), to + size
+        head = {"level": pa.array([level] * len(keys), pa.int32()), "part": pa.array([part] * len(keys), pa.int32())}
+        return pa.table({"block_id": table["block_id"], "bucket": table["bucket"], **head, **{c: pa.array(x, pa.binary()) for c, x in out.items()}})
+
+    sent = asking.mapInArrow(ask, "bucket long, block_id long, keys binary, asked binary, past binary, next binary, counts binary")
+    return saved(sent.groupBy("bucket").applyInArrow(count, "block_id long, bucket long, level int, part int, total binary, kinds binary, n binary"), "contexts")
+
+
+@contextmanager
+def brief_shuffles(spark: SparkSession):
+    """Files of a shuffle go as soon as the table made from it is saved."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old) if old is not None else spark.conf.unset(key)
+
+
 def score_texts(
-    df: DataFrame, train: Column, text: str = "text", *, depth: int = DEPTH, likely: float = LIKELY, divergence: float = DIVERGENCE,
+    df: DataFrame, train: Column, text: str = "text", *, depth: int = DEPTH, likely: float = LIKELY, divergence: float = DIVERGENCE, reach: int = REACH,
 ) -> DataFrame:
     """Add n_tokens, n_known, train_tokens, base_score and score to every row.
 
@@ -268,7 +401,12 @@ def score_texts(
     own = [c for c in df.columns if c.lower() not in new]
     rows = df.select(*own, F.coalesce(train, F.lit(False)).alias("__train"))
     place = {"text": own.index(text), "train": len(own)}
-    blocks = saved(pack(rows), "blocks", "uncompressed")
+    blocks = saved(pack(rows, BLOCK), "blocks", "uncompressed")
+    with brief_shuffles(df.sparkSession):
+        return _scored(df, rows, blocks, own, new, place, depth, likely, divergence, reach)
+
+
+def _scored(df: DataFrame, rows: DataFrame, blocks: DataFrame, own: list[str], new: list[str], place: dict[str, int], depth: int, likely: float, divergence: float, reach: int) -> DataFrame:
     bits = max(6, (blocks.count() // 2).bit_length())
     told = count_words(blocks, place, bits)
     vocabulary = told.where("block_id = -1")
@@ -281,7 +419,8 @@ def score_texts(
     answers = told.where("block_id >= 0").groupBy("block_id").agg(F.collect_list(F.struct("bucket", "counts")).alias("answers"))
     schema = df.select(*own, *[F.lit(0).cast("long").alias(c) for c in new[:3]], *[F.lit(0.0).alias(c) for c in new[3:]]).schema
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Level 0: of each block, the counts of its distinct words, and log10 of the root's probability of them and the end."""
         tree = held.value
 
         def joined(c: np.ndarray, spelling: np.ndarray) -> np.ndarray:
@@ -290,27 +429,62 @@ def score_texts(
             return np.where(c > 0, np.log10(np.maximum(c, 1) + 10.0 ** np.maximum(rare, -300)), rare) - np.log10(n_train + unseen)
 
         end = joined(np.array([texts]), np.array([tree.end_score()]))
-        base = np.log10(n_train + BASE_EPSILON * (v_train + 1))
         for batch in batches:
-            for payload, answer in zip(batch["payload"], batch["answers"].to_pylist()):
-                rows = load(payload.as_buffer())
-                w = BlockWords(rows.column(place["text"]))
+            for block, payload, answer in zip(batch["block_id"].to_pylist(), batch["payload"], batch["answers"].to_pylist()):
+                w = BlockWords(load(payload.as_buffer()).column(place["text"]))
                 parts = [np.frombuffer(x["counts"], np.int64) for x in sorted(answer or [], key=lambda x: x["bucket"])]
                 c = np.concatenate([*parts, np.empty(0, np.int64)])
-                unigram, spelled = np.log10(c + BASE_EPSILON) - base, joined(c, tree.word_scores(w.spelled(), depth))
+                root = np.append(joined(c, tree.word_scores(w.spelled(), depth)), end)
+                yield pa.RecordBatch.from_pylist([{"block_id": block, "bucket": 0, "level": 0, "part": 0, "total": c.tobytes(), "kinds": b"", "n": root.tobytes()}], wire)
+
+    wire = pa.schema([("block_id", pa.int64()), ("bucket", pa.int64()), ("level", pa.int32()), ("part", pa.int32()), *[(c, pa.binary()) for c in ("total", "kinds", "n")]])
+
+    def walk(payload: pa.Scalar, answers: pa.Scalar) -> tuple[pa.RecordBatch, tuple[BlockWords, np.ndarray], Walk]:
+        """A block's rows, its words and their counts, and its walk down all levels that have answers."""
+        rows = load(payload.as_buffer())
+        w = BlockWords(rows.column(place["text"]))
+        found: dict[int, dict[int, list]] = {}
+        for x in sorted(answers.as_py(), key=lambda x: (x["level"], x["part"], x["bucket"])):
+            found.setdefault(x["level"], {}).setdefault(x["part"], []).append(x)
+        counts, root = np.frombuffer(found[0][0][0]["total"], np.int64), np.frombuffer(found[0][0][0]["n"], np.float64)
+        train = rows.column(place["train"]).to_numpy(zero_copy_only=False).astype(bool)
+        way = Walk(w, train, root)
+        for level in range(1, max(found) + 1):
+            way.apply(level, {k: found[level].get(k, []) for k in range(ROUNDS[min(level, len(ROUNDS)) - 1])})
+        return rows, (w, counts), way
+
+    def gathered(tables: list[DataFrame]) -> DataFrame:
+        every = tables[0]
+        for t in tables[1:]:
+            every = every.unionByName(t)
+        every = every.groupBy("block_id").agg(F.collect_list(F.struct("level", "part", "bucket", "total", "kinds", "n")).alias("answers"))
+        return blocks.join(every, "block_id").select("block_id", "payload", "answers")
+
+    known = [saved(blocks.join(answers, "block_id", "left").select("block_id", "payload", "answers").mapInArrow(roots, "block_id long, bucket long, level int, part int, total binary, kinds binary, n binary"), "roots")]
+    for level in range(1, reach + 1):
+        parts = ROUNDS[min(level, len(ROUNDS)) - 1]
+        asking = gathered(known)
+        known += [count_level(asking, walk, level, part, parts, bits, divergence) for part in range(parts)]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = np.log10(n_train + BASE_EPSILON * (v_train + 1))
+        for batch in batches:
+            for payload, answer in zip(batch["payload"], batch["answers"]):
+                rows, (w, c), way = walk(payload, answer)
+                unigram = np.log10(c + BASE_EPSILON) - base
 
-                def by_row(x: np.ndarray, w=w) -> np.ndarray:
-                    total = np.concatenate([[0], np.cumsum(x[w.code])])
-                    return total[w.first[1:]] - total[w.first[:-1]]
+                def by_row(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+                    total = np.concatenate([[0], np.cumsum(x)])
+                    return total[first[1:]] - total[first[:-1]]
 
                 n = np.diff(w.first)
-                known = by_row((c > 0).astype(np.int64)) + (texts > 0)
+                known = by_row((c > 0).astype(np.int64)[w.code], w.first) + (texts > 0)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *rows.columns[:-1], pa.array(n + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), n_train), pa.int64()),
-                        pa.array(by_row(unigram) + np.log10(texts + BASE_EPSILON) - base), pa.array(by_row(spelled) + end[0]),
+                        pa.array(by_row(unigram[w.code], w.first) + np.log10(texts + BASE_EPSILON) - base), pa.array(by_row(np.where(way.place > 0, way.score, 0), way.first)),
                     ],
                     [*own, *new],
                 )
 
-    return blocks.join(answers, "block_id", "left").select("payload", "answers").mapInArrow(score, schema)
+    return gathered(known).mapInArrow(score, schema)

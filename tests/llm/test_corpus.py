@@ -223,6 +223,45 @@ def test_repeated_words_score_better_than_strange_ones(spark):
     assert got[99] > got[98] + 5
 
 
+def brute_scores(texts, train, reach, divergence, root):
+    """Contexts of words counted, tested and scored one by one; root gives a token's probability without context."""
+    ways = [[("start",), *[("word", w) for w in words(t.lower())], ("end",)] for t in texts]
+    kept = {}
+
+    def p(past, token, longest):
+        for d in range(min(longest, len(past)), 0, -1):
+            if own := kept.get(past[-d:]):
+                return (own[token] + len(own) * p(past, token, d - 1)) / (own.total() + len(own))
+        return root(token)
+
+    for d in range(1, reach + 1):
+        seen = {}
+        for way in (w for w, own in zip(ways, train) if own):
+            for i in range(d, len(way)):
+                seen.setdefault(tuple(way[i - d : i]), Counter())[way[i]] += 1
+        kept |= {c: n for c, n in seen.items() if n.total() >= 2 and sum(k * math.log(k / n.total() / p(c, s, d - 1)) for s, k in n.items()) >= divergence}
+    return [sum(math.log10(p(tuple(way[max(0, i - reach) : i]), way[i], reach)) for i in range(1, len(way))) for way in ways], kept
+
+
+def test_contexts_cross_words_as_in_brute_force(spark):
+    rng = np.random.default_rng(8)
+    say = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 40, n))
+    passage = say(50)
+    texts = ["", *[say(int(n)) for n in rng.integers(1, 60, 60)], passage, say(9) + " " + passage, " ".join(sorted(passage.split())), "never seen " + passage]
+    train = [i % 5 != 1 and i < len(texts) - 2 for i in range(len(texts))]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    told = lambda reach: {r.doc_id: r.score for r in lm.score_texts(frame, F.element_at(F.array(*map(F.lit, train)), F.col("doc_id").cast("int") + 1), reach=reach, divergence=1.0).collect()}
+    flat_scores, got = told(0), told(3)
+    one = {r.text: r.score for r in lm.score_texts(spark.createDataFrame([(t, True) for t in texts for _ in "x" if train[texts.index(t)]] + [(w, False) for w in {w for t in texts for w in words(t)}], "text string, own boolean"), F.col("own"), reach=0).collect() if " " not in r.text}
+    end = flat_scores[0]
+    want, kept = brute_scores(texts, train, 3, 1.0, lambda s: 10 ** (end if s == ("end",) else one[s[1]] - end))
+    assert {len(c) for c in kept} == {1, 2, 3}
+    for i, w in enumerate(want):
+        assert got[i] == pytest.approx(w, abs=1e-3)
+    shuffled, seen = len(texts) - 2, len(texts) - 4
+    assert abs(flat_scores[shuffled] - flat_scores[seen]) < 1e-6 and got[seen] > got[shuffled] + 10
+
+
 def test_held_out_languages_are_right(spark):
     truth = {r.doc_id: r.lang for r in queries.read(spark, SF, "documents").collect()}
     got = queries.op4_language_id(spark, SF).collect()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import math
 import unicodedata
 
 import pyarrow as pa
@@ -77,25 +78,49 @@ def edit_runs(expected: str, observed: str) -> tuple[list[str], list[str]]:
     """Runs of characters that are missing from and extra in the observed text, along a shortest edit script.
 
     Equal characters and substitutions are preferred to deletions, and deletions to insertions, going back from the end.
+    Rows of the cost table are bits of whole numbers, and memory grows with the root of their number.
     """
     n, m = len(expected), len(observed)
-    cost = [list(range(m + 1))]
-    for i in range(1, n + 1):
-        row = [i]
-        for j in range(1, m + 1):
-            row.append(min(cost[i - 1][j - 1] + (expected[i - 1] != observed[j - 1]), cost[i - 1][j] + 1, row[j - 1] + 1))
-        cost.append(row)
+    step = max(1, math.isqrt(n))
+    full = (1 << m) - 1
+    where: dict[str, int] = {}
+    for j, c in enumerate(observed):
+        where[c] = where.get(c, 0) | 1 << j
+
+    def rows(first: int, state: tuple[int, int], keep: bool) -> tuple[tuple[int, int], list[tuple[int, int]]]:
+        """The cost table's rows after ``first``, a bit for each observed character: where a cost equals the one before in
+        both texts, and where it is above the one before in the expected text. state: where costs rise and fall in a row."""
+        up, down = state
+        held = []
+        for c in expected[first : first + step]:
+            same = where.get(c, 0)
+            level = (((same & up) + up) ^ up) | same | down
+            above, below = (down | ~(level | up)) & full, level & up
+            if keep:
+                held.append((level, above))
+            above, below = above << 1 | 1, below << 1
+            up, down = (below | ~(level | above)) & full, above & level & full
+        return (up, down), held
+
+    starts = [(full, 0)]  # every step-th row; the others are made again where the way back needs them
+    for first in range(0, n, step):
+        starts.append(rows(first, starts[-1], False)[0])
+    known, held = -1, []
     missing, extra, i, j = [], [], n, m
     open_runs: set[int] = set()  # runs that the next character before them would lengthen
     while i or j:
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + (expected[i - 1] != observed[j - 1]):
+        if i and (i - 1) // step != known:
+            known = (i - 1) // step
+            held = rows(known * step, starts[known], True)[1]
+        level, above = held[(i - 1) % step] if i else (0, 0)
+        if i and j and (expected[i - 1] == observed[j - 1] or not level >> (j - 1) & 1):
             same = expected[i - 1] == observed[j - 1]
             i, j = i - 1, j - 1
             if same:
                 open_runs.clear()
                 continue
             steps = [(missing, expected[i]), (extra, observed[j])]
-        elif i and cost[i][j] == cost[i - 1][j] + 1:
+        elif i and (not j or above >> (j - 1) & 1):
             i -= 1
             steps = [(missing, expected[i])]
         else:

@@ -254,11 +254,10 @@ def line_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def line_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity ratio and edit runs of essential lines that a run has spoilt."""
-    b = blocks(spark, sf_dir).where("essential AND observed IS NOT NULL AND accuracy < 100")
-    short = F.least(F.length("text"), F.length("observed")) <= 400
-    runs = t.text_differences(F.when(short, F.col("text")), F.when(short, F.col("observed")))
-    return b.select("doc_id", "line_no", t.ratio_bound(F.col("text"), F.col("observed")).alias("bound"), F.when(short, t.ratio(F.when(short, F.col("text")), F.when(short, F.col("observed")))).alias("ratio"), F.when(short, F.size(runs["missing"])).alias("missing"), F.when(short, F.size(runs["extra"])).alias("extra"))
+    """Similarity ratio and edit runs of all lines that a run has spoilt, whatever their length."""
+    b = blocks(spark, sf_dir).where("observed IS NOT NULL AND accuracy < 100")
+    runs = t.text_differences(F.col("text"), F.col("observed"))
+    return b.select("doc_id", "line_no", t.ratio_bound(F.col("text"), F.col("observed")).alias("bound"), t.ratio(F.col("text"), F.col("observed")).alias("ratio"), F.size(runs["missing"]).alias("missing"), F.size(runs["extra"]).alias("extra"))
 
 
 @query(r"""n AS (SELECT page_id, html FROM pages) SELECT page_id, trim(regexp_replace(html, '[\x09-\x0D\x1C-\x20\x{85}\x{A0}]+', ' ', 'g')) AS spaced, length(regexp_replace(html, '[\x09-\x0D\x1C-\x20\x{85}\x{A0}]+', '', 'g')) AS compact FROM n""")

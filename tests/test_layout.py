@@ -1,5 +1,6 @@
 """Operators on hand-made frames, against sequential code, and in any order of input."""
 
+import difflib
 import math
 import random
 
@@ -10,6 +11,7 @@ from pagewright.functions import geometry as g
 from pagewright.functions import text as t
 from pagewright.functions.geometry import Box
 from pagewright.operators import assign, compare, gate, match, order, score, topology, validate
+from pagewright.plans import tokens
 from pagewright.sources import layout, records
 
 
@@ -211,3 +213,49 @@ def test_candidate_runs_lose_and_spoil(spark):
     c = layout.candidate(tokens).collect()
     assert len(c) == 36 and sum(r.word[0] == "#" for r in c) == 3 and sum(r.conf is None for r in c) == 1
     assert all(r.conf is None or math.isfinite(r.conf) for r in c)
+
+
+def runs_of_the_whole_table(x, y):
+    """The reference's rules over the whole cost table."""
+    cost = [list(range(len(y) + 1))]
+    for i, c in enumerate(x, 1):
+        cost.append([i])
+        for j, d in enumerate(y, 1):
+            cost[i].append(min(cost[i - 1][j] + 1, cost[i][j - 1] + 1, cost[i - 1][j - 1] + (c != d)))
+    edits, i, j = [], len(x), len(y)
+    while i or j:
+        if i and j and cost[i][j] == cost[i - 1][j - 1] + (x[i - 1] != y[j - 1]):
+            i, j = i - 1, j - 1
+            edits.append(None if x[i] == y[j] else (x[i], y[j]))
+        elif i and cost[i][j] == cost[i - 1][j] + 1:
+            i -= 1
+            edits.append((x[i], ""))
+        else:
+            j -= 1
+            edits.append(("", y[j]))
+    blocks = [[]]
+    for e in reversed(edits):
+        blocks.append([]) if e is None else blocks[-1].append(e)
+    sides = [["".join(e[k] for e in b) for b in blocks] for k in (0, 1)]
+    return tuple([r for r in side if r] for side in sides)
+
+
+def test_edit_runs_are_those_of_the_whole_table():
+    rng = random.Random(6)
+    for n in [*range(25)] * 12 + [600]:
+        x, y = ("".join(rng.choices("abc", k=rng.randint(n // 2, n))) for _ in "xy")
+        assert t.edit_runs(x, y) == runs_of_the_whole_table(x, y)
+
+
+def test_all_spoilt_lines_are_compared_in_full(spark):
+    from tests.conftest import SF
+
+    lines = tokens.blocks(spark, SF).where("observed IS NOT NULL AND accuracy < 100").select("doc_id", "line_no", "text", "observed").collect()
+    got = {(r.doc_id, r.line_no): r for r in tokens.line_differences(spark, SF).collect()}
+    assert len(got) == len(lines) and any(min(len(r.text), len(r.observed)) > 400 for r in lines)
+    assert all(None not in r for r in got.values())
+    for r in sorted(lines, key=lambda r: (len(r.text), r.doc_id, r.line_no))[::40]:
+        if len(r.text) < 1500:
+            own = got[r.doc_id, r.line_no]
+            missing, extra = runs_of_the_whole_table(r.text, r.observed)
+            assert (own.ratio, own.missing, own.extra) == (difflib.SequenceMatcher(None, r.text, r.observed, autojunk=False).ratio(), len(missing), len(extra))

@@ -6,8 +6,8 @@ is a candidate for an item when its vector's cosine with the item's latent vecto
 a leak if the longest common subsequence of item and surroundings covers most of the item, or, for looser
 paraphrases, a good part of it and of its answer, the item's last words.
 
-Document frequencies count every document. The decomposition is fitted on all benchmark passages and a bounded sample
-of corpus passages; every passage of every document is searched.
+Document frequencies count every document. The decomposition is fitted on all benchmark passages and all passages of
+all documents, over the words of the benchmark; every passage of every document is searched.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ BUCKETS = 1 << 18
 LONG_ITEM, ITEM_PASSAGE = 72, 48
 TOGETHER = 256  # item passages that share a latent space
 EXTRA = 32  # dimensions beside one for each item passage
-SAMPLE_DOCS = 2000
 WEIGHT = 10.0
 COSINE = 0.4
 MOST, PART, ANSWER = 0.8, 0.6, 0.5
@@ -118,10 +117,10 @@ def segment_terms(h: np.ndarray, first: np.ndarray, idf: np.ndarray, terms: np.n
     return start, segment, lookup[b], weight, np.bincount(segment, weight * weight, minlength=start[-1])
 
 
-def latent_space(sample: DataFrame, text: str, passages: list[Passage], idf: np.ndarray, seed: int = 3) -> Space:
+def latent_space(docs: DataFrame, text: str, passages: list[Passage], idf: np.ndarray, seed: int = 3) -> Space:
     """Fit the space of some item passages: a randomised SVD of TF-IDF passages with one power iteration.
 
-    Rows are the item passages, with more weight, and the passages of ``sample``. Tasks sum A'(A R) for a random R; its
+    Rows are the item passages, with more weight, and the passages of all documents; columns are the items' words. Tasks sum A'(A R) for a random R; its
     orthonormal basis Q spans the leading right singular space; they then sum (A Q)'(A Q), whose eigenvectors turn Q
     into singular vectors.
     """
@@ -135,8 +134,8 @@ def latent_space(sample: DataFrame, text: str, passages: list[Passage], idf: np.
     start = np.random.default_rng(seed).normal(size=(len(terms), rank)).astype(np.float32)
 
     def product(basis: np.ndarray, inner: bool) -> np.ndarray:
-        """A'(A basis), or with inner (A basis)'(A basis), over the sample."""
-        held = sample.sparkSession.sparkContext.broadcast((basis, idf, terms))
+        """A'(A basis), or with inner (A basis)'(A basis), over all documents."""
+        held = docs.sparkSession.sparkContext.broadcast((basis, idf, terms))
 
         def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             basis, idf, terms = held.value
@@ -145,22 +144,33 @@ def latent_space(sample: DataFrame, text: str, passages: list[Passage], idf: np.
                 for _, piece in chunks(batch[0], 1 << 17):
                     h, first = texts_words(piece, True, MARKS)
                     begin, segment, term, weight, norm = segment_terms(h, first, idf, terms)
-                    ok = term >= 0
-                    rows = np.zeros((begin[-1] + 1, len(terms)), np.float32)
-                    np.add.at(rows, (segment[ok], term[ok]), weight[ok])
-                    pair = rows[:-1] + rows[1:]
-                    pair[begin[1:][np.diff(begin) > 0] - 1] -= rows[begin[1:][np.diff(begin) > 0]]  # a text's last segment stands alone
-                    size = np.append(norm, 0)
-                    pair /= np.sqrt(np.maximum(size[:-1] + size[1:], 1e-9))[:, None]
-                    z = pair @ basis
-                    part = z.T @ z if inner else pair.T @ z
+                    ok = np.flatnonzero(term >= 0)
+                    size = np.append(norm, 0.0)
+                    alone = np.zeros(len(size), bool)  # the next segment is another text's
+                    alone[begin[1:][np.diff(begin) > 0] - 1] = True
+                    scale = 1 / np.sqrt(np.maximum(size[:-1] + np.where(alone[:-1], 0, size[1:]), 1e-9)).astype(np.float32)[:, None]
+                    rows = np.zeros((len(size), basis.shape[1]), np.float32)
+                    if len(ok):
+                        head = np.flatnonzero(np.diff(segment[ok], prepend=-1))
+                        rows[segment[ok[head]]] = np.add.reduceat(basis[term[ok]] * weight[ok, None], head, axis=0)
+                    z = (rows[:-1] + np.where(alone[:-1, None], 0, rows[1:])) * scale
+                    if inner:
+                        part = z.T @ z
+                    else:
+                        z *= scale
+                        z[1:] += np.where(alone[:-2, None], 0, z[:-1])  # what a segment's words meet: its own passage and the one before
+                        by_term = ok[np.argsort(term[ok], kind="stable")]
+                        part = np.zeros_like(basis)
+                        if len(ok):
+                            head = np.flatnonzero(np.diff(term[by_term], prepend=-1))
+                            part[term[by_term[head]]] = np.add.reduceat(z[segment[by_term]] * weight[by_term, None], head, axis=0)
                     total = part if total is None else total + part
             if total is not None:
                 yield slices(total)
 
         a = WEIGHT * own @ basis
         mine = a.T @ a if inner else WEIGHT * own.T @ a
-        theirs = summed(sample.select(text).mapInArrow(multiply, "slice int, data binary"), len(mine))
+        theirs = summed(docs.select(text).mapInArrow(multiply, "slice int, data binary"), len(mine))
         return mine + theirs if theirs.size else mine
 
     q, _ = np.linalg.qr(product(start, False))
@@ -194,7 +204,7 @@ def verdict(passage: Passage, around: list[int]) -> tuple[float, float] | None:
     return (share, answer) if share >= MOST or answer >= ANSWER else None
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", out: str = "leaks", *, item_id: str = "item_id", item_text: str = "text", cosine: float = COSINE, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", out: str = "leaks", *, item_id: str = "item_id", item_text: str = "text", cosine: float = COSINE) -> DataFrame:
     """Add an array of the benchmark items that each whole text leaks, ascending by item_id; empty if none.
 
     Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. An item's entry is its best passage: the
@@ -203,15 +213,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", out: str =
     repeated items count once, repeated rows get equal results. Other columns stay.
 
     The benchmark is the query set: it is held by the driver and broadcast, in blocks of ``TOGETHER`` passages with a
-    space each, so the tool is for benchmarks, not for matching corpora. About ``sample_docs`` documents, picked by
-    a hash of their text, are the corpus part of the fit.
+    space each, so the tool is for benchmarks, not for matching corpora.
     """
     passages = item_passages(items, item_id, item_text)
     idf = inverse_frequencies(docs, text)
-    total = docs.count()
-    rate = min(1.0, sample_docs / max(1, total))
-    sample = docs.select(F.col(text)).where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(text), F.lit(1 << 20)) < int(rate * (1 << 20)))).limit(2 * sample_docs)
-    spaces = [latent_space(sample, text, passages[i : i + TOGETHER], idf) for i in range(0, len(passages), TOGETHER)]
+    spaces = [latent_space(docs, text, passages[i : i + TOGETHER], idf) for i in range(0, len(passages), TOGETHER)]
     held = docs.sparkSession.sparkContext.broadcast((idf, spaces))
     names = [f.split()[0] for f in LEAK.split(", ")]
     shape = pa.list_(pa.struct([(n, pa.int64() if k == "long" else pa.float64()) for n, k in (f.split() for f in LEAK.split(", "))]))

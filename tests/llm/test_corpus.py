@@ -316,6 +316,35 @@ def test_leaks_and_paraphrases_are_found(spark):
     assert all(not r.leaks for r in decontam.find_leaks(docs, items.limit(0)).collect())
 
 
+def test_latent_space_is_fitted_on_every_document(spark):
+    rng = np.random.default_rng(2)
+    texts = ["", *[" ".join(f"v{x}" for x in rng.integers(0, 60, n)) for n in rng.integers(1, 90, 60)]]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    items = spark.createDataFrame([(i, " ".join(f"v{x}" for x in rng.integers(0, 40, 20))) for i in range(3)], "item_id long, text string")
+    passages, idf = decontam.item_passages(items, "item_id", "text"), decontam.inverse_frequencies(docs, "text")
+    got = decontam.latent_space(docs, "text", passages, idf)
+    column = {int(b): k for k, b in enumerate(got.terms)}
+
+    def vector(ws, whole):
+        v, norm = np.zeros(len(column)), 0
+        for h in ws:
+            b = int(decontam.bucket(np.uint64(h)[None])[0])
+            norm += float(idf[b]) ** 2
+            if b in column:
+                v[column[b]] += idf[b]
+        return v / (np.linalg.norm(v) if whole else math.sqrt(norm))
+
+    own = np.array([vector(p.words, True) for p in passages])
+    h, first = decontam.texts_words(pa.array(texts), True, decontam.MARKS)
+    every = [h[i : min(i + 24, b)] for a, b in zip(first, first[1:]) for i in range(a, b, 12)]
+    a = np.vstack([decontam.WEIGHT * own, *[vector(w, False)[None] for w in every]])
+    start = np.random.default_rng(3).normal(size=(len(column), min(len(column), len(own) + decontam.EXTRA))).astype(np.float32)
+    q, _ = np.linalg.qr(a.T @ (a @ start))
+    want = q @ (q.T @ own.T)
+    want = want / np.linalg.norm(want, axis=0) * idf[got.terms][:, None]
+    assert np.abs(want - got.items).max() < 1e-2 * np.abs(want).max()
+
+
 def test_every_item_that_stands_in_a_document_is_found(spark):
     con = duckdb.connect()
     want = set(con.sql(f"SELECT doc_id, item_id FROM '{SF}/documents.parquet' d, '{SF}/benchmark.parquet' b WHERE contains(d.text, b.text)").fetchall())

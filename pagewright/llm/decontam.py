@@ -6,6 +6,10 @@ is a candidate for an item when its vector's cosine with the item's latent vecto
 a leak if the longest common subsequence of item and surroundings covers most of the item, or, for looser
 paraphrases, a good part of it and of its answer, the item's last words.
 
+The cosine proves nothing for long items or for items of common words, so an exact search stands beside it: a text that
+has that part of an item has some of the item's rarest words, and where its words could reach the part, they are compared
+as well. So no text is missed that the comparison would call a leak; verbatim copies are among them.
+
 Document frequencies count every document. The decomposition is fitted on all benchmark passages and all passages of
 all documents, over the words of the benchmark; every passage of every document is searched.
 """
@@ -39,6 +43,16 @@ class Passage(NamedTuple):
     answer: int  # how many of the last words are the answer
 
 
+class Anchors(NamedTuple):
+    """The rarest words of some item passages: a text that has PART of a passage has at least ``least`` of its anchors."""
+
+    words: np.ndarray  # sorted
+    start: np.ndarray  # of each word's entries, and their end
+    passage: np.ndarray
+    times: np.ndarray  # how often the passage has the word
+    least: np.ndarray  # by passage
+
+
 class Space(NamedTuple):
     """A latent space and the item passages in it."""
 
@@ -47,6 +61,39 @@ class Space(NamedTuple):
     items: np.ndarray  # terms x passages: unit latent vectors times idf
 
 
+def needed_words(p: Passage) -> int:
+    """The fewest words in order that can be a leak."""
+    return next(k for k in range(1, len(p.words) + 1) if k / len(p.words) >= PART)
+
+
+def anchors(passages: list[Passage], idf: np.ndarray) -> Anchors:
+    rows, least = [], []
+    for i, p in enumerate(passages):
+        need = needed_words(p)
+        least.append(max(1, need // 2))
+        rare = sorted(p.words, key=lambda w: (-float(idf[w >> 46]), w))[: len(p.words) - need + least[-1]]
+        rows += [(w, i, rare.count(w)) for w in set(rare)]
+    rows.sort()
+    every = np.array([w for w, _, _ in rows], np.uint64)
+    own, start = np.unique(every, return_index=True)
+    return Anchors(own, np.append(start, len(rows)), np.array([i for _, i, _ in rows], np.int64), np.array([n for _, _, n in rows], np.int64), np.array(least, np.int64))
+
+
+def possible(a: Anchors, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int]]:
+    """(text, passage) pairs with enough anchors: all pairs in which the text has PART of the passage."""
+    if not len(a.words) or not len(h):
+        return []
+    k = np.minimum(np.searchsorted(a.words, h), len(a.words) - 1)
+    at = np.flatnonzero(a.words[k] == h)
+    seen = np.unique((np.searchsorted(first, at, "right") - 1) * len(a.words) + k[at])
+    text, word = seen // len(a.words), seen % len(a.words)
+    size = a.start[word + 1] - a.start[word]
+    entry = np.arange(size.sum()) + np.repeat(a.start[word] - np.cumsum(size) + size, size)
+    pair, code = np.unique(np.repeat(text, size) * len(a.least) + a.passage[entry], return_inverse=True)
+    enough = pair[np.bincount(code, a.times[entry], minlength=len(pair)) >= a.least[pair % len(a.least)]]
+    return list(zip((enough // len(a.least)).tolist(), (enough % len(a.least)).tolist()))
+
+
 def bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(46)).astype(np.int64)
 
@@ -218,17 +265,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", out: str =
     passages = item_passages(items, item_id, item_text)
     idf = inverse_frequencies(docs, text)
     spaces = [latent_space(docs, text, passages[i : i + TOGETHER], idf) for i in range(0, len(passages), TOGETHER)]
-    held = docs.sparkSession.sparkContext.broadcast((idf, spaces))
+    held = docs.sparkSession.sparkContext.broadcast((idf, spaces, [anchors(s.passages, idf) for s in spaces]))
     names = [f.split()[0] for f in LEAK.split(", ")]
     shape = pa.list_(pa.struct([(n, pa.int64() if k == "long" else pa.float64()) for n, k in (f.split() for f in LEAK.split(", "))]))
 
     def search(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        idf, spaces = held.value
+        idf, spaces, rare = held.value
         for column in columns:
             found: list[dict[int, tuple]] = [{} for _ in range(len(column))]
             for row, piece in chunks(column, 1 << 18):
                 h, first = texts_words(piece, True, MARKS)
-                for space in spaces:
+                for space, exact in zip(spaces, rare):
                     begin, segment, term, weight, norm = segment_terms(h, first, idf, space.terms)
                     ok = np.flatnonzero(term >= 0)
                     inside = np.append(np.bincount(segment[ok], (weight * weight)[ok], minlength=begin[-1]), 0.0)
@@ -238,6 +285,31 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", out: str =
                     # A passage's cosine with any item is at most the norm that it has in the items' words.
                     both = lambda x: x[:-1] + np.where(alone[:-1], 0, x[1:])  # noqa: B023, E731
                     hopeful = both(inside) >= cosine * cosine * np.maximum(both(size), 1e-12)
+
+                    def judge(space: Space, p: int, seg: int, near: float | None, begin=begin, first=first, h=h, term=term, norm=both(size), row=row, found=found) -> None:
+                        passage = space.passages[p]
+                        doc = int(np.searchsorted(begin, seg, "right")) - 1
+                        place = int(first[doc]) + (seg - int(begin[doc])) * SEGMENT
+                        lo = max(int(first[doc]), place - len(passage.words))
+                        hi = min(int(first[doc + 1]), place + 2 * SEGMENT + len(passage.words))
+                        if shares := verdict(passage, h[lo:hi].tolist()):
+                            if near is None:
+                                own = term[place : min(place + 2 * SEGMENT, int(first[doc + 1]))]
+                                near = float(space.items[own[own >= 0], p].sum() / np.sqrt(max(norm[seg], 1e-12)))
+                            entry = (*shares, near, int(first[doc]) - lo, hi - 1 - int(first[doc]))
+                            old = found[row + doc].get(passage.item_id)
+                            if old is None or entry > old:
+                                found[row + doc][passage.item_id] = entry
+
+                    for doc, p in possible(exact, h, first):
+                        words, need = space.passages[p].words, needed_words(space.passages[p])
+                        hits = np.flatnonzero(np.isin(h[first[doc] : first[doc + 1]], np.array(words, np.uint64)))
+                        if len(hits) < need:
+                            continue
+                        start = np.arange(begin[doc + 1] - begin[doc]) * SEGMENT
+                        inside_hits = np.searchsorted(hits, start + 2 * SEGMENT + len(words)) - np.searchsorted(hits, start - len(words))
+                        for seg in (begin[doc] + np.flatnonzero(inside_hits >= need)).tolist():
+                            judge(space, p, seg, None)
                     needed = np.append(hopeful, False)
                     needed[1:] |= np.append(hopeful, False)[:-1]
                     ok = ok[needed[segment[ok]]]
@@ -250,16 +322,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", out: str =
                     score = dots[at] + np.where(alone[at][:, None], 0, dots[at + 1])
                     score /= np.sqrt(np.maximum(both(size)[at], 1e-12))[:, None]
                     for k, p in zip(*np.nonzero(score >= cosine)):
-                        passage, seg = space.passages[p], int(at[k])
-                        doc = int(np.searchsorted(begin, seg, "right")) - 1
-                        place = int(first[doc]) + (seg - int(begin[doc])) * SEGMENT
-                        lo = max(int(first[doc]), place - len(passage.words))
-                        hi = min(int(first[doc + 1]), place + 2 * SEGMENT + len(passage.words))
-                        if shares := verdict(passage, h[lo:hi].tolist()):
-                            entry = (*shares, float(score[k, p]), int(first[doc]) - lo, hi - 1 - int(first[doc]))
-                            old = found[row + doc].get(passage.item_id)
-                            if old is None or entry > old:
-                                found[row + doc][passage.item_id] = entry
+                        judge(space, int(p), int(at[k]), float(score[k, p]))
             yield pa.array([[dict(zip(names, (i, e[2], e[0], e[1], -e[3], e[4]))) for i, e in sorted(f.items())] for f in found], shape)
 
     ddl = "array<struct<" + ", ".join(f.replace(" ", ": ") for f in LEAK.split(", ")) + ">>"

@@ -316,6 +316,19 @@ def test_leaks_and_paraphrases_are_found(spark):
     assert all(not r.leaks for r in decontam.find_leaks(docs, items.limit(0)).collect())
 
 
+def test_no_leak_is_lost_to_the_cosine(spark):
+    rng = np.random.default_rng(9)
+    noise = lambda n, of: " ".join(f"{of}{x}" for x in rng.integers(0, 5000, n))
+    common, long = [f"c{i}" for i in range(16)], [f"q{i}" for i in range(72)]
+    copies = [noise(8, "rare") + " " + " ".join(common) + " " + noise(8, "rare") for _ in range(40)]
+    part = " ".join(w if i % 5 < 3 else f"{noise(1, 'r')} {noise(1, 'r')}" for i, w in enumerate(long))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*copies, part, noise(300, "z"), " ".join(common[::-1])])], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(common)), (2, " ".join(long))], "item_id long, text string")
+    for gate in (decontam.COSINE, 2.0):
+        got = {(r.doc_id, x.item_id) for r in decontam.find_leaks(docs, items, cosine=gate).collect() for x in r.leaks}
+        assert got == {*((i, 1) for i in range(40)), (40, 2)}
+
+
 def test_latent_space_is_fitted_on_every_document(spark):
     rng = np.random.default_rng(2)
     texts = ["", *[" ".join(f"v{x}" for x in rng.integers(0, 60, n)) for n in rng.integers(1, 90, 60)]]

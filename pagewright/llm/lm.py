@@ -1,25 +1,30 @@
 """Language-model scores from a probabilistic suffix tree over words, beside a unigram base score.
 
-A text is its words (A-Z lower-cased) and one end. Contexts are the last 1 to ``REACH`` words, the start of the text
-counting as one; they cross words and are counted over every word of every training text. A context is kept if it
-occurs at least twice in training and if its next-word distribution diverges from that of the longest kept context that
-is shorter. Each word is scored in the state of the longest kept suffix of the words before it, whose distribution is
-smoothed with that of its parent: n / (n + kinds) of the weight goes to its own counts.
-
-The tree grows level by level. A block asks for its distinct contexts and next words, with its training counts, in groups
-of context hashes; a group sums the counts of all blocks, tests each context and answers each block. What the test needs
-of the parent's distribution is a sum over occurrences, so blocks send it with the context. A context is asked for only
-if its parent occurs twice, which loses nothing.
-
-The root is the word's own training count joined with a spelling, in the proportion of words seen once, so unseen words
-get about the weight that unseen words have. The spelling is a suffix tree over bytes that never reaches back over the
-start of a word, counted from the distinct training words, one each, as it has to spell words that training doesn't know.
+A text is its words (A-Z lower-cased) and one end. States are contexts of the last 1 to ``REACH`` words, the start of
+the text counting as one; they cross words and are counted over every word of every training text. The root is the base
+distribution, in which all words that training doesn't have share one class. A longer context has its own next-word
+distribution, smoothed with that of the longest kept context that is shorter:
+
+    p(x | context) = (n(x) + (kinds + rare) * p(x | shorter)) / (total + kinds)
+
+n(x) counts x after the context, kinds counts such words, and rare is the weight of words that training has only once
+after the context one word shorter; these are left to the shorter context, so that a word seen once in training scores
+like one seen nowhere. A context is kept if it occurs at least twice in training, if it doesn't always stand behind the
+same further word (else it is no node of its own), and if its distribution diverges: the training words after it are by
+``DIVERGENCE`` nats likelier under its own counts than under the shorter context. Each word is scored in the state of
+the longest kept suffix of the words before it.
+
+The tree grows level by level and is never in one place. A block sends its distinct contexts, with sums over its
+training words, to groups of context hashes; a group adds up all blocks, tests each context and answers each block.
+A context with more than ``HOT`` occurrences is spread over groups by its next words. A context's number of
+occurrences is the count of its last word one level up, so a block knows without asking which contexts can matter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,351 +32,305 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.blocks import load, pack, saved
-from pagewright.llm.words import LOWER, chunks, flat, run_hashes, spans, word_hashes
+from pagewright.llm.words import chunks, flat, mix, spans, word_hashes
 
-DEPTH = 6
-LIKELY = 2e-6
 DIVERGENCE = 4.0
-WORD_END, TEXT_END = 0x20, 0x0A  # neither is a byte of a word
-START = 0x09  # stands before a word's first byte in contexts
 BASE_EPSILON = 0.5
 REACH = 3  # words of the longest context
 BLOCK = 4 << 20  # bytes of a block: a walk holds several times as much
-ROUNDS = (1, 2, 2)  # by level: in so many parts by context, so that less is on disk at once
+HOT = 1 << 22
+HOT_SHARE = 1 << 20  # no context under this part of all training tokens is spread, so a level has at most twice as many parts
 HEAD, TAIL = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)  # stand for the start and the end of a text
+STEP = np.uint64(0x9E3779B97F4A7C15)
 NEXT_BYTES = 5  # that tell apart the words after one context
 
+WORDS = "block_id long, symbols binary, code binary, first binary, train binary, texts long"
+ANSWER = "block_id long, bucket long, level int, spare binary, kinds binary, n binary"
+ANSWER_WIRE = pa.schema([("block_id", pa.int64()), ("bucket", pa.int64()), ("level", pa.int32()), ("spare", pa.binary()), ("kinds", pa.binary()), ("n", pa.binary())])
+SENT = ["keys", "hot", "asked", "past", "rare", "next", "counts"]
+SENT_KINDS = (np.uint64, np.uint8, np.int32, np.float64, np.int32, np.uint8, np.int32)
+SENT_WIRE = pa.schema([("bucket", pa.int64()), ("block_id", pa.int64()), *[(c, pa.binary()) for c in SENT]])
 
-class BlockWords:
-    """The distinct words of a block, by hash, and the distinct word of each place."""
-
-    def __init__(self, texts: pa.Array):
-        hashes, first, self.pieces, n = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)], [], 0
-        starts, ends = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        self.buf, at = flat(texts)
-        for row, piece in chunks(texts):
-            buf, own = flat(piece)
-            s, e, f = spans(buf, own)
-            hashes.append(word_hashes(buf, s, e, lower=True))
-            starts.append(s + at[row])
-            ends.append(e + at[row])
-            first.append(f[1:] + n)
-            n += len(s)
-        self.first = np.concatenate(first)
-        self.keys, where, self.code = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-        self.start, self.end = np.concatenate(starts)[where], np.concatenate(ends)[where]
-
-    def counts(self, rows: np.ndarray) -> np.ndarray:
-        """How often each distinct word stands in the flagged rows."""
-        own = np.repeat(rows, np.diff(self.first))
-        return np.bincount(self.code[own], minlength=len(self.keys))
-
-    def spelled(self) -> pa.Array:
-        """The distinct words, lower-cased, in the order of their hashes."""
-        size = self.end - self.start
-        offset = np.concatenate([[0], np.cumsum(size)])
-        at = np.arange(offset[-1]) + np.repeat(self.start - offset[:-1], size)
-        return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offset.astype(np.int64).tobytes()), pa.py_buffer(LOWER[self.buf[at]].tobytes())])
-
-
-def symbols(words: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of words (large_binary), word by word: next symbols, their contexts, context lengths, and each symbol's word.
-
-    A context holds at most ``depth`` bytes, the latest lowest: START and the word so far.
-    """
-    _, offsets, data = words.buffers()
-    at = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
-    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
-    raw, at = raw[at[0] : at[-1]], at - at[0]
-    size = np.diff(at)
-    word = np.repeat(np.arange(len(size)), size + 1)
-    offset = np.concatenate([[0], np.cumsum(size + 1)])
-    nxt = np.full(offset[-1], WORD_END, np.uint8)
-    inside = np.ones(len(nxt), bool)
-    inside[offset[1:] - 1] = False
-    nxt[inside] = raw
-    past = np.full(len(nxt), START, np.uint8)  # the symbol before each place
-    past[1:][inside[:-1]] = nxt[:-1][inside[:-1]]
-    place = np.arange(len(nxt)) - offset[:-1][word]
-    context = past.astype(np.uint64)
-    for d in range(1, depth):
-        longer = np.flatnonzero(place >= d)
-        context[longer] |= past[longer - d].astype(np.uint64) << np.uint64(8 * d)
-    return nxt, context, np.minimum(place + 1, depth), word
-
-
-def cut(context: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-    """A context's latest ``length`` bytes."""
-    return context & ((np.uint64(1) << (np.asarray(length, np.uint64) * np.uint64(8))) - np.uint64(1))
-
-
-class SuffixTree:
-    """Kept contexts with their smoothed next-symbol distributions, as sorted arrays.
-
-    entries: (context, length, symbol, count), all contexts likely enough. The root's distribution mixes in the uniform
-    one over bytes, so every symbol has a probability; a kept context gives n / (n + kinds) of the weight to its own
-    counts and the rest to its parent's distribution, kinds being the symbols that it has seen.
-    """
 
-    def __init__(self, context: np.ndarray, length: np.ndarray, symbol: np.ndarray, count: np.ndarray, divergence: float):
-        self.depth = int(length.max(initial=0))
-        self.keys: list[np.ndarray] = []  # by length: kept contexts
-        self.spare: list[np.ndarray] = []  # their weight of the parent
-        self.seen: list[np.ndarray] = []  # by length: context << 8 | symbol
-        self.share: list[np.ndarray] = []  # its probability
-        for d in range(self.depth + 1):
-            here = length == d
-            c, s, n = context[here], symbol[here].astype(np.uint64), count[here].astype(np.float64)
-            order = np.argsort(c << np.uint64(8) | s) if d < 8 else np.lexsort((s, c))
-            c, s, n = c[order], s[order], n[order]
-            keys, start, kinds = np.unique(c, return_index=True, return_counts=True)
-            total = np.add.reduceat(n, start) if len(start) else np.empty(0)
-            row = np.repeat(np.arange(len(keys)), kinds)
-            parent = self.probability(c, np.full(len(c), d - 1), s.astype(np.uint8)) if d else np.full(len(c), 1 / 256)
-            spare = kinds / (total + kinds)
-            share = n / (total + kinds)[row] + spare[row] * parent
-            if d:
-                gain = np.bincount(row, n * np.log(n / total[row] / parent), minlength=len(keys))
-                keep = gain >= divergence
-            else:
-                keep = np.ones(len(keys), bool)
-            self.keys.append(keys[keep])
-            self.spare.append(spare[keep])
-            self.seen.append((c << np.uint64(8) | s)[keep[row]])
-            self.share.append(share[keep[row]])
-
-    def probability(self, context: np.ndarray, length: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Of each symbol in the state of the longest kept suffix of its context."""
-        out = np.full(len(symbol), 1 / 256)
-        if not self.keys or not len(symbol):
-            return out
-        known = np.zeros(len(symbol), bool)  # a longer state has the symbol
-        factor = np.ones(len(symbol))
-        for d in range(min(len(self.keys) - 1, int(length.max())), -1, -1):
-            if not len(self.keys[d]):
-                continue
-            own = np.flatnonzero(~known & (length >= d))
-            c = cut(context[own], d)
-            k = np.minimum(np.searchsorted(self.keys[d], c), len(self.keys[d]) - 1)
-            own, c, k = (x[self.keys[d][k] == c] for x in (own, c, k))
-            pair = c << np.uint64(8) | symbol[own].astype(np.uint64)
-            j = np.minimum(np.searchsorted(self.seen[d], pair), len(self.seen[d]) - 1)
-            hit = self.seen[d][j] == pair
-            out[own[hit]] = self.share[d][j[hit]]
-            known[own[hit]] = True
-            factor[own[~hit]] *= self.spare[d][k[~hit]]
-        return out * factor
-
-    def word_scores(self, words: pa.Array, depth: int) -> np.ndarray:
-        """log10 of each word's probability, its end included."""
-        nxt, context, length, word = symbols(words, depth)
-        return np.bincount(word, np.log10(self.probability(context, length, nxt)), minlength=len(words))
-
-    def end_score(self) -> float:
-        one = np.array([START], np.uint64)
-        return float(np.log10(self.probability(one, np.array([1]), np.array([TEXT_END], np.uint8)))[0])
-
-
-def count_words(blocks: DataFrame, place: dict[str, int], bits: int) -> DataFrame:
-    """Training counts of all distinct words, group by group of hashes.
-
-    Rows of two kinds: for each block (block_id, bucket) the counts of the words it asked for, in its order of hashes;
-    and for each group (block_id -1) its training words, counts and spellings as an Arrow block.
-    """
+class Model(NamedTuple):
+    """What every block needs to know."""
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts: int  # in training
+    tokens: int
+    distinct: int
+    divergence: float
+    hot: int
+
+    def base(self, count: np.ndarray) -> np.ndarray:
+        return np.log10(count + BASE_EPSILON) - np.log10(self.tokens + BASE_EPSILON * (self.distinct + 1))
+
+
+class Sums(NamedTuple):
+    """Of contexts, over their training words. ``n`` are counts of next words that the shorter context has twice."""
+
+    logs: np.ndarray  # sum of n * ln n
+    strong: np.ndarray  # sum of n
+    kinds: np.ndarray  # how many n are above 0
+    past: np.ndarray  # their ln probability in the shorter context, summed over occurrences
+    rare: np.ndarray  # occurrences of other words
+
+    def gain(self) -> np.ndarray:
+        """By how many nats training is at least likelier with the context's own distribution."""
+        size = np.maximum(self.strong + self.rare + self.kinds, 1)
+        spare = np.maximum(self.rare + self.kinds, 1)
+        return self.logs - self.strong * np.log(size) - self.past + self.rare * (np.log(spare) - np.log(size))
+
+
+def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and the number of each value among them."""
+    order = np.argsort(key)
+    ranked = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    code = np.empty(len(key), np.int64)
+    code[order] = np.cumsum(new) - 1
+    return ranked[new], code
+
+
+def joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate([*parts, np.empty(0, kind)])
+
+
+def group_edges(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """Sorted keys in groups by their leading bits: (group, from, to)."""
+    edges = [0, *np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist(), len(keys)]
+    return [(g, a, b) for g, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+
+
+class Asked(NamedTuple):
+    """A level of a block. A pair is a context and a next word; a unit is a context, or a part of a hot one."""
+
+    at: np.ndarray  # places whose context occurs twice
+    code: np.ndarray  # their pairs
+    owner: np.ndarray  # each pair's context, as a number of the level before
+    symbol: np.ndarray
+    where: np.ndarray  # one of its places
+    row: np.ndarray  # its context, as a row of the next ones
+    total: np.ndarray  # of contexts: occurrences in training
+    own: np.ndarray  # of contexts: a node of the tree
+    keys: np.ndarray  # of contexts
+    unit: np.ndarray  # of pairs: rank among units by key, -1 if not asked
+    units: np.ndarray  # keys of units, ascending
+    unit_row: np.ndarray
+    strong: np.ndarray  # pairs to ask for, in the order of units
+
+
+class Walk:
+    """The words of a block as places of one sequence, each text between a start and an end, and their log10 probability
+    in the longest kept context so far."""
+
+    def __init__(self, words: dict, counts: np.ndarray, model: Model):
+        """words: a row of WORDS; counts: of its symbols in training."""
+        symbols, code, first = (np.frombuffer(words[c], k) for c, k in (("symbols", np.uint64), ("code", np.int32), ("first", np.int64)))
+        n, kinds = np.diff(first), len(symbols)
+        self.model, self.counts = model, counts
+        self.first = first + 2 * np.arange(len(first))
+        self.symbols = np.concatenate([symbols, [TAIL, HEAD]])
+        self.code = np.full(self.first[-1], kinds + 1, np.int64)
+        self.code[self.first[1:] - 1] = kinds
+        self.code[np.arange(len(code)) + np.repeat(2 * np.arange(len(n)) + 1, n)] = code
+        self.place = np.arange(len(self.code)) - np.repeat(self.first[:-1], n + 2)
+        self.train = np.repeat(np.frombuffer(words["train"], bool), n + 2)
+        every = np.append(counts, [model.texts, model.texts])
+        self.n = every[self.code]  # of the place's pair in training, or of its word alone
+        self.score = model.base(every)[self.code]
+        self.before = np.full(len(self.code), -1)  # occurrences of the context one word shorter
+        self.ids, self.hashes = self.code, self.symbols  # of the sequences of ``level`` words that end at each place
+
+    def ask(self, level: int) -> Asked:
+        total = np.zeros(len(self.n), np.int64)
+        total[1:] = self.n[:-1]
+        at = np.flatnonzero((total >= 2) & (self.place >= level))
+        pair, code = grouped(self.ids[at - 1] * len(self.symbols) + self.code[at])
+        owner, symbol = pair // len(self.symbols), pair % len(self.symbols)
+        where = np.empty(len(pair), np.int64)
+        where[code] = at
+        head = np.ones(len(pair), bool)
+        head[1:] = owner[1:] != owner[:-1]
+        row = np.cumsum(head) - 1
+        total = total[where[head]]
+        own = total != self.before[where[head]]
+        keys = self.hashes[owner[head]]
+        parts = -(-total // self.model.hot)
+        if hot := bool((parts > 1).any()):
+            salt = (mix(self.symbols[symbol]) % parts[row].astype(np.uint64)).astype(np.int64)
+            name, unit = grouped(row * (int(parts.max()) + 1) + salt)
+            unit_row, salt = name // (int(parts.max()) + 1), name % (int(parts.max()) + 1)
+            units = np.where(parts[unit_row] > 1, self.part_keys(keys[unit_row], salt), keys[unit_row])
+        else:
+            units, unit_row, unit = keys, np.arange(len(keys)), row
+        order = np.argsort(units)
+        order = order[own[unit_row[order]]]
+        rank = np.full(len(units), -1, np.int64)
+        rank[order] = np.arange(len(order))
+        unit = rank[unit]
+        strong = np.flatnonzero((unit >= 0) & (self.n[where] >= 2))
+        strong = strong[np.argsort(unit[strong], kind="stable")]
+        return Asked(at, code, owner, symbol, where, row, total, own, keys, unit, units[order], unit_row[order], strong)
+
+    @staticmethod
+    def part_keys(keys: np.ndarray, part: np.ndarray) -> np.ndarray:
+        return mix(keys + (part + 1).astype(np.uint64) * STEP)
+
+    def messages(self, level: int, block: int, bits: int) -> Iterator[pa.RecordBatch]:
+        a = self.ask(level)
+        learn = self.train[a.at]
+        unit = a.unit[a.code]
+        seen_twice = self.n[a.at] >= 2
+        own = learn & (unit >= 0)
+        counts = np.bincount(a.code, learn, minlength=len(a.owner))[a.strong].astype(np.int32)
+        past = np.bincount(unit[own & seen_twice], self.score[a.at[own & seen_twice]], minlength=len(a.units)) * np.log(10)
+        rare = np.bincount(unit[own & ~seen_twice], minlength=len(a.units)).astype(np.int32)
+        asked = np.bincount(a.unit[a.strong], minlength=len(a.units)).astype(np.int32)
+        short = self.symbols[a.symbol[a.strong]].view(np.uint8).reshape(-1, 8)[:, :NEXT_BYTES]
+        hot = (a.total[a.unit_row] > self.model.hot).astype(np.uint8)
+        end = np.concatenate([[0], np.cumsum(asked)])
+        for g, i, j in group_edges(a.units, bits):
+            x, y = int(end[i]), int(end[j])
+            columns = [a.units[i:j], hot[i:j], asked[i:j], past[i:j], rare[i:j], short[x:y], counts[x:y]]
+            yield pa.RecordBatch.from_pylist([{"bucket": g, "block_id": block} | {c: v.tobytes() for c, v in zip(SENT, columns)}], SENT_WIRE)
+
+    def go_down(self, level: int, answers: list[dict], hot: tuple[np.ndarray, Sums]) -> None:
+        """Take the answers of a level's groups, in the order of groups."""
+        a = self.ask(level)
+        held = [joined([np.frombuffer(x[c], np.int64) for x in answers], np.int64) for c in ("spare", "kinds", "n")]
+        spare, kinds = np.zeros(len(a.total), np.int64), np.zeros(len(a.total), np.int64)
+        spare[a.unit_row], kinds[a.unit_row] = held[0], held[1]
+        for r in np.flatnonzero(a.own & (a.total > self.model.hot)):
+            spare[r], kinds[r] = self.hot_state(a.keys[r], int(a.total[r]), hot)
+        pairs = np.minimum(self.n[a.where], 1)  # words that the shorter context has once or not at all
+        pairs = np.where(a.own[a.row], pairs, self.n[a.where])
+        pairs[a.strong] = held[2]
+        kept = (spare > 0)[a.row][a.code]
+        at, code = a.at[kept], a.code[kept]
+        row = a.row[code]
+        n = np.where(self.n[at] >= 2, pairs[code], 0)
+        self.score[at] = np.log10(n + spare[row] * 10.0 ** self.score[at]) - np.log10(a.total[row] + kinds[row])
+        self.before = np.zeros(len(self.n), np.int64)
+        self.before[1:] = self.n[:-1]
+        self.n = np.zeros(len(self.n), np.int64)
+        self.n[a.at] = pairs[a.code]
+        self.ids = np.full(len(self.n), -1, np.int64)
+        self.ids[a.at] = a.code
+        self.hashes = mix(self.hashes[a.owner] * STEP + self.symbols[a.symbol])
+
+    def hot_state(self, key: np.uint64, total: int, hot: tuple[np.ndarray, Sums]) -> tuple[int, int]:
+        """Spare weight and kinds of a context whose words are spread over groups; 0 if it isn't kept."""
+        parts = -(-total // self.model.hot)
+        names = self.part_keys(np.full(parts, key), np.arange(parts))
+        k = np.minimum(np.searchsorted(hot[0], names), max(len(hot[0]) - 1, 0))
+        k = k[hot[0][k] == names]
+        s = Sums(*[x[k].sum(keepdims=True) for x in hot[1]])
+        return (int(s.kinds[0] + s.rare[0]), int(s.kinds[0])) if s.gain()[0] >= self.model.divergence else (0, 0)
+
+
+def block_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct word hashes of a block, the number of each word among them, and each text's first word."""
+    hashes, first, n = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)], 0
+    for _, piece in chunks(texts):
+        buf, at = flat(piece)
+        s, e, f = spans(buf, at)
+        hashes.append(word_hashes(buf, s, e, lower=True))
+        first.append(f[1:] + n)
+        n += len(s)
+    return *grouped(np.concatenate(hashes)), np.concatenate(first)
+
+
+def split_words(blocks: DataFrame, place: dict[str, int]) -> DataFrame:
+    """The words of each block as a row of WORDS: later steps start from these and not from texts."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch["block_id"].to_pylist(), batch["payload"]):
                 rows = load(payload.as_buffer())
-                w = BlockWords(rows.column(place["text"]))
+                symbols, code, first = block_words(rows.column(place["text"]))
                 train = rows.column(place["train"]).to_numpy(zero_copy_only=False).astype(bool)
-                n, spelled = w.counts(train), w.spelled()
-                edges = [0, *np.searchsorted(w.keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist(), len(w.keys)]
-                own = [(g, a, b) for g, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
-                size = np.concatenate([[0], np.cumsum(w.end - w.start)])
-                text = np.frombuffer(spelled.buffers()[2], np.uint8) if len(w.keys) else np.empty(0, np.uint8)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([g for g, _, _ in own], pa.int64()), pa.array([block] * len(own), pa.int64()),
-                        pa.array([w.keys[a:b].tobytes() for _, a, b in own], pa.binary()),
-                        pa.array([n[a:b].astype(np.int64).tobytes() for _, a, b in own], pa.binary()),
-                        pa.array([np.diff(size[a : b + 1]).astype(np.int32).tobytes() for _, a, b in own], pa.binary()),
-                        pa.array([text[size[a] : size[b]].tobytes() for _, a, b in own], pa.binary()),
-                    ],
-                    ["bucket", "block_id", "keys", "counts", "sizes", "text"],
-                )
+                parts = [symbols.tobytes(), code.astype(np.int32).tobytes(), first.tobytes(), train.tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([block]), *[pa.array([p], pa.binary()) for p in parts], pa.array([int(train.sum())])], [f.split()[0] for f in WORDS.split(", ")])
+
+    return saved(blocks.mapInArrow(split, WORDS), "words")
+
+
+def count_words(words: DataFrame, bits: int) -> DataFrame:
+    """Training counts of words: each block's, in its order of symbols, by groups of hashes; and for each group a row of
+    block -1 whose n are its numbers of distinct words and of words in training."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in batch.to_pylist():
+                symbols, code, first, train = (np.frombuffer(w[c], k) for c, k in (("symbols", np.uint64), ("code", np.int32), ("first", np.int64), ("train", bool)))
+                n = np.bincount(code[np.repeat(train, np.diff(first))], minlength=len(symbols))
+                for g, a, b in group_edges(symbols, bits):
+                    yield pa.RecordBatch.from_pylist([{"bucket": g, "block_id": w["block_id"], "keys": symbols[a:b].tobytes(), "counts": n[a:b].tobytes()}], wire)
 
     def count(table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
-        keys = np.concatenate(parts)
-        n = np.concatenate([np.frombuffer(x, np.int64) for x in table["counts"].to_pylist()])
-        size = np.concatenate([np.frombuffer(x, np.int32) for x in table["sizes"].to_pylist()]).astype(np.int64)
-        text = np.frombuffer(b"".join(table["text"].to_pylist()), np.uint8)
-        start = np.cumsum(size) - size
-        _, where, code = np.unique(keys, return_index=True, return_inverse=True)
-        total = np.bincount(code, n, minlength=len(where)).astype(np.int64)
-        back, at = [], 0
-        for part in parts:
-            back.append(total[code[at : at + len(part)]].tobytes())
-            at += len(part)
-        known = where[total > 0]
-        offset = np.concatenate([[0], np.cumsum(size[known])])
-        letters = text[np.arange(offset[-1]) + np.repeat(start[known] - offset[:-1], size[known])]
-        words = pa.Array.from_buffers(pa.large_binary(), len(known), [None, pa.py_buffer(offset.astype(np.int64).tobytes()), pa.py_buffer(letters.tobytes())])
-        vocabulary = pa.RecordBatch.from_arrays([words, pa.array(total[total > 0])], ["word", "n"])
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, vocabulary.schema) as out:
-            out.write_batch(vocabulary)
-        return pa.table({
-            "block_id": pa.array([*table["block_id"].to_pylist(), -1], pa.int64()),
-            "bucket": pa.array([*table["bucket"].to_pylist(), table["bucket"][0].as_py()], pa.int64()),
-            "n": pa.array([0] * len(parts) + [len(known)], pa.int64()), "once": pa.array([0] * len(parts) + [int((total == 1).sum())], pa.int64()),
-            "total": pa.array([0] * len(parts) + [int(total.sum())], pa.int64()),
-            "counts": pa.array([*back, sink.getvalue().to_pybytes()], pa.binary()),
-        })
-
-    sent = blocks.mapInArrow(ask, "bucket long, block_id long, keys binary, counts binary, sizes binary, text binary")
-    return saved(sent.groupBy("bucket").applyInArrow(count, "block_id long, bucket long, n long, once long, total long, counts binary"), "word-counts")
-
-
-def count_contexts(vocabulary: DataFrame, texts: int, depth: int, likely: float, divergence: float) -> SuffixTree:
-    """The tree of a table of training words. Only contexts of at least the share ``likely`` of all symbols reach the
-    driver, so at most depth / likely of them, however large the corpus is."""
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for payload in batch["counts"]:
-                words = load(payload.as_buffer())
-                nxt, context, length, word = symbols(words.column(0), depth)
-                n = np.ones(len(word), np.int64)
-                for d in range(depth + 1):
-                    own = length >= d
-                    low = cut(context[own], d) << np.uint64(8) | nxt[own]
-                    pair, code = np.unique(low, return_inverse=True)
-                    total = np.bincount(code, n[own], minlength=len(pair)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), d, np.int32)), pa.array(pair.view(np.int64)), pa.array(total)], ["length", "pair", "n"])
-
-    pairs = vocabulary.mapInArrow(spell, "length int, pair long, n long").groupBy("length", "pair").agg(F.sum("n").alias("n"))
-    pairs = saved(pairs.withColumn("context", F.shiftrightunsigned("pair", 8)), "context-counts")
-    symbols_seen = pairs.where("length = 0").agg(F.sum("n")).first()[0] or 0
-    contexts = pairs.groupBy("length", "context").agg(F.sum("n").alias("total")).where(F.col("total") >= max(2.0, likely * symbols_seen))
-    kept = pairs.join(contexts, ["length", "context"], "left_semi").select("length", "pair", "n").toArrow()
-    pair = kept["pair"].to_numpy().view(np.uint64)
-    length, n = kept["length"].to_numpy().astype(np.int64), kept["n"].to_numpy()
-    if texts:  # the end of a text follows the start of a word
-        pair = np.append(pair, [np.uint64(TEXT_END), np.uint64(START << 8 | TEXT_END)])
-        length, n = np.append(length, [0, 1]), np.append(n, [texts, texts])
-    return SuffixTree(pair >> np.uint64(8), length, (pair & np.uint64(255)).astype(np.uint8), n, divergence)
+        keys, code = grouped(np.concatenate(parts))
+        total = np.bincount(code, np.concatenate([np.frombuffer(x, np.int64) for x in table["counts"].to_pylist()]), minlength=len(keys)).astype(np.int64)
+        ends = np.cumsum([len(p) for p in parts])
+        back = [total[code[b - len(p) : b]].tobytes() for p, b in zip(parts, ends.tolist())]
+        rows = [*zip(table["block_id"].to_pylist(), back), (-1, np.array([np.count_nonzero(total), total.sum()]).tobytes())]
+        return pa.Table.from_pylist([{"block_id": k, "bucket": table["bucket"][0].as_py(), "level": 0, "spare": b"", "kinds": b"", "n": n} for k, n in rows], ANSWER_WIRE)
 
+    wire = pa.schema([("bucket", pa.int64()), ("block_id", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+    sent = words.select("block_id", "symbols", "code", "first", "train").mapInArrow(ask, "bucket long, block_id long, keys binary, counts binary")
+    return saved(sent.groupBy("bucket").applyInArrow(count, ANSWER), "word-counts")
 
-class Walk:
-    """The words of a block as places of one sequence, each text between a start and an end, and their log10 probability
-    in the longest kept context so far."""
 
-    def __init__(self, w: BlockWords, train: np.ndarray, root: np.ndarray):
-        """root: log10 of the root's probability of each distinct word and of the end."""
-        n = np.diff(w.first)
-        self.first = w.first + 2 * np.arange(len(w.first))
-        self.symbols = np.concatenate([w.keys, [TAIL, HEAD]])
-        self.code = np.full(self.first[-1], len(w.keys) + 1, np.int64)
-        self.code[self.first[1:] - 1] = len(w.keys)
-        self.code[np.arange(len(w.code)) + np.repeat(2 * np.arange(len(n)) + 1, n)] = w.code
-        self.place = np.arange(len(self.code)) - np.repeat(self.first[:-1], n + 2)
-        self.train = np.repeat(train, n + 2)
-        self.score = np.append(root, 0.0)[self.code]
-        self.hash = self.symbols[self.code]
-        self.live = self.place > 0  # the context one word shorter occurs twice in training
-        self.next_live = np.zeros(len(self.live), bool)
-
-    def asked(self, level: int, part: int, parts: int) -> tuple[np.ndarray, ...]:
-        """Places, their contexts (places in the next), distinct contexts, places' pairs, and each pair's context and next word."""
-        at = np.flatnonzero(self.live & (self.place >= level))
-        context = run_hashes(self.hash, level)[at - level]
-        own = context % np.uint64(parts) == part
-        at, context = at[own], context[own]
-        keys, row = np.unique(context, return_inverse=True)
-        pair, code = np.unique(row * len(self.symbols) + self.code[at], return_inverse=True)
-        return at, row, keys, code, pair // len(self.symbols), self.symbols[pair % len(self.symbols)]
-
-    def apply(self, level: int, answers: dict[int, bytes]) -> None:
-        """Go one level down with the answers of all its parts."""
-        for part in range(len(answers)):
-            at, row, keys, code, owner, _ = self.asked(level, part, len(answers))
-            total, kinds, n = unpacked(answers[part], len(keys), owner)
-            self.next_live[at[total[row] != 0]] = True
-            own = total[row] > 0
-            at, t, k, seen = at[own], total[row[own]], kinds[row[own]], n[code[own]]
-            rest = np.log10(k) + self.score[at]
-            self.score[at] = np.where(seen > 0, np.log10(np.maximum(seen, 1) + 10.0 ** np.maximum(rest, -300)), rest) - np.log10(t + k)
-        self.live, self.next_live = self.next_live, np.zeros(len(self.live), bool)
-
-
-def unpacked(answers: list[bytes], contexts: int, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block's answers group by group: each context's total (negative if it isn't kept, 0 if it doesn't occur twice),
-    its number of next words, and each pair's count; the last two are given for kept contexts only."""
-    parts = [[np.frombuffer(x[key], np.int64) for x in answers] for key in ("total", "kinds", "n")]
-    total, held, pairs = (np.concatenate([*p, np.empty(0, np.int64)]) for p in parts)
-    kinds, n = np.zeros(contexts, np.int64), np.zeros(len(owner), np.int64)
-    kinds[total > 0] = held
-    n[total[owner] > 0] = pairs
-    return total, kinds, n
-
-
-def count_level(asking: DataFrame, walk, level: int, part: int, parts: int, bits: int, divergence: float) -> DataFrame:
-    """Count and test the contexts of ``level`` words whose hash modulo ``parts`` is ``part``: answers by block and group.
-
-    ``walk`` gives the Walk of a row of ``asking`` down to the level before.
+def count_level(asking: DataFrame, walk, level: int, bits: int, divergence: float) -> DataFrame:
+    """Count and test the contexts of ``level`` words: answers by block and group; rows of block -1 have sums of hot parts.
+
+    ``walk`` gives the Walk of a row of ``asking`` down to the level before. spare is 0 for contexts that aren't kept.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, payload, answers in zip(batch["block_id"].to_pylist(), batch["payload"], batch["answers"]):
-                _, _, w = walk(payload, answers)
-                at, row, keys, code, owner, symbol = w.asked(level, part, parts)
-                counted = w.train[at]
-                n = np.bincount(code, counted, minlength=len(owner)).astype(np.int32)
-                past = np.bincount(row, np.where(counted, w.score[at], 0), minlength=len(keys)).astype(np.float32)
-                asked = np.bincount(owner, minlength=len(keys)).astype(np.int32)
-                short = np.ascontiguousarray(symbol).view(np.uint8).reshape(-1, 8)[:, :NEXT_BYTES]
-                edges = [0, *np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist(), len(keys)]
-                pairs = np.searchsorted(owner, edges).tolist()
-                for g, (a, b, i, j) in enumerate(zip(edges, edges[1:], pairs, pairs[1:])):
-                    if a < b:
-                        yield pa.RecordBatch.from_pylist([{
-                            "bucket": g, "block_id": block, "keys": keys[a:b].tobytes(), "asked": asked[a:b].tobytes(), "past": past[a:b].tobytes(),
-                            "next": short[i:j].tobytes(), "counts": n[i:j].tobytes(),
-                        }], wire)
-
-    names = ["keys", "asked", "past", "next", "counts"]
-    wire = pa.schema([("bucket", pa.int64()), ("block_id", pa.int64()), *[(c, pa.binary()) for c in names]])
+            for row in batch.to_pylist():
+                yield from walk(row).messages(level, row["block_id"], bits)
 
     def count(table: pa.Table) -> pa.Table:
-        keys, asked, past, short, counts = ([np.frombuffer(x, kind) for x in table[c].to_pylist()] for c, kind in zip(names, (np.uint64, np.int32, np.float32, np.uint8, np.int32)))
-        own, code = np.unique(np.concatenate(keys), return_inverse=True)
-        row = np.repeat(code, np.concatenate(asked))
-        symbol = np.zeros((len(row), 8), np.uint8)
-        symbol[:, :NEXT_BYTES] = np.concatenate(short).reshape(-1, NEXT_BYTES)
-        pair, place = np.unique(row.astype(np.uint64) << np.uint64(8 * NEXT_BYTES) | symbol.view(np.uint64)[:, 0], return_inverse=True)
-        n = np.bincount(place, np.concatenate(counts), minlength=len(pair))
+        table = table.sort_by("block_id")
+        parts = [[np.frombuffer(x, kind) for x in table[c].to_pylist()] for c, kind in zip(SENT, SENT_KINDS)]
+        sizes, asks = [len(k) for k in parts[0]], [int(x.sum()) for x in parts[2]]
+        keys, hot, asked, past, rare, short, counts = (np.concatenate(p) for p in parts)
+        own, code = grouped(keys)
+        symbol = np.zeros((len(counts), 8), np.uint8)
+        symbol[:, :NEXT_BYTES] = short.reshape(-1, NEXT_BYTES)
+        pair, place = grouped(np.repeat(code, asked).astype(np.uint64) << np.uint64(8 * NEXT_BYTES) | symbol.view(np.uint64)[:, 0])
+        n = np.bincount(place, counts, minlength=len(pair)).astype(np.int64)
         owner = (pair >> np.uint64(8 * NEXT_BYTES)).astype(np.int64)
-        total, kinds = np.bincount(owner, n, minlength=len(own)), np.bincount(owner, n > 0, minlength=len(own)).astype(np.int64)
-        high = lambda x: x * np.log(np.maximum(x, 1))
-        gain = np.bincount(owner, high(n), minlength=len(own)) - high(total) - np.log(10) * np.bincount(code, np.concatenate(past).astype(np.float64), minlength=len(own))
-        keep = gain >= divergence
-        state = np.where(total < 2, 0, np.where(keep, total, -total)).astype(np.int64)
-        n, out, at, to = n.astype(np.int64), {"total": [], "kinds": [], "n": []}, 0, 0
-        for k, a in zip(keys, asked):
-            mine, size = code[at : at + len(k)], int(a.sum())
-            kept = state[mine] > 0
-            out["total"].append(state[mine].tobytes())
-            out["kinds"].append(kinds[mine[kept]].tobytes())
-            out["n"].append(n[place[to : to + size][np.repeat(kept, a)]].tobytes())
-            at, to = at + len(k), to + size
-        head = {"level": pa.array([level] * len(keys), pa.int32()), "part": pa.array([part] * len(keys), pa.int32())}
-        return pa.table({"block_id": table["block_id"], "bucket": table["bucket"], **head, **{c: pa.array(x, pa.binary()) for c, x in out.items()}})
-
-    sent = asking.mapInArrow(ask, "bucket long, block_id long, keys binary, asked binary, past binary, next binary, counts binary")
-    return saved(sent.groupBy("bucket").applyInArrow(count, "block_id long, bucket long, level int, part int, total binary, kinds binary, n binary"), "contexts")
+        total = lambda at, x: np.bincount(at, x, minlength=len(own))
+        s = Sums(total(owner, n * np.log(np.maximum(n, 1))), total(owner, n), total(owner, n > 0), total(code, past), total(code, rare))
+        keep = s.gain() >= divergence
+        kinds, spare = np.where(keep, s.kinds, 0).astype(np.int64), np.where(keep, s.kinds + s.rare, 0).astype(np.int64)
+        head = {"bucket": table["bucket"][0].as_py(), "level": level}
+        rows, i, j = [], 0, 0
+        for block, k, p in zip(table["block_id"].to_pylist(), sizes, asks):
+            mine = code[i : i + k]
+            rows.append(head | {"block_id": block, "spare": spare[mine].tobytes(), "kinds": kinds[mine].tobytes(), "n": n[place[j : j + p]].tobytes()})
+            i, j = i + k, j + p
+        if hot.any():
+            held = np.unique(code[hot > 0])
+            rows.append(head | {"block_id": -1, "spare": own[held].tobytes(), "kinds": b"", "n": np.stack([x[held] for x in s]).astype(np.float64).tobytes()})
+        return pa.Table.from_pylist(rows, ANSWER_WIRE)
+
+    sent = asking.mapInArrow(ask, "bucket long, block_id long, " + ", ".join(f"{c} binary" for c in SENT))
+    return saved(sent.groupBy("bucket").applyInArrow(count, ANSWER), "contexts")
+
+
+def hot_sums(told: DataFrame) -> tuple[np.ndarray, Sums]:
+    """The parts of hot contexts of a level, by key. There are at most 2 * HOT_SHARE of them, whatever the input."""
+    rows = told.where("block_id = -1").select("spare", "n").toArrow()
+    keys = joined([np.frombuffer(x, np.uint64) for x in rows["spare"].to_pylist()], np.uint64)
+    sums = [np.frombuffer(x, np.float64).reshape(len(Sums._fields), -1) for x in rows["n"].to_pylist()]
+    table = np.concatenate([*sums, np.empty((len(Sums._fields), 0))], axis=1)
+    order = np.argsort(keys)
+    return keys[order], Sums(*table[:, order])
 
 
 @contextmanager
@@ -386,105 +345,71 @@ def brief_shuffles(spark: SparkSession):
         spark.conf.set(key, old) if old is not None else spark.conf.unset(key)
 
 
-def score_texts(
-    df: DataFrame, train: Column, text: str = "text", *, depth: int = DEPTH, likely: float = LIKELY, divergence: float = DIVERGENCE, reach: int = REACH,
-) -> DataFrame:
+def score_texts(df: DataFrame, train: Column, text: str = "text", *, divergence: float = DIVERGENCE, reach: int = REACH, hot: int = HOT) -> DataFrame:
     """Add n_tokens, n_known, train_tokens, base_score and score to every row.
 
     train says which rows the model learns from (null: no). Tokens are the words, A-Z lower-cased, and one end; null
     texts are empty, so they have the end alone. base_score is the sum over tokens of log10((c + 0.5) / (N + 0.5 * (V +
     1))) with c, N and V counted in training tokens; score is the model's log10 probability of the tokens.
-    Without training rows N and V are 0, base_score is 0 and the tree is uniform over bytes. Repeated rows are rows of
-    their own. Other columns stay; columns of the five names are replaced.
+    Without training rows N and V are 0, and both scores are 0. Repeated rows are rows of their own. An empty table
+    gives no rows. Other columns stay; columns of the five names are replaced.
+
+    Words are told apart by 64-bit hashes, contexts too, and the words after one context by 40 bits of theirs.
     """
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     own = [c for c in df.columns if c.lower() not in new]
     rows = df.select(*own, F.coalesce(train, F.lit(False)).alias("__train"))
-    place = {"text": own.index(text), "train": len(own)}
     blocks = saved(pack(rows, BLOCK), "blocks", "uncompressed")
-    with brief_shuffles(df.sparkSession):
-        return _scored(df, rows, blocks, own, new, place, depth, likely, divergence, reach)
-
-
-def _scored(df: DataFrame, rows: DataFrame, blocks: DataFrame, own: list[str], new: list[str], place: dict[str, int], depth: int, likely: float, divergence: float, reach: int) -> DataFrame:
-    bits = max(6, (blocks.count() // 2).bit_length())
-    told = count_words(blocks, place, bits)
-    vocabulary = told.where("block_id = -1")
-    kinds, words, once = vocabulary.agg(F.sum("n"), F.sum("total"), F.sum("once")).first()
-    texts = rows.where("__train").count()
-    n_train, v_train = (words or 0) + texts, (kinds or 0) + (texts > 0)
-    unseen = max(1, once or 0)  # the spelling's weight against the counts
-    tree = count_contexts(vocabulary, texts, depth, likely, divergence)
-    held = df.sparkSession.sparkContext.broadcast(tree)
-    answers = told.where("block_id >= 0").groupBy("block_id").agg(F.collect_list(F.struct("bucket", "counts")).alias("answers"))
     schema = df.select(*own, *[F.lit(0).cast("long").alias(c) for c in new[:3]], *[F.lit(0.0).alias(c) for c in new[3:]]).schema
-
-    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Level 0: of each block, the counts of its distinct words, and log10 of the root's probability of them and the end."""
-        tree = held.value
-
-        def joined(c: np.ndarray, spelling: np.ndarray) -> np.ndarray:
-            """log10 of (c + unseen * spelling) / (N + unseen), also where the spelling's probability underflows."""
-            rare = np.log10(unseen) + spelling
-            return np.where(c > 0, np.log10(np.maximum(c, 1) + 10.0 ** np.maximum(rare, -300)), rare) - np.log10(n_train + unseen)
-
-        end = joined(np.array([texts]), np.array([tree.end_score()]))
-        for batch in batches:
-            for block, payload, answer in zip(batch["block_id"].to_pylist(), batch["payload"], batch["answers"].to_pylist()):
-                w = BlockWords(load(payload.as_buffer()).column(place["text"]))
-                parts = [np.frombuffer(x["counts"], np.int64) for x in sorted(answer or [], key=lambda x: x["bucket"])]
-                c = np.concatenate([*parts, np.empty(0, np.int64)])
-                root = np.append(joined(c, tree.word_scores(w.spelled(), depth)), end)
-                yield pa.RecordBatch.from_pylist([{"block_id": block, "bucket": 0, "level": 0, "part": 0, "total": c.tobytes(), "kinds": b"", "n": root.tobytes()}], wire)
-
-    wire = pa.schema([("block_id", pa.int64()), ("bucket", pa.int64()), ("level", pa.int32()), ("part", pa.int32()), *[(c, pa.binary()) for c in ("total", "kinds", "n")]])
-
-    def walk(payload: pa.Scalar, answers: pa.Scalar) -> tuple[pa.RecordBatch, tuple[BlockWords, np.ndarray], Walk]:
-        """A block's rows, its words and their counts, and its walk down all levels that have answers."""
-        rows = load(payload.as_buffer())
-        w = BlockWords(rows.column(place["text"]))
-        found: dict[int, dict[int, list]] = {}
-        for x in sorted(answers.as_py(), key=lambda x: (x["level"], x["part"], x["bucket"])):
-            found.setdefault(x["level"], {}).setdefault(x["part"], []).append(x)
-        counts, root = np.frombuffer(found[0][0][0]["total"], np.int64), np.frombuffer(found[0][0][0]["n"], np.float64)
-        train = rows.column(place["train"]).to_numpy(zero_copy_only=False).astype(bool)
-        way = Walk(w, train, root)
-        for level in range(1, max(found) + 1):
-            way.apply(level, {k: found[level].get(k, []) for k in range(ROUNDS[min(level, len(ROUNDS)) - 1])})
-        return rows, (w, counts), way
-
-    def gathered(tables: list[DataFrame]) -> DataFrame:
-        every = tables[0]
-        for t in tables[1:]:
+    with brief_shuffles(df.sparkSession):
+        words = split_words(blocks, {"text": own.index(text), "train": len(own)})
+        return _scored(blocks, words, schema, [*own, *new], divergence, reach, hot)
+
+
+def _scored(blocks: DataFrame, words: DataFrame, schema, names: list[str], divergence: float, reach: int, hot: int) -> DataFrame:
+    n_blocks, texts = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("texts"), F.lit(0))).first()
+    bits = max(6, (n_blocks // 2).bit_length())
+    told = [count_words(words, bits)]
+    groups = [np.frombuffer(x, np.int64) for x in told[0].where("block_id = -1").select("n").toArrow()["n"].to_pylist()]
+    kinds, seen = np.sum([np.zeros(2, np.int64), *groups], axis=0).tolist()
+    model = Model(texts, seen + texts, kinds + (texts > 0), divergence, max(hot, (seen + texts) // HOT_SHARE))
+    context, spread = blocks.sparkSession.sparkContext, []
+
+    def walk(row: dict) -> Walk:
+        """A block's walk down all levels that have answers."""
+        found: dict[int, list] = {}
+        for x in sorted(row["answers"] or [], key=lambda x: (x["level"], x["bucket"])):
+            found.setdefault(x["level"], []).append(x)
+        way = Walk(row, joined([np.frombuffer(x["n"], np.int64) for x in found.pop(0, [])], np.int64), model)
+        for level, held in enumerate(spread, 1):
+            way.go_down(level, found.get(level, []), held.value)
+        return way
+
+    def gathered() -> DataFrame:
+        every = told[0]
+        for t in told[1:]:
             every = every.unionByName(t)
-        every = every.groupBy("block_id").agg(F.collect_list(F.struct("level", "part", "bucket", "total", "kinds", "n")).alias("answers"))
-        return blocks.join(every, "block_id").select("block_id", "payload", "answers")
+        every = every.where("block_id >= 0").groupBy("block_id").agg(F.collect_list(F.struct("level", "bucket", "spare", "kinds", "n")).alias("answers"))
+        return words.drop("texts").join(every, "block_id", "left")
 
-    known = [saved(blocks.join(answers, "block_id", "left").select("block_id", "payload", "answers").mapInArrow(roots, "block_id long, bucket long, level int, part int, total binary, kinds binary, n binary"), "roots")]
     for level in range(1, reach + 1):
-        parts = ROUNDS[min(level, len(ROUNDS)) - 1]
-        asking = gathered(known)
-        known += [count_level(asking, walk, level, part, parts, bits, divergence) for part in range(parts)]
+        told.append(count_level(gathered(), walk, level, bits, divergence))
+        spread.append(context.broadcast(hot_sums(told[-1])))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = np.log10(n_train + BASE_EPSILON * (v_train + 1))
         for batch in batches:
-            for payload, answer in zip(batch["payload"], batch["answers"]):
-                rows, (w, c), way = walk(payload, answer)
-                unigram = np.log10(c + BASE_EPSILON) - base
+            for payload, row in zip(batch["payload"], batch.drop_columns(["payload"]).to_pylist()):
+                way, first = walk(row), np.frombuffer(row["first"], np.int64)
+                code = np.frombuffer(row["code"], np.int32)
 
-                def by_row(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+                def by_text(x: np.ndarray, first: np.ndarray) -> np.ndarray:
                     total = np.concatenate([[0], np.cumsum(x)])
                     return total[first[1:]] - total[first[:-1]]
 
-                n = np.diff(w.first)
-                known = by_row((c > 0).astype(np.int64)[w.code], w.first) + (texts > 0)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *rows.columns[:-1], pa.array(n + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), n_train), pa.int64()),
-                        pa.array(by_row(unigram[w.code], w.first) + np.log10(texts + BASE_EPSILON) - base), pa.array(by_row(np.where(way.place > 0, way.score, 0), way.first)),
-                    ],
-                    [*own, *new],
-                )
-
-    return gathered(known).mapInArrow(score, schema)
+                known = by_text((way.counts > 0).astype(np.int64)[code], first) + (texts > 0)
+                base = by_text(model.base(way.counts)[code], first) + model.base(np.array([texts]))
+                scores = by_text(np.where(way.place > 0, way.score, 0), way.first)
+                added = [np.diff(first) + 1, known, np.full(len(known), model.tokens), base, scores]
+                yield pa.RecordBatch.from_arrays([*load(payload.as_buffer()).columns[:-1], *map(pa.array, added)], names)
+
+    return blocks.join(gathered(), "block_id").mapInArrow(score, schema)

@@ -200,66 +200,70 @@ def test_base_scores_and_counts(spark, docs):
     assert lm.score_texts(docs.limit(0), F.lit(True)).count() == 0
 
 
-def test_tree_distributions_sum_to_one():
-    text = pa.array([w.encode() for w in "the then there than this that a an and".split()], pa.large_binary())
-    nxt, context, length, _ = lm.symbols(text, 4)
-    entries = Counter()
-    for d in range(5):
-        own = length >= d
-        entries.update((int(c), d, int(s)) for c, s in zip(lm.cut(context[own], d), nxt[own]))
-    c, d, s = (np.array(x) for x in zip(*entries))
-    tree = lm.SuffixTree(c.astype(np.uint64), d, s.astype(np.uint8), np.array(list(entries.values())), 0.5)
-    everything = np.arange(256, dtype=np.uint8)
-    for past in (b"\t", b"\tt", b"\tth", b"\tthe", b"zzz"):
-        value = np.uint64(int.from_bytes(past, "big"))
-        p = tree.probability(np.full(256, value), np.full(256, len(past)), everything)
-        assert p.sum() == pytest.approx(1) and p.min() > 0
-    assert sum(len(k) for k in tree.keys[1:]) > 0
-
-
 def test_repeated_words_score_better_than_strange_ones(spark):
     rows = [(i, "red green blue " * 20, None, None, None, None) for i in range(20)] + [(99, "blue red green", None, None, None, None), (98, "qxz vvk jjw", None, None, None, None)]
     got = {r.doc_id: r.score for r in lm.score_texts(spark.createDataFrame(rows, SCHEMA), F.col("doc_id") < 20).where("doc_id > 20").collect()}
     assert got[99] > got[98] + 5
 
 
-def brute_scores(texts, train, reach, divergence, root):
-    """Contexts of words counted, tested and scored one by one; root gives a token's probability without context."""
+def brute_scores(texts, train, reach, divergence):
+    """Contexts of words counted, tested and scored one by one: (log10 probabilities, kept contexts, their distribution)."""
     ways = [[("start",), *[("word", w) for w in words(t.lower())], ("end",)] for t in texts]
+    learnt = [w for w, own in zip(ways, train) if own]
+    seen = [{(): Counter(t for way in learnt for t in way[1:])}]
+    size, kinds = seen[0][()].total(), len(seen[0][()])
+    for d in range(1, reach + 1):
+        seen.append({})
+        for way in learnt:
+            for i in range(d, len(way)):
+                seen[d].setdefault(tuple(way[i - d : i]), Counter())[way[i]] += 1
     kept = {}
 
     def p(past, token, longest):
         for d in range(min(longest, len(past)), 0, -1):
-            if own := kept.get(past[-d:]):
-                return (own[token] + len(own) * p(past, token, d - 1)) / (own.total() + len(own))
-        return root(token)
+            if past[-d:] in kept:
+                n, spare, total = kept[past[-d:]]
+                return (n[token] + spare * p(past, token, d - 1)) / total
+        return (seen[0][()][token] + 0.5) / (size + 0.5 * (kinds + 1))
 
     for d in range(1, reach + 1):
-        seen = {}
-        for way in (w for w, own in zip(ways, train) if own):
-            for i in range(d, len(way)):
-                seen.setdefault(tuple(way[i - d : i]), Counter())[way[i]] += 1
-        kept |= {c: n for c, n in seen.items() if n.total() >= 2 and sum(k * math.log(k / n.total() / p(c, s, d - 1)) for s, k in n.items()) >= divergence}
-    return [sum(math.log10(p(tuple(way[max(0, i - reach) : i]), way[i], reach)) for i in range(1, len(way))) for way in ways], kept
-
-
-def test_contexts_cross_words_as_in_brute_force(spark):
+        for c, n in seen[d].items():
+            shorter = seen[d - 1][c[1:]]
+            if n.total() < 2 or (d > 1 and shorter.total() == n.total()):
+                continue
+            strong = Counter({t: k for t, k in n.items() if shorter[t] >= 2})
+            rare = n.total() - strong.total()
+            spare, total = len(strong) + rare, n.total() + len(strong)
+            gain = sum(k * math.log(k / total / p(c, t, d - 1)) for t, k in strong.items()) + (rare * math.log(spare / total) if rare else 0)
+            if gain >= divergence:
+                kept[c] = (strong, spare, total)
+    return [sum(math.log10(p(tuple(way[max(0, i - reach) : i]), way[i], reach)) for i in range(1, len(way))) for way in ways], kept, p
+
+
+@pytest.mark.parametrize("hot", [1 << 22, 7])
+def test_contexts_cross_words_as_in_brute_force(spark, hot):
     rng = np.random.default_rng(8)
     say = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 40, n))
     passage = say(50)
-    texts = ["", *[say(int(n)) for n in rng.integers(1, 60, 60)], passage, say(9) + " " + passage, " ".join(sorted(passage.split())), "never seen " + passage]
-    train = [i % 5 != 1 and i < len(texts) - 2 for i in range(len(texts))]
+    often = " ".join(f"the v{x}" for x in rng.integers(0, 30, 200))
+    texts = ["", *[say(int(n)) for n in rng.integers(1, 60, 60)], often, passage, say(9) + " " + passage, " ".join(sorted(passage.split())), "never seen " + passage]
+    train = [i % 5 != 1 and i < len(texts) - 2 or texts[i] == often for i in range(len(texts))]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
-    told = lambda reach: {r.doc_id: r.score for r in lm.score_texts(frame, F.element_at(F.array(*map(F.lit, train)), F.col("doc_id").cast("int") + 1), reach=reach, divergence=1.0).collect()}
-    flat_scores, got = told(0), told(3)
-    one = {r.text: r.score for r in lm.score_texts(spark.createDataFrame([(t, True) for t in texts for _ in "x" if train[texts.index(t)]] + [(w, False) for w in {w for t in texts for w in words(t)}], "text string, own boolean"), F.col("own"), reach=0).collect() if " " not in r.text}
-    end = flat_scores[0]
-    want, kept = brute_scores(texts, train, 3, 1.0, lambda s: 10 ** (end if s == ("end",) else one[s[1]] - end))
+    got = {r.doc_id: r.score for r in lm.score_texts(frame, F.element_at(F.array(*map(F.lit, train)), F.col("doc_id").cast("int") + 1), divergence=1.0, hot=hot).collect()}
+    want, kept, p = brute_scores(texts, train, 3, 1.0)
     assert {len(c) for c in kept} == {1, 2, 3}
-    for i, w in enumerate(want):
-        assert got[i] == pytest.approx(w, abs=1e-3)
-    shuffled, seen = len(texts) - 2, len(texts) - 4
-    assert abs(flat_scores[shuffled] - flat_scores[seen]) < 1e-6 and got[seen] > got[shuffled] + 10
+    assert max(v[2] for v in kept.values()) > 21  # some are spread over groups
+    assert [got[i] for i in range(len(want))] == pytest.approx(want, abs=1e-6)
+    assert got[len(texts) - 4] > got[len(texts) - 2] + 10  # the same words sorted
+    every = {("end",), *[("word", w) for t, own in zip(texts, train) if own for w in words(t)], ("word", "never")}
+    for c in list(kept)[::20]:
+        assert sum(p(c, t, 3) for t in every) == pytest.approx(1)
+
+
+def test_held_out_texts_of_known_words_beat_the_base(spark):
+    got = queries.op9_lm_scoring(spark, SF).collect()
+    known = [r for r in got if r.held_out and r.n_known == r.n_tokens and r.n_tokens > 1]
+    assert known and sum(r.score for r in known) > sum(r.base_score for r in known)
 
 
 def test_held_out_languages_are_right(spark):

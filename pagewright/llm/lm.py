@@ -48,7 +48,6 @@ WORDS = "block_id long, symbols binary, code binary, first binary, train binary,
 ANSWER = "block_id long, bucket long, level int, spare binary, kinds binary, n binary"
 ANSWER_WIRE = pa.schema([("block_id", pa.int64()), ("bucket", pa.int64()), ("level", pa.int32()), ("spare", pa.binary()), ("kinds", pa.binary()), ("n", pa.binary())])
 SENT = ["keys", "hot", "asked", "past", "rare", "next", "counts"]
-SENT_KINDS = (np.uint64, np.uint8, np.int32, np.float64, np.int32, np.uint8, np.int32)
 SENT_WIRE = pa.schema([("bucket", pa.int64()), ("block_id", pa.int64()), *[(c, pa.binary()) for c in SENT]])
 
 
@@ -81,6 +80,22 @@ class Sums(NamedTuple):
         return self.logs - self.strong * np.log(size) - self.past + self.rare * (np.log(spare) - np.log(size))
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """Numbers of at least 0, or floats, in few bytes; loosened() gives them back."""
+    if x.dtype.kind != "f":
+        x = x.astype(np.min_scalar_type(x.max(initial=0)))
+    return x.dtype.char.encode() + len(x).to_bytes(8, "little") + pa.compress(x.tobytes(), "zstd", asbytes=True)
+
+
+def loosened(data: bytes) -> np.ndarray:
+    kind, n = np.dtype(chr(data[0])), int.from_bytes(data[1:9], "little")
+    return np.frombuffer(pa.decompress(data[9:], n * kind.itemsize, "zstd", asbytes=True), kind)
+
+
+def numbers(data: bytes) -> np.ndarray:
+    return loosened(data).astype(np.int64)
+
+
 def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values, ascending, and the number of each value among them."""
     order = np.argsort(key)
@@ -126,7 +141,7 @@ class Walk:
 
     def __init__(self, words: dict, counts: np.ndarray, model: Model):
         """words: a row of WORDS; counts: of its symbols in training."""
-        symbols, code, first = (np.frombuffer(words[c], k) for c, k in (("symbols", np.uint64), ("code", np.int32), ("first", np.int64)))
+        symbols, code, first = np.frombuffer(words["symbols"], np.uint64), numbers(words["code"]), numbers(words["first"])
         n, kinds = np.diff(first), len(symbols)
         self.model, self.counts = model, counts
         self.first = first + 2 * np.arange(len(first))
@@ -135,7 +150,7 @@ class Walk:
         self.code[self.first[1:] - 1] = kinds
         self.code[np.arange(len(code)) + np.repeat(2 * np.arange(len(n)) + 1, n)] = code
         self.place = np.arange(len(self.code)) - np.repeat(self.first[:-1], n + 2)
-        self.train = np.repeat(np.frombuffer(words["train"], bool), n + 2)
+        self.train = np.repeat(loosened(words["train"]) > 0, n + 2)
         every = np.append(counts, [model.texts, model.texts])
         self.n = every[self.code]  # of the place's pair in training, or of its word alone
         self.score = model.base(every)[self.code]
@@ -185,6 +200,7 @@ class Walk:
         own = learn & (unit >= 0)
         counts = np.bincount(a.code, learn, minlength=len(a.owner))[a.strong].astype(np.int32)
         past = np.bincount(unit[own & seen_twice], self.score[a.at[own & seen_twice]], minlength=len(a.units)) * np.log(10)
+        past = past.astype(np.float32)
         rare = np.bincount(unit[own & ~seen_twice], minlength=len(a.units)).astype(np.int32)
         asked = np.bincount(a.unit[a.strong], minlength=len(a.units)).astype(np.int32)
         short = self.symbols[a.symbol[a.strong]].view(np.uint8).reshape(-1, 8)[:, :NEXT_BYTES]
@@ -192,13 +208,13 @@ class Walk:
         end = np.concatenate([[0], np.cumsum(asked)])
         for g, i, j in group_edges(a.units, bits):
             x, y = int(end[i]), int(end[j])
-            columns = [a.units[i:j], hot[i:j], asked[i:j], past[i:j], rare[i:j], short[x:y], counts[x:y]]
-            yield pa.RecordBatch.from_pylist([{"bucket": g, "block_id": block} | {c: v.tobytes() for c, v in zip(SENT, columns)}], SENT_WIRE)
+            columns = [a.units[i:j].tobytes(), *map(squeezed, (hot[i:j], asked[i:j], past[i:j], rare[i:j])), short[x:y].tobytes(), squeezed(counts[x:y])]
+            yield pa.RecordBatch.from_pylist([{"bucket": g, "block_id": block} | dict(zip(SENT, columns))], SENT_WIRE)
 
     def go_down(self, level: int, answers: list[dict], hot: tuple[np.ndarray, Sums]) -> None:
         """Take the answers of a level's groups, in the order of groups."""
         a = self.ask(level)
-        held = [joined([np.frombuffer(x[c], np.int64) for x in answers], np.int64) for c in ("spare", "kinds", "n")]
+        held = [joined([numbers(x[c]) for x in answers], np.int64) for c in ("spare", "kinds", "n")]
         spare, kinds = np.zeros(len(a.total), np.int64), np.zeros(len(a.total), np.int64)
         spare[a.unit_row], kinds[a.unit_row] = held[0], held[1]
         for r in np.flatnonzero(a.own & (a.total > self.model.hot)):
@@ -250,7 +266,7 @@ def split_words(blocks: DataFrame, place: dict[str, int]) -> DataFrame:
                 rows = load(payload.as_buffer())
                 symbols, code, first = block_words(rows.column(place["text"]))
                 train = rows.column(place["train"]).to_numpy(zero_copy_only=False).astype(bool)
-                parts = [symbols.tobytes(), code.astype(np.int32).tobytes(), first.tobytes(), train.tobytes()]
+                parts = [symbols.tobytes(), squeezed(code), squeezed(first), squeezed(train.astype(np.uint8))]
                 yield pa.RecordBatch.from_arrays([pa.array([block]), *[pa.array([p], pa.binary()) for p in parts], pa.array([int(train.sum())])], [f.split()[0] for f in WORDS.split(", ")])
 
     return saved(blocks.mapInArrow(split, WORDS), "words")
@@ -263,18 +279,18 @@ def count_words(words: DataFrame, bits: int) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in batch.to_pylist():
-                symbols, code, first, train = (np.frombuffer(w[c], k) for c, k in (("symbols", np.uint64), ("code", np.int32), ("first", np.int64), ("train", bool)))
+                symbols, code, first, train = np.frombuffer(w["symbols"], np.uint64), numbers(w["code"]), numbers(w["first"]), loosened(w["train"]) > 0
                 n = np.bincount(code[np.repeat(train, np.diff(first))], minlength=len(symbols))
                 for g, a, b in group_edges(symbols, bits):
-                    yield pa.RecordBatch.from_pylist([{"bucket": g, "block_id": w["block_id"], "keys": symbols[a:b].tobytes(), "counts": n[a:b].tobytes()}], wire)
+                    yield pa.RecordBatch.from_pylist([{"bucket": g, "block_id": w["block_id"], "keys": symbols[a:b].tobytes(), "counts": squeezed(n[a:b])}], wire)
 
     def count(table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
         keys, code = grouped(np.concatenate(parts))
-        total = np.bincount(code, np.concatenate([np.frombuffer(x, np.int64) for x in table["counts"].to_pylist()]), minlength=len(keys)).astype(np.int64)
+        total = np.bincount(code, np.concatenate([numbers(x) for x in table["counts"].to_pylist()]), minlength=len(keys)).astype(np.int64)
         ends = np.cumsum([len(p) for p in parts])
-        back = [total[code[b - len(p) : b]].tobytes() for p, b in zip(parts, ends.tolist())]
-        rows = [*zip(table["block_id"].to_pylist(), back), (-1, np.array([np.count_nonzero(total), total.sum()]).tobytes())]
+        back = [squeezed(total[code[b - len(p) : b]]) for p, b in zip(parts, ends.tolist())]
+        rows = [*zip(table["block_id"].to_pylist(), back), (-1, squeezed(np.array([np.count_nonzero(total), total.sum()])))]
         return pa.Table.from_pylist([{"block_id": k, "bucket": table["bucket"][0].as_py(), "level": 0, "spare": b"", "kinds": b"", "n": n} for k, n in rows], ANSWER_WIRE)
 
     wire = pa.schema([("bucket", pa.int64()), ("block_id", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -295,7 +311,8 @@ def count_level(asking: DataFrame, walk, level: int, bits: int, divergence: floa
 
     def count(table: pa.Table) -> pa.Table:
         table = table.sort_by("block_id")
-        parts = [[np.frombuffer(x, kind) for x in table[c].to_pylist()] for c, kind in zip(SENT, SENT_KINDS)]
+        plain = {"keys": lambda x: np.frombuffer(x, np.uint64), "next": lambda x: np.frombuffer(x, np.uint8)}
+        parts = [[plain.get(c, loosened)(x) for x in table[c].to_pylist()] for c in SENT]
         sizes, asks = [len(k) for k in parts[0]], [int(x.sum()) for x in parts[2]]
         keys, hot, asked, past, rare, short, counts = (np.concatenate(p) for p in parts)
         own, code = grouped(keys)
@@ -312,7 +329,7 @@ def count_level(asking: DataFrame, walk, level: int, bits: int, divergence: floa
         rows, i, j = [], 0, 0
         for block, k, p in zip(table["block_id"].to_pylist(), sizes, asks):
             mine = code[i : i + k]
-            rows.append(head | {"block_id": block, "spare": spare[mine].tobytes(), "kinds": kinds[mine].tobytes(), "n": n[place[j : j + p]].tobytes()})
+            rows.append(head | {"block_id": block, "spare": squeezed(spare[mine]), "kinds": squeezed(kinds[mine]), "n": squeezed(n[place[j : j + p]])})
             i, j = i + k, j + p
         if hot.any():
             held = np.unique(code[hot > 0])
@@ -370,7 +387,7 @@ def _scored(blocks: DataFrame, words: DataFrame, schema, names: list[str], diver
     n_blocks, texts = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("texts"), F.lit(0))).first()
     bits = max(6, (n_blocks // 2).bit_length())
     told = [count_words(words, bits)]
-    groups = [np.frombuffer(x, np.int64) for x in told[0].where("block_id = -1").select("n").toArrow()["n"].to_pylist()]
+    groups = [numbers(x) for x in told[0].where("block_id = -1").select("n").toArrow()["n"].to_pylist()]
     kinds, seen = np.sum([np.zeros(2, np.int64), *groups], axis=0).tolist()
     model = Model(texts, seen + texts, kinds + (texts > 0), divergence, max(hot, (seen + texts) // HOT_SHARE))
     context, spread = blocks.sparkSession.sparkContext, []
@@ -380,7 +397,7 @@ def _scored(blocks: DataFrame, words: DataFrame, schema, names: list[str], diver
         found: dict[int, list] = {}
         for x in sorted(row["answers"] or [], key=lambda x: (x["level"], x["bucket"])):
             found.setdefault(x["level"], []).append(x)
-        way = Walk(row, joined([np.frombuffer(x["n"], np.int64) for x in found.pop(0, [])], np.int64), model)
+        way = Walk(row, joined([numbers(x["n"]) for x in found.pop(0, [])], np.int64), model)
         for level, held in enumerate(spread, 1):
             way.go_down(level, found.get(level, []), held.value)
         return way
@@ -399,8 +416,7 @@ def _scored(blocks: DataFrame, words: DataFrame, schema, names: list[str], diver
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for payload, row in zip(batch["payload"], batch.drop_columns(["payload"]).to_pylist()):
-                way, first = walk(row), np.frombuffer(row["first"], np.int64)
-                code = np.frombuffer(row["code"], np.int32)
+                way, first, code = walk(row), numbers(row["first"]), numbers(row["code"])
 
                 def by_text(x: np.ndarray, first: np.ndarray) -> np.ndarray:
                     total = np.concatenate([[0], np.cumsum(x)])

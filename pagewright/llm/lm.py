@@ -42,6 +42,7 @@ HOT = 1 << 22
 HOT_SHARE = 1 << 20  # no context under this part of all training tokens is spread, so a level has at most twice as many parts
 HEAD, TAIL = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)  # stand for the start and the end of a text
 STEP = np.uint64(0x9E3779B97F4A7C15)
+ROUNDS = (2, 1)  # by level: in so many parts by groups, so that less is on disk at once
 NEXT_BYTES = 5  # that tell apart the words after one context
 
 WORDS = "block_id long, symbols binary, code binary, first binary, train binary, texts long"
@@ -81,15 +82,17 @@ class Sums(NamedTuple):
 
 
 def squeezed(x: np.ndarray) -> bytes:
-    """Numbers of at least 0, or floats, in few bytes; loosened() gives them back."""
+    """Numbers of at least 0, or floats, in few bytes, low bytes first; loosened() gives them back."""
     if x.dtype.kind != "f":
         x = x.astype(np.min_scalar_type(x.max(initial=0)))
-    return x.dtype.char.encode() + len(x).to_bytes(8, "little") + pa.compress(x.tobytes(), "zstd", asbytes=True)
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T
+    return x.dtype.char.encode() + len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def loosened(data: bytes) -> np.ndarray:
     kind, n = np.dtype(chr(data[0])), int.from_bytes(data[1:9], "little")
-    return np.frombuffer(pa.decompress(data[9:], n * kind.itemsize, "zstd", asbytes=True), kind)
+    planes = np.frombuffer(pa.decompress(data[9:], n * kind.itemsize, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind)[:, 0]
 
 
 def numbers(data: bytes) -> np.ndarray:
@@ -140,10 +143,11 @@ class Walk:
     in the longest kept context so far."""
 
     def __init__(self, words: dict, counts: np.ndarray, model: Model):
-        """words: a row of WORDS; counts: of its symbols in training."""
+        """words: a row of WORDS; counts: of its words in training, in the order of hashes."""
         symbols, code, first = np.frombuffer(words["symbols"], np.uint64), numbers(words["code"]), numbers(words["first"])
         n, kinds = np.diff(first), len(symbols)
-        self.model, self.counts = model, counts
+        self.model, self.counts = model, np.zeros(kinds, np.int64)
+        self.counts[np.argsort(symbols)] = counts
         self.first = first + 2 * np.arange(len(first))
         self.symbols = np.concatenate([symbols, [TAIL, HEAD]])
         self.code = np.full(self.first[-1], kinds + 1, np.int64)
@@ -151,7 +155,7 @@ class Walk:
         self.code[np.arange(len(code)) + np.repeat(2 * np.arange(len(n)) + 1, n)] = code
         self.place = np.arange(len(self.code)) - np.repeat(self.first[:-1], n + 2)
         self.train = np.repeat(loosened(words["train"]) > 0, n + 2)
-        every = np.append(counts, [model.texts, model.texts])
+        every = np.append(self.counts, [model.texts, model.texts])
         self.n = every[self.code]  # of the place's pair in training, or of its word alone
         self.score = model.base(every)[self.code]
         self.before = np.full(len(self.code), -1)  # occurrences of the context one word shorter
@@ -192,7 +196,8 @@ class Walk:
     def part_keys(keys: np.ndarray, part: np.ndarray) -> np.ndarray:
         return mix(keys + (part + 1).astype(np.uint64) * STEP)
 
-    def messages(self, level: int, block: int, bits: int) -> Iterator[pa.RecordBatch]:
+    def messages(self, level: int, block: int, bits: int, part: int, parts: int) -> Iterator[pa.RecordBatch]:
+        """To groups whose number modulo ``parts`` is ``part``."""
         a = self.ask(level)
         learn = self.train[a.at]
         unit = a.unit[a.code]
@@ -207,6 +212,8 @@ class Walk:
         hot = (a.total[a.unit_row] > self.model.hot).astype(np.uint8)
         end = np.concatenate([[0], np.cumsum(asked)])
         for g, i, j in group_edges(a.units, bits):
+            if g % parts != part:
+                continue
             x, y = int(end[i]), int(end[j])
             columns = [a.units[i:j].tobytes(), *map(squeezed, (hot[i:j], asked[i:j], past[i:j], rare[i:j])), short[x:y].tobytes(), squeezed(counts[x:y])]
             yield pa.RecordBatch.from_pylist([{"bucket": g, "block_id": block} | dict(zip(SENT, columns))], SENT_WIRE)
@@ -246,7 +253,8 @@ class Walk:
 
 
 def block_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct word hashes of a block, the number of each word among them, and each text's first word."""
+    """The distinct word hashes of a block, frequent ones first, the number of each word among them, and each text's first
+    word."""
     hashes, first, n = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)], 0
     for _, piece in chunks(texts):
         buf, at = flat(piece)
@@ -254,7 +262,11 @@ def block_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         hashes.append(word_hashes(buf, s, e, lower=True))
         first.append(f[1:] + n)
         n += len(s)
-    return *grouped(np.concatenate(hashes)), np.concatenate(first)
+    keys, code = grouped(np.concatenate(hashes))
+    order = np.argsort(-np.bincount(code, minlength=len(keys)), kind="stable")
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.arange(len(keys))
+    return keys[order], rank[code], np.concatenate(first)
 
 
 def split_words(blocks: DataFrame, place: dict[str, int]) -> DataFrame:
@@ -273,14 +285,16 @@ def split_words(blocks: DataFrame, place: dict[str, int]) -> DataFrame:
 
 
 def count_words(words: DataFrame, bits: int) -> DataFrame:
-    """Training counts of words: each block's, in its order of symbols, by groups of hashes; and for each group a row of
+    """Training counts of words: each block's, in the order of hashes, by groups of hashes; and for each group a row of
     block -1 whose n are its numbers of distinct words and of words in training."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in batch.to_pylist():
                 symbols, code, first, train = np.frombuffer(w["symbols"], np.uint64), numbers(w["code"]), numbers(w["first"]), loosened(w["train"]) > 0
-                n = np.bincount(code[np.repeat(train, np.diff(first))], minlength=len(symbols))
+                order = np.argsort(symbols)
+                n = np.bincount(code[np.repeat(train, np.diff(first))], minlength=len(symbols))[order]
+                symbols = symbols[order]
                 for g, a, b in group_edges(symbols, bits):
                     yield pa.RecordBatch.from_pylist([{"bucket": g, "block_id": w["block_id"], "keys": symbols[a:b].tobytes(), "counts": squeezed(n[a:b])}], wire)
 
@@ -298,8 +312,8 @@ def count_words(words: DataFrame, bits: int) -> DataFrame:
     return saved(sent.groupBy("bucket").applyInArrow(count, ANSWER), "word-counts")
 
 
-def count_level(asking: DataFrame, walk, level: int, bits: int, divergence: float) -> DataFrame:
-    """Count and test the contexts of ``level`` words: answers by block and group; rows of block -1 have sums of hot parts.
+def count_level(asking: DataFrame, walk, level: int, part: int, parts: int, bits: int, divergence: float) -> DataFrame:
+    """Count and test the contexts of ``level`` words in one part of the groups: answers by block and group; rows of block -1 have sums of hot parts.
 
     ``walk`` gives the Walk of a row of ``asking`` down to the level before. spare is 0 for contexts that aren't kept.
     """
@@ -307,7 +321,7 @@ def count_level(asking: DataFrame, walk, level: int, bits: int, divergence: floa
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield from walk(row).messages(level, row["block_id"], bits)
+                yield from walk(row).messages(level, row["block_id"], bits, part, parts)
 
     def count(table: pa.Table) -> pa.Table:
         table = table.sort_by("block_id")
@@ -340,9 +354,9 @@ def count_level(asking: DataFrame, walk, level: int, bits: int, divergence: floa
     return saved(sent.groupBy("bucket").applyInArrow(count, ANSWER), "contexts")
 
 
-def hot_sums(told: DataFrame) -> tuple[np.ndarray, Sums]:
+def hot_sums(told: list[DataFrame]) -> tuple[np.ndarray, Sums]:
     """The parts of hot contexts of a level, by key. There are at most 2 * HOT_SHARE of them, whatever the input."""
-    rows = told.where("block_id = -1").select("spare", "n").toArrow()
+    rows = pa.concat_tables([t.where("block_id = -1").select("spare", "n").toArrow() for t in told])
     keys = joined([np.frombuffer(x, np.uint64) for x in rows["spare"].to_pylist()], np.uint64)
     sums = [np.frombuffer(x, np.float64).reshape(len(Sums._fields), -1) for x in rows["n"].to_pylist()]
     table = np.concatenate([*sums, np.empty((len(Sums._fields), 0))], axis=1)
@@ -410,8 +424,9 @@ def _scored(blocks: DataFrame, words: DataFrame, schema, names: list[str], diver
         return words.drop("texts").join(every, "block_id", "left")
 
     for level in range(1, reach + 1):
-        told.append(count_level(gathered(), walk, level, bits, divergence))
-        spread.append(context.broadcast(hot_sums(told[-1])))
+        asking, parts = gathered(), ROUNDS[min(level, len(ROUNDS)) - 1]
+        told += [count_level(asking, walk, level, part, parts, bits, divergence) for part in range(parts)]
+        spread.append(context.broadcast(hot_sums(told[-parts:])))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -37,13 +37,13 @@ from pagewright.llm.words import chunks, flat, mix, spans, word_hashes
 DIVERGENCE = 4.0
 BASE_EPSILON = 0.5
 REACH = 3  # words of the longest context
-BLOCK = 4 << 20  # bytes of a block: a walk holds several times as much
+BLOCK = 3 << 20  # bytes of a block: a walk holds several times as much
 HOT = 1 << 22
 HOT_SHARE = 1 << 20  # no context under this part of all training tokens is spread, so a level has at most twice as many parts
 HEAD, TAIL = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)  # stand for the start and the end of a text
 STEP = np.uint64(0x9E3779B97F4A7C15)
 ROUNDS = (2, 2, 1)  # by level: in so many parts by groups, so that less is on disk at once
-NEXT_BYTES = 5  # that tell apart the words after one context
+KEY_BYTES, NEXT_BYTES = 6, 5  # that tell apart the contexts of one group, and the words after one context
 
 WORDS = "block_id long, symbols binary, code binary, first binary, train binary, texts long"
 ANSWER = "block_id long, bucket long, level int, spare binary, kinds binary, n binary"
@@ -95,6 +95,13 @@ def loosened(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind)[:, 0]
 
 
+def widened(data: bytes, size: int) -> np.ndarray:
+    """Hashes of which the lowest ``size`` bytes were sent."""
+    out = np.zeros((len(data) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(data, np.uint8).reshape(-1, size)
+    return out.view(np.uint64)[:, 0]
+
+
 def numbers(data: bytes) -> np.ndarray:
     return loosened(data).astype(np.int64)
 
@@ -208,14 +215,15 @@ class Walk:
         past = past.astype(np.float32)
         rare = np.bincount(unit[own & ~seen_twice], minlength=len(a.units)).astype(np.int32)
         asked = np.bincount(a.unit[a.strong], minlength=len(a.units)).astype(np.int32)
-        short = self.symbols[a.symbol[a.strong]].view(np.uint8).reshape(-1, 8)[:, :NEXT_BYTES]
+        short = np.ascontiguousarray(self.symbols[a.symbol[a.strong]].view(np.uint8).reshape(-1, 8)[:, :NEXT_BYTES])
+        del learn, unit, seen_twice, own
         hot = (a.total[a.unit_row] > self.model.hot).astype(np.uint8)
         end = np.concatenate([[0], np.cumsum(asked)])
         for g, i, j in group_edges(a.units, bits):
             if g % parts != part:
                 continue
             x, y = int(end[i]), int(end[j])
-            columns = [a.units[i:j].tobytes(), *map(squeezed, (hot[i:j], asked[i:j], past[i:j], rare[i:j])), short[x:y].tobytes(), squeezed(counts[x:y])]
+            columns = [a.units[i:j].view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes(), *map(squeezed, (hot[i:j], asked[i:j], past[i:j], rare[i:j])), short[x:y].tobytes(), squeezed(counts[x:y])]
             yield pa.RecordBatch.from_pylist([{"bucket": g, "block_id": block} | dict(zip(SENT, columns))], SENT_WIRE)
 
     def go_down(self, level: int, answers: list[dict], hot: tuple[np.ndarray, Sums]) -> None:
@@ -245,7 +253,7 @@ class Walk:
     def hot_state(self, key: np.uint64, total: int, hot: tuple[np.ndarray, Sums]) -> tuple[int, int]:
         """Spare weight and kinds of a context whose words are spread over groups; 0 if it isn't kept."""
         parts = -(-total // self.model.hot)
-        names = self.part_keys(np.full(parts, key), np.arange(parts))
+        names = self.part_keys(np.full(parts, key), np.arange(parts)) & np.uint64((1 << 8 * KEY_BYTES) - 1)
         k = np.minimum(np.searchsorted(hot[0], names), max(len(hot[0]) - 1, 0))
         k = k[hot[0][k] == names]
         s = Sums(*[x[k].sum(keepdims=True) for x in hot[1]])
@@ -320,19 +328,18 @@ def count_level(asking: DataFrame, walk, level: int, part: int, parts: int, bits
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 yield from walk(row).messages(level, row["block_id"], bits, part, parts)
 
     def count(table: pa.Table) -> pa.Table:
         table = table.sort_by("block_id")
-        plain = {"keys": lambda x: np.frombuffer(x, np.uint64), "next": lambda x: np.frombuffer(x, np.uint8)}
+        plain = {"keys": lambda x: widened(x, KEY_BYTES), "next": lambda x: widened(x, NEXT_BYTES)}
         parts = [[plain.get(c, loosened)(x) for x in table[c].to_pylist()] for c in SENT]
         sizes, asks = [len(k) for k in parts[0]], [int(x.sum()) for x in parts[2]]
         keys, hot, asked, past, rare, short, counts = (np.concatenate(p) for p in parts)
         own, code = grouped(keys)
-        symbol = np.zeros((len(counts), 8), np.uint8)
-        symbol[:, :NEXT_BYTES] = short.reshape(-1, NEXT_BYTES)
-        pair, place = grouped(np.repeat(code, asked).astype(np.uint64) << np.uint64(8 * NEXT_BYTES) | symbol.view(np.uint64)[:, 0])
+        pair, place = grouped(np.repeat(code, asked).astype(np.uint64) << np.uint64(8 * NEXT_BYTES) | short)
         n = np.bincount(place, counts, minlength=len(pair)).astype(np.int64)
         owner = (pair >> np.uint64(8 * NEXT_BYTES)).astype(np.int64)
         total = lambda at, x: np.bincount(at, x, minlength=len(own))
@@ -385,7 +392,7 @@ def score_texts(df: DataFrame, train: Column, text: str = "text", *, divergence:
     Without training rows N and V are 0, and both scores are 0. Repeated rows are rows of their own. An empty table
     gives no rows. Other columns stay; columns of the five names are replaced.
 
-    Words are told apart by 64-bit hashes, contexts too, and the words after one context by 40 bits of theirs.
+    Words are told apart by 64-bit hashes, contexts by their group and 48 bits, the words after one context by 40 bits.
     """
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     own = [c for c in df.columns if c.lower() not in new]
@@ -430,7 +437,8 @@ def _scored(blocks: DataFrame, words: DataFrame, schema, names: list[str], diver
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for payload, row in zip(batch["payload"], batch.drop_columns(["payload"]).to_pylist()):
+            for i, payload in enumerate(batch["payload"]):
+                row = batch.drop_columns(["payload"]).slice(i, 1).to_pylist()[0]
                 way, first, code = walk(row), numbers(row["first"]), numbers(row["code"])
 
                 def by_text(x: np.ndarray, first: np.ndarray) -> np.ndarray:

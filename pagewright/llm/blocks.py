@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -65,8 +66,25 @@ def load(payload: bytes) -> pa.RecordBatch:
     return table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], schema=table.schema)
 
 
-def pack(df: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
-    """(block_id, payload) rows that hold all rows of ``df``, about ``size`` bytes each before compression."""
+def squeezed(x: np.ndarray) -> bytes:
+    """Numbers of at least 0, or floats, in few bytes, low bytes first; loosened() gives them back."""
+    if x.dtype.kind != "f":
+        x = x.astype(np.min_scalar_type(x.max(initial=0)))
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T
+    return x.dtype.char.encode() + len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def loosened(data: bytes) -> np.ndarray:
+    kind, n = np.dtype(chr(data[0])), int.from_bytes(data[1:9], "little")
+    planes = np.frombuffer(pa.decompress(data[9:], n * kind.itemsize, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind)[:, 0]
+
+
+def pack(df: DataFrame, size: int = BLOCK_BYTES, names: tuple[str, ...] = (), made: Callable[[pa.RecordBatch], list[bytes]] | None = None) -> DataFrame:
+    """(block_id, payload, *names) rows that hold all rows of ``df``, about ``size`` bytes each before compression.
+
+    ``made`` gives the further columns, binary, of a block's rows.
+    """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
@@ -74,7 +92,9 @@ def pack(df: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
 
         def out():
             nonlocal number, held, weight
-            row = pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([dump(held)], pa.binary())], ["block_id", "payload"])
+            payload = dump(held)
+            parts = [payload, *(made(load(payload)) if made else [])]
+            row = pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([x], pa.binary()) for x in parts]], ["block_id", "payload", *names])
             number, held, weight = number + 1, [], 0
             return row
 
@@ -89,4 +109,4 @@ def pack(df: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
         if held:
             yield out()
 
-    return df.mapInArrow(blocks, "block_id long, payload binary")
+    return df.mapInArrow(blocks, "block_id long, payload binary" + "".join(f", {n} binary" for n in names))

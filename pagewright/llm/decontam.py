@@ -1,39 +1,46 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages of documents (24 words, every 12) and of benchmark items are TF-IDF vectors over hashed words. A randomised
-singular value decomposition, summed over Spark tasks, gives the latent space; items are put into it, and a passage
-is a candidate for an item when its vector's cosine with the item's latent vector is high enough. A candidate is
-a leak if the longest common subsequence of item and surroundings covers most of the item, or, for looser
-paraphrases, a good part of it and of its answer, the item's last words.
-
-The cosine proves nothing for long items or for items of common words, so an exact search stands beside it: a text that
-has that part of an item has some of the item's rarest words, and where its words could reach the part, they are compared
-as well. So no text is missed that the comparison would call a leak; verbatim copies are among them.
-
-Document frequencies count every document. The decomposition is fitted on all benchmark passages and all passages of
-all documents, over the words of the benchmark; every passage of every document is searched.
+Passages of documents (24 words, every 12) and of benchmark items (48 words, every 24) are TF-IDF vectors over hashed
+words. A randomised singular value decomposition over the passages of all documents and items, summed over Spark tasks,
+gives a latent space of ``RANK`` dimensions; items are put into it, and a passage is a candidate for an item when the
+cosine of its vector with the item's latent vector is high enough. A candidate is a leak if the longest common
+subsequence of item and surroundings covers most of the item, or, for looser paraphrases, a good part of it and of its
+answer, the item's last words.
+
+The cosine proves nothing for items of common words, so an exact search stands beside it: a text that has that part of
+an item has some of the item's rarest words, and where its words could reach the part, they are compared as well. So no
+text is missed that the comparison would call a leak; verbatim copies are among them.
+
+Words are hashed once, into blocks of rows; document frequencies, the decomposition and the search go through every
+word of every document from there.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.words import MARKS, chunks, texts_words
+from pagewright.llm.blocks import load, loosened, pack, saved, squeezed
+from pagewright.llm.words import MARKS, texts_words
 
 SEGMENT = 12  # words; a passage is two segments
-BUCKETS = 1 << 18
-LONG_ITEM, ITEM_PASSAGE = 72, 48
+HASH_BITS = 32  # of a word's hash
+BUCKETS, COLUMNS = 1 << 18, 1 << 16  # of words by the leading bits of their hashes: for idf, and for the vectors
+ITEM_PASSAGE = 48
 TOGETHER = 256  # item passages that share a latent space
-EXTRA = 32  # dimensions beside one for each item passage
-WEIGHT = 10.0
-COSINE = 0.4
+RANK = 48
+COSINE = 0.3
 MOST, PART, ANSWER = 0.8, 0.6, 0.5
+BLOCK = 4 << 20
+PIECE = 1 << 15  # words looked at together
+FAN = 1000  # tasks whose sums are added up in one place
 LEAK = "item_id long, cosine double, lcs_share double, answer_share double, first_word long, last_word long"
 
 
@@ -56,9 +63,9 @@ class Anchors(NamedTuple):
 class Space(NamedTuple):
     """A latent space and the item passages in it."""
 
-    terms: np.ndarray  # sorted buckets that the items use
+    basis: np.ndarray  # COLUMNS x rank, orthonormal
     passages: list[Passage]
-    items: np.ndarray  # terms x passages: unit latent vectors times idf
+    items: np.ndarray  # rank x passages: unit latent vectors
 
 
 def needed_words(p: Passage) -> int:
@@ -66,15 +73,27 @@ def needed_words(p: Passage) -> int:
     return next(k for k in range(1, len(p.words) + 1) if k / len(p.words) >= PART)
 
 
+def needed_kinds(p: Passage) -> int:
+    """The fewest different words of the passage that a leak has."""
+    spare = len(p.words) - needed_words(p)  # words that may be missing: first those that stand alone
+    times = sorted(Counter(p.words).values())
+    missing = 0
+    for n in times:
+        if n > spare:
+            break
+        spare, missing = spare - n, missing + 1
+    return len(times) - missing
+
+
 def anchors(passages: list[Passage], idf: np.ndarray) -> Anchors:
     rows, least = [], []
     for i, p in enumerate(passages):
         need = needed_words(p)
         least.append(max(1, need // 2))
-        rare = sorted(p.words, key=lambda w: (-float(idf[w >> 46]), w))[: len(p.words) - need + least[-1]]
+        rare = sorted(p.words, key=lambda w: (-float(idf[bucket(w)]), w))[: len(p.words) - need + least[-1]]
         rows += [(w, i, rare.count(w)) for w in set(rare)]
     rows.sort()
-    every = np.array([w for w, _, _ in rows], np.uint64)
+    every = np.array([w for w, _, _ in rows], np.int64)
     own, start = np.unique(every, return_index=True)
     return Anchors(own, np.append(start, len(rows)), np.array([i for _, i, _ in rows], np.int64), np.array([n for _, _, n in rows], np.int64), np.array(least, np.int64))
 
@@ -94,138 +113,183 @@ def possible(a: Anchors, h: np.ndarray, first: np.ndarray) -> list[tuple[int, in
     return list(zip((enough // len(a.least)).tolist(), (enough % len(a.least)).tolist()))
 
 
-def bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(46)).astype(np.int64)
+def bucket(h):
+    """A word's bucket, of hashes as they are kept: HASH_BITS bits."""
+    return h >> (HASH_BITS - BUCKETS.bit_length() + 1)
+
+
+def column(h):
+    return h >> (HASH_BITS - COLUMNS.bit_length() + 1)
+
+
+def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts, and each text's first word."""
+    h, first = texts_words(texts, True, MARKS)
+    return (h >> np.uint64(64 - HASH_BITS)).astype(np.int64), first
 
 
 def item_passages(items: DataFrame, item_id: str, text: str) -> list[Passage]:
-    """Items as passages: whole up to 72 words, else 48 words every 24. Items without words give none."""
+    """Items as passages of 48 words, every 24; shorter items and ends as they are. Items without words give none."""
     rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("i is not null").toArrow().sort_by([("i", "ascending"), ("t", "ascending")])
-    h, first = texts_words(rows["t"].combine_chunks() if rows.num_rows else pa.array([], pa.string()), True, MARKS)
+    h, first = hashed(rows["t"].combine_chunks() if rows.num_rows else pa.array([], pa.string()))
     out = {}
     for i, lo, hi in zip(rows["i"].to_pylist(), first[:-1].tolist(), first[1:].tolist()):
         w = tuple(h[lo:hi].tolist())
-        cuts = [w] if len(w) <= LONG_ITEM else [w[a : a + ITEM_PASSAGE] for a in range(0, len(w) - ITEM_PASSAGE // 2, ITEM_PASSAGE // 2)]
-        for c in cuts:
-            if c:
+        for a in range(0, max(1, len(w) - ITEM_PASSAGE // 2), ITEM_PASSAGE // 2):
+            if c := w[a : a + ITEM_PASSAGE]:
                 out[i, c] = Passage(i, c, max(1, len(c) // 4))
     return list(out.values())
 
 
+def hashed_rows(docs: DataFrame, text: str) -> DataFrame:
+    """Blocks of the rows of docs with the hashes of their words."""
+    place = docs.columns.index(text)
+
+    def words(rows: pa.RecordBatch) -> list[bytes]:
+        return [squeezed(x) for x in hashed(rows.column(place))]
+
+    return saved(pack(docs, BLOCK, ("words", "first"), words), "hashed", "uncompressed")
+
+
+def pieces(words: bytes, first: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """A block's words, some texts at a time: (first text, hashes, each text's first word)."""
+    h, at = loosened(words).astype(np.int64), loosened(first).astype(np.int64)
+    row = 0
+    while row < len(at) - 1:
+        stop = max(row + 1, int(np.searchsorted(at, at[row] + PIECE, "right")) - 1)
+        yield row, h[at[row] : at[stop]], at[row : stop + 1] - at[row]
+        row = stop
+
+
 def summed(parts: DataFrame, rows: int) -> np.ndarray:
-    """The sum of equally shaped float32 matrices that tasks gave in slices: (slice, data) rows."""
+    """The sum of equally shaped float32 matrices that tasks gave in slices: (fan, slice, data) rows, added up in two steps."""
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in table["data"].to_pylist())
-        return pa.table({"slice": table["slice"].slice(0, 1), "data": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+        total = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in table["data"])
+        return pa.table({"fan": pa.array([0], pa.int32()), "slice": table["slice"].slice(0, 1), "data": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-    got = parts.groupBy("slice").applyInArrow(add, "slice int, data binary").toArrow().sort_by("slice")
+    some = parts.groupBy("fan", "slice").applyInArrow(add, "fan int, slice int, data binary")
+    got = some.groupBy("slice").applyInArrow(add, "fan int, slice int, data binary").toArrow().sort_by("slice")
     flat_sum = [np.frombuffer(x, np.float32) for x in got["data"].to_pylist()]
     return np.concatenate(flat_sum).reshape(rows, -1) if flat_sum else np.zeros((rows, 0), np.float32)
 
 
-def slices(matrix: np.ndarray, n: int = 64) -> pa.RecordBatch:
+def slices(matrix: np.ndarray, n: int = 32) -> pa.RecordBatch:
     parts = np.array_split(np.ascontiguousarray(matrix, np.float32), min(n, len(matrix)))
-    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "data"])
+    fan = np.full(len(parts), TaskContext.get().partitionId() // FAN, np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(fan), pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["fan", "slice", "data"])
 
 
-def inverse_frequencies(docs: DataFrame, text: str) -> np.ndarray:
+def inverse_frequencies(blocks: DataFrame) -> np.ndarray:
     """idf of each word bucket, from the number of documents that have it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, n = np.zeros(BUCKETS + 1, np.float32), 0
+        found = np.zeros(BUCKETS + 1, np.int64)
         for batch in batches:
-            for _, piece in chunks(batch[0]):
-                h, first = texts_words(piece, True, MARKS)
-                row = np.repeat(np.arange(len(piece)), np.diff(first))
-                found[:BUCKETS] += np.bincount(np.unique(row * BUCKETS + bucket(h)) % BUCKETS, minlength=BUCKETS)
-                n += len(piece)
-        found[BUCKETS] = n
-        if n:
-            yield slices(found[:, None])
-
-    total = summed(docs.select(text).mapInArrow(count, "slice int, data binary"), BUCKETS + 1)
-    if not total.size:
-        return np.zeros(BUCKETS, np.float32)
-    return np.log((1 + total[BUCKETS, 0]) / (1 + total[:BUCKETS, 0])).astype(np.float32) + np.float32(0.1)
-
-
-def segment_terms(h: np.ndarray, first: np.ndarray, idf: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Segments of texts: first segment of each text; each word's segment, term (-1: not an item's) and weight; each segment's squared norm."""
-    n = np.diff(first)
-    count = (n + SEGMENT - 1) // SEGMENT
-    start = np.concatenate([[0], np.cumsum(count)])
-    place = np.arange(len(h)) - np.repeat(first[:-1], n)
-    segment = np.repeat(start[:-1], n) + place // SEGMENT
-    b = bucket(h)
-    weight = idf[b]
-    lookup = np.full(BUCKETS, -1, np.int32)
-    lookup[terms] = np.arange(len(terms))
-    return start, segment, lookup[b], weight, np.bincount(segment, weight * weight, minlength=start[-1])
-
-
-def latent_space(docs: DataFrame, text: str, passages: list[Passage], idf: np.ndarray, seed: int = 3) -> Space:
+            for words, first in zip(batch["words"].to_pylist(), batch["first"].to_pylist()):
+                for _, h, at in pieces(words, first):
+                    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                    found[:BUCKETS] += np.bincount(np.unique(row * BUCKETS + bucket(h)) % BUCKETS, minlength=BUCKETS)
+                    found[BUCKETS] += len(at) - 1
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], ["bucket", "n"])
+
+    told = blocks.select("words", "first").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(BUCKETS + 1)
+    total[told["bucket"].to_numpy()] = told["n"].to_numpy()
+    return np.log((1 + total[BUCKETS]) / (1 + total[:BUCKETS])).astype(np.float32) + np.float32(0.1)
+
+
+class Segments:
+    """Texts cut into segments of 12 words; a passage is a segment and the next one of its text."""
+
+    def __init__(self, h: np.ndarray, first: np.ndarray, idf: np.ndarray):
+        n = np.diff(first)
+        self.begin = np.concatenate([[0], np.cumsum((n + SEGMENT - 1) // SEGMENT)])
+        place = np.arange(len(h)) - np.repeat(first[:-1], n)
+        self.segment = np.repeat(self.begin[:-1], n) + place // SEGMENT
+        self.column, self.weight = column(h), idf[bucket(h)]
+        self.table = np.full((self.begin[-1], SEGMENT), COLUMNS)  # of each segment's words; a row of zeros where it has no more
+        self.heavy = np.zeros((self.begin[-1], 1, SEGMENT), np.float32)
+        slot = place % SEGMENT
+        self.table[self.segment, slot], self.heavy[self.segment, 0, slot] = self.column, self.weight
+        last = np.zeros(self.begin[-1], bool)
+        last[self.begin[1:][n > 0] - 1] = True
+        self.follows = ~last[:-1]  # the next segment is the same text's
+        self.norm = np.sqrt(np.maximum(self.passages((self.heavy * self.heavy).sum(axis=2)), 1e-9))
+
+    def passages(self, x: np.ndarray) -> np.ndarray:
+        """Sums of segments' rows over each passage."""
+        out = x.copy()
+        out[:-1] += x[1:] * self.follows[:, None]
+        return out
+
+    def back(self, z: np.ndarray) -> np.ndarray:
+        """For each segment the sum of the passages that it is part of."""
+        out = z.copy()
+        out[1:] += z[:-1] * self.follows[:, None]
+        return out
+
+    def project(self, basis: np.ndarray) -> np.ndarray:
+        """Unit TF-IDF passages times a matrix, that has a last row of zeros."""
+        out = np.empty((len(self.table), basis.shape[1]), np.float32)
+        for i in range(0, len(out), PIECE // SEGMENT):
+            part = slice(i, i + PIECE // SEGMENT)
+            out[part] = np.matmul(self.heavy[part], basis[self.table[part]])[:, 0]
+        return self.passages(out) / self.norm
+
+
+def latent_space(blocks: DataFrame, passages: list[Passage], idf: np.ndarray, rank: int = RANK, seed: int = 3) -> Space:
     """Fit the space of some item passages: a randomised SVD of TF-IDF passages with one power iteration.
 
-    Rows are the item passages, with more weight, and the passages of all documents; columns are the items' words. Tasks sum A'(A R) for a random R; its
-    orthonormal basis Q spans the leading right singular space; they then sum (A Q)'(A Q), whose eigenvectors turn Q
-    into singular vectors.
+    Rows are the passages of all documents and the item passages, which together weigh as much as those; columns are all
+    words, hashed. The rank is at most half the number of item passages, so that items share dimensions. Tasks sum
+    A'(A R) for a random R; its orthonormal basis Q spans the leading right singular space; they then sum (A Q)'(A Q),
+    whose eigenvectors turn Q into singular vectors.
     """
-    terms = np.unique(bucket(np.array([w for p in passages for w in p.words], np.uint64)))
-    own = np.zeros((len(passages), len(terms)), np.float32)
+    own = np.zeros((len(passages), COLUMNS), np.float32)
     for i, p in enumerate(passages):
-        b = bucket(np.array(p.words, np.uint64))
-        np.add.at(own[i], np.searchsorted(terms, b), idf[b])
+        w = np.array(p.words)
+        np.add.at(own[i], column(w), idf[bucket(w)])
     own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
-    rank = min(len(terms), len(passages) + EXTRA)
-    start = np.random.default_rng(seed).normal(size=(len(terms), rank)).astype(np.float32)
+    rank = min(rank, max(8, len(passages) // 2))
+    start = np.random.default_rng(seed).normal(size=(COLUMNS, rank)).astype(np.float32)
 
     def product(basis: np.ndarray, inner: bool) -> np.ndarray:
-        """A'(A basis), or with inner (A basis)'(A basis), over all documents."""
-        held = docs.sparkSession.sparkContext.broadcast((basis, idf, terms))
+        """A'(A basis), or with inner (A basis)'(A basis), over all documents; a first row has the number of passages."""
+        held = blocks.sparkSession.sparkContext.broadcast((np.vstack([basis, np.zeros((1, rank), np.float32)]), idf))
 
         def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            basis, idf, terms = held.value
-            total = None
+            basis, idf = held.value
+            total = np.zeros((1 + (rank if inner else COLUMNS), rank), np.float32)
             for batch in batches:
-                for _, piece in chunks(batch[0], 1 << 17):
-                    h, first = texts_words(piece, True, MARKS)
-                    begin, segment, term, weight, norm = segment_terms(h, first, idf, terms)
-                    ok = np.flatnonzero(term >= 0)
-                    size = np.append(norm, 0.0)
-                    alone = np.zeros(len(size), bool)  # the next segment is another text's
-                    alone[begin[1:][np.diff(begin) > 0] - 1] = True
-                    scale = 1 / np.sqrt(np.maximum(size[:-1] + np.where(alone[:-1], 0, size[1:]), 1e-9)).astype(np.float32)[:, None]
-                    rows = np.zeros((len(size), basis.shape[1]), np.float32)
-                    if len(ok):
-                        head = np.flatnonzero(np.diff(segment[ok], prepend=-1))
-                        rows[segment[ok[head]]] = np.add.reduceat(basis[term[ok]] * weight[ok, None], head, axis=0)
-                    z = (rows[:-1] + np.where(alone[:-1, None], 0, rows[1:])) * scale
-                    if inner:
-                        part = z.T @ z
-                    else:
-                        z *= scale
-                        z[1:] += np.where(alone[:-2, None], 0, z[:-1])  # what a segment's words meet: its own passage and the one before
-                        by_term = ok[np.argsort(term[ok], kind="stable")]
-                        part = np.zeros_like(basis)
-                        if len(ok):
-                            head = np.flatnonzero(np.diff(term[by_term], prepend=-1))
-                            part[term[by_term[head]]] = np.add.reduceat(z[segment[by_term]] * weight[by_term, None], head, axis=0)
-                    total = part if total is None else total + part
-            if total is not None:
-                yield slices(total)
-
-        a = WEIGHT * own @ basis
-        mine = a.T @ a if inner else WEIGHT * own.T @ a
-        theirs = summed(docs.select(text).mapInArrow(multiply, "slice int, data binary"), len(mine))
-        return mine + theirs if theirs.size else mine
+                for words, first in zip(batch["words"].to_pylist(), batch["first"].to_pylist()):
+                    for _, h, at in pieces(words, first):
+                        if not len(h):
+                            continue
+                        s = Segments(h, at, idf)
+                        z = s.project(basis)
+                        total[0] += len(z)
+                        if inner:
+                            total[1:] += z.T @ z
+                        else:
+                            z = s.back(z / s.norm)
+                            order = np.argsort(s.column)
+                            ranked = s.column[order]
+                            head = np.flatnonzero(np.diff(ranked, prepend=-1))
+                            total[1 + ranked[head]] += np.add.reduceat(z[s.segment[order]] * s.weight[order, None], head, axis=0)
+            yield slices(total)
+
+        theirs = summed(blocks.select("words", "first").mapInArrow(multiply, "fan int, slice int, data binary"), 1 + (rank if inner else COLUMNS))
+        a = own @ basis
+        mine = a.T @ a if inner else own.T @ a
+        return mine + theirs[1:] * (len(passages) / theirs[0, 0]) if theirs.size and theirs[0, 0] else mine
 
     q, _ = np.linalg.qr(product(start, False))
     _, turn = np.linalg.eigh(product(q.astype(np.float32), True))
-    v = q @ turn[:, ::-1]
-    latent = v @ (v.T @ own.T)
-    latent /= np.maximum(np.linalg.norm(latent, axis=0), 1e-9)
-    return Space(terms, passages, (latent * idf[terms][:, None]).astype(np.float32))
+    basis = (q @ turn[:, ::-1]).astype(np.float32)
+    latent = basis.T @ own.T
+    return Space(np.vstack([basis, np.zeros((1, rank), np.float32)]), passages, latent / np.maximum(np.linalg.norm(latent, axis=0), 1e-9))
 
 
 def common_length(a: tuple[int, ...] | list[int], b: list[int]) -> int:
@@ -257,73 +321,61 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", out: str =
     Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. An item's entry is its best passage: the
     highest lcs_share, then answer_share, then cosine, then the first place; first_word and last_word are the words
     of the text that were compared. Null and empty texts leak nothing; items without id or words are never leaked;
-    repeated items count once, repeated rows get equal results. Other columns stay.
+    repeated items count once, repeated rows get equal results. An empty table gives no rows. Other columns stay, a
+    column called like ``out`` is replaced.
 
     The benchmark is the query set: it is held by the driver and broadcast, in blocks of ``TOGETHER`` passages with a
     space each, so the tool is for benchmarks, not for matching corpora.
     """
+    own = [c for c in docs.columns if c.lower() != out.lower()]
+    docs = docs.select(*own)
+    blocks = hashed_rows(docs, text)
     passages = item_passages(items, item_id, item_text)
-    idf = inverse_frequencies(docs, text)
-    spaces = [latent_space(docs, text, passages[i : i + TOGETHER], idf) for i in range(0, len(passages), TOGETHER)]
+    idf = inverse_frequencies(blocks)
+    spaces = [latent_space(blocks, passages[i : i + TOGETHER], idf) for i in range(0, len(passages), TOGETHER)]
     held = docs.sparkSession.sparkContext.broadcast((idf, spaces, [anchors(s.passages, idf) for s in spaces]))
     names = [f.split()[0] for f in LEAK.split(", ")]
     shape = pa.list_(pa.struct([(n, pa.int64() if k == "long" else pa.float64()) for n, k in (f.split() for f in LEAK.split(", "))]))
 
-    def search(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def leaks(words: bytes, first: bytes) -> pa.Array:
+        """Of a block's texts."""
         idf, spaces, rare = held.value
-        for column in columns:
-            found: list[dict[int, tuple]] = [{} for _ in range(len(column))]
-            for row, piece in chunks(column, 1 << 18):
-                h, first = texts_words(piece, True, MARKS)
-                for space, exact in zip(spaces, rare):
-                    begin, segment, term, weight, norm = segment_terms(h, first, idf, space.terms)
-                    ok = np.flatnonzero(term >= 0)
-                    inside = np.append(np.bincount(segment[ok], (weight * weight)[ok], minlength=begin[-1]), 0.0)
-                    size = np.append(norm, 0.0)
-                    alone = np.zeros(len(size), bool)  # the next segment is another text's
-                    alone[begin[1:] - 1] = True
-                    # A passage's cosine with any item is at most the norm that it has in the items' words.
-                    both = lambda x: x[:-1] + np.where(alone[:-1], 0, x[1:])  # noqa: B023, E731
-                    hopeful = both(inside) >= cosine * cosine * np.maximum(both(size), 1e-12)
-
-                    def judge(space: Space, p: int, seg: int, near: float | None, begin=begin, first=first, h=h, term=term, norm=both(size), row=row, found=found) -> None:
-                        passage = space.passages[p]
-                        doc = int(np.searchsorted(begin, seg, "right")) - 1
-                        place = int(first[doc]) + (seg - int(begin[doc])) * SEGMENT
-                        lo = max(int(first[doc]), place - len(passage.words))
-                        hi = min(int(first[doc + 1]), place + 2 * SEGMENT + len(passage.words))
-                        if shares := verdict(passage, h[lo:hi].tolist()):
-                            if near is None:
-                                own = term[place : min(place + 2 * SEGMENT, int(first[doc + 1]))]
-                                near = float(space.items[own[own >= 0], p].sum() / np.sqrt(max(norm[seg], 1e-12)))
-                            entry = (*shares, near, int(first[doc]) - lo, hi - 1 - int(first[doc]))
-                            old = found[row + doc].get(passage.item_id)
-                            if old is None or entry > old:
-                                found[row + doc][passage.item_id] = entry
-
-                    for doc, p in possible(exact, h, first):
-                        words, need = space.passages[p].words, needed_words(space.passages[p])
-                        hits = np.flatnonzero(np.isin(h[first[doc] : first[doc + 1]], np.array(words, np.uint64)))
-                        if len(hits) < need:
-                            continue
-                        start = np.arange(begin[doc + 1] - begin[doc]) * SEGMENT
-                        inside_hits = np.searchsorted(hits, start + 2 * SEGMENT + len(words)) - np.searchsorted(hits, start - len(words))
-                        for seg in (begin[doc] + np.flatnonzero(inside_hits >= need)).tolist():
-                            judge(space, p, seg, None)
-                    needed = np.append(hopeful, False)
-                    needed[1:] |= np.append(hopeful, False)[:-1]
-                    ok = ok[needed[segment[ok]]]
-                    if not len(ok):
+        found: list[dict[int, tuple]] = [{} for _ in range(len(loosened(first)) - 1)]
+        for row, h, at in pieces(words, first):
+            if not len(h):
+                continue
+            s = Segments(h, at, idf)
+            for space, exact in zip(spaces, rare):
+                latent = s.project(space.basis)
+                near = latent @ space.items
+                pairs = set(zip(*(x.tolist() for x in np.nonzero(near >= cosine))))
+                for doc, p in possible(exact, h, at):
+                    need, reach = needed_words(space.passages[p]), len(space.passages[p].words)
+                    hits = np.flatnonzero(np.isin(h[at[doc] : at[doc + 1]], space.passages[p].words))
+                    if len(hits) >= need:
+                        start = np.arange(s.begin[doc + 1] - s.begin[doc]) * SEGMENT
+                        inside = np.searchsorted(hits, start + 2 * SEGMENT + reach) - np.searchsorted(hits, start - reach)
+                        pairs |= {(seg, p) for seg in (s.begin[doc] + np.flatnonzero(inside >= need)).tolist()}
+                for seg, p in sorted(pairs):
+                    passage = space.passages[p]
+                    doc = int(np.searchsorted(s.begin, seg, "right")) - 1
+                    place = int(at[doc]) + (seg - int(s.begin[doc])) * SEGMENT
+                    lo = max(int(at[doc]), place - len(passage.words))
+                    hi = min(int(at[doc + 1]), place + 2 * SEGMENT + len(passage.words))
+                    around = h[lo:hi].tolist()
+                    if len(set(passage.words).intersection(around)) < needed_kinds(passage):
                         continue
-                    head = np.flatnonzero(np.diff(segment[ok], prepend=-1))
-                    dots = np.zeros((len(size), space.items.shape[1]), np.float32)
-                    dots[segment[ok[head]]] = np.add.reduceat(np.take(space.items, term[ok], axis=0), head, axis=0)
-                    at = np.flatnonzero(hopeful)
-                    score = dots[at] + np.where(alone[at][:, None], 0, dots[at + 1])
-                    score /= np.sqrt(np.maximum(both(size)[at], 1e-12))[:, None]
-                    for k, p in zip(*np.nonzero(score >= cosine)):
-                        judge(space, int(p), int(at[k]), float(score[k, p]))
-            yield pa.array([[dict(zip(names, (i, e[2], e[0], e[1], -e[3], e[4]))) for i, e in sorted(f.items())] for f in found], shape)
+                    if shares := verdict(passage, around):
+                        entry = (*shares, float(near[seg, p]), int(at[doc]) - lo, hi - 1 - int(at[doc]))
+                        old = found[row + doc].get(passage.item_id)
+                        if old is None or entry > old:
+                            found[row + doc][passage.item_id] = entry
+        return pa.array([[dict(zip(names, (i, e[2], e[0], e[1], -e[3], e[4]))) for i, e in sorted(f.items())] for f in found], shape)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload, words, first in zip(batch["payload"], batch["words"].to_pylist(), batch["first"].to_pylist()):
+                yield pa.RecordBatch.from_arrays([*load(payload.as_buffer()).columns, leaks(words, first)], [*own, out])
 
     ddl = "array<struct<" + ", ".join(f.replace(" ", ": ") for f in LEAK.split(", ")) + ">>"
-    return docs.withColumn(out, F.arrow_udf(search, ddl)(F.col(text)))
+    return blocks.select("payload", "words", "first").mapInArrow(search, docs.withColumn(out, F.lit(None).cast(ddl)).schema)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.blocks import load, pack, saved
+from pagewright.llm.blocks import load, loosened, pack, saved, squeezed
 from pagewright.llm.words import chunks, flat, mix, spans, word_hashes
 
 DIVERGENCE = 4.0
@@ -81,20 +81,6 @@ class Sums(NamedTuple):
         return self.logs - self.strong * np.log(size) - self.past + self.rare * (np.log(spare) - np.log(size))
 
 
-def squeezed(x: np.ndarray) -> bytes:
-    """Numbers of at least 0, or floats, in few bytes, low bytes first; loosened() gives them back."""
-    if x.dtype.kind != "f":
-        x = x.astype(np.min_scalar_type(x.max(initial=0)))
-    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T
-    return x.dtype.char.encode() + len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
-
-
-def loosened(data: bytes) -> np.ndarray:
-    kind, n = np.dtype(chr(data[0])), int.from_bytes(data[1:9], "little")
-    planes = np.frombuffer(pa.decompress(data[9:], n * kind.itemsize, "zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind)[:, 0]
-
-
 def widened(data: bytes, size: int) -> np.ndarray:
     """Hashes of which the lowest ``size`` bytes were sent."""
     out = np.zeros((len(data) // size, 8), np.uint8)

@@ -337,29 +337,55 @@ def test_latent_space_is_fitted_on_every_document(spark):
     rng = np.random.default_rng(2)
     texts = ["", *[" ".join(f"v{x}" for x in rng.integers(0, 60, n)) for n in rng.integers(1, 90, 60)]]
     docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    items = spark.createDataFrame([(i, " ".join(f"v{x}" for x in rng.integers(0, 40, 20))) for i in range(3)], "item_id long, text string")
-    passages, idf = decontam.item_passages(items, "item_id", "text"), decontam.inverse_frequencies(docs, "text")
-    got = decontam.latent_space(docs, "text", passages, idf)
-    column = {int(b): k for k, b in enumerate(got.terms)}
+    items = spark.createDataFrame([(i, " ".join(f"v{x}" for x in rng.integers(0, 40, 20))) for i in range(24)], "item_id long, text string")
+    blocks = decontam.hashed_rows(docs, "text")
+    passages, idf = decontam.item_passages(items, "item_id", "text"), decontam.inverse_frequencies(blocks)
+    got = decontam.latent_space(blocks, passages, idf)
 
-    def vector(ws, whole):
-        v, norm = np.zeros(len(column)), 0
+    def vector(ws):
+        v, norm = np.zeros(decontam.COLUMNS), 0
         for h in ws:
-            b = int(decontam.bucket(np.uint64(h)[None])[0])
-            norm += float(idf[b]) ** 2
-            if b in column:
-                v[column[b]] += idf[b]
-        return v / (np.linalg.norm(v) if whole else math.sqrt(norm))
-
-    own = np.array([vector(p.words, True) for p in passages])
-    h, first = decontam.texts_words(pa.array(texts), True, decontam.MARKS)
-    every = [h[i : min(i + 24, b)] for a, b in zip(first, first[1:]) for i in range(a, b, 12)]
-    a = np.vstack([decontam.WEIGHT * own, *[vector(w, False)[None] for w in every]])
-    start = np.random.default_rng(3).normal(size=(len(column), min(len(column), len(own) + decontam.EXTRA))).astype(np.float32)
-    q, _ = np.linalg.qr(a.T @ (a @ start))
+            norm += idf[decontam.bucket(h)] ** 2
+            v[decontam.column(h)] += idf[decontam.bucket(h)]
+        return v, norm
+
+    own = np.array([vector(p.words)[0] for p in passages])
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    h, first = decontam.hashed(pa.array(texts))
+    every = [vector(h[i : min(i + 24, b)]) for a, b in zip(first, first[1:]) for i in range(a, b, 12)]
+    a = np.vstack([own, *[v / math.sqrt(n) * math.sqrt(len(own) / len(every)) for v, n in every]])
+    assert got.basis.shape == (decontam.COLUMNS + 1, len(own) // 2)
+    q, _ = np.linalg.qr(a.T @ (a @ np.random.default_rng(3).normal(size=(decontam.COLUMNS, len(own) // 2))))
     want = q @ (q.T @ own.T)
-    want = want / np.linalg.norm(want, axis=0) * idf[got.terms][:, None]
-    assert np.abs(want - got.items).max() < 1e-2 * np.abs(want).max()
+    latent = got.basis[:-1] @ got.items
+    assert np.abs((latent / np.linalg.norm(latent, axis=0) * want / np.linalg.norm(want, axis=0)).sum(axis=0) - 1).max() < 1e-3
+
+
+def brute_leaks(texts, items):
+    """Every place of every text against every passage of every item."""
+    found = set()
+    for d, (t, (i, item)) in ((d, pair) for d, pair in enumerate(((t, x) for t in texts for x in items))):
+        h, w = decontam.hashed(pa.array([t]))[0].tolist(), decontam.hashed(pa.array([item]))[0].tolist()
+        for a in range(0, max(1, len(w) - 24), 24):
+            p = decontam.Passage(i, tuple(w[a : a + 48]), max(1, len(w[a : a + 48]) // 4))
+            n = len(p.words)
+            if any(decontam.verdict(p, h[max(0, c - n) : c + 24 + n]) for c in range(0, len(h), 12)):
+                found.add((d // len(items), i))
+    return found
+
+
+def test_paraphrases_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(12)
+    say = lambda n: " ".join(f"w{int(x)}" for x in rng.zipf(1.3, n) % 3000)
+    items = [(i, say(int(n))) for i, n in enumerate([5, 15, 30, 47, 48, 49, 60, 71, 73, 96, 130, 24])]
+    texts = [say(300) for _ in range(10)]
+    for i, item in items:
+        for share in (1.0, 0.85, 0.7, 0.6, 0.5):
+            kept = " ".join(w if rng.random() < share else f"u{rng.integers(9999)}" for w in item.split())
+            texts.append(f"{say(int(rng.integers(0, 40)))} {kept} {say(20)}")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, x.item_id) for r in decontam.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect() for x in r.leaks}
+    assert got == brute_leaks(texts, items) and len(got) > 30
 
 
 def test_every_item_that_stands_in_a_document_is_found(spark):

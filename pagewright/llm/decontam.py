@@ -17,7 +17,6 @@ word of every document from there.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -51,13 +50,16 @@ class Passage(NamedTuple):
 
 
 class Anchors(NamedTuple):
-    """The rarest words of some item passages: a text that has PART of a passage has at least ``least`` of its anchors."""
+    """The words of some item passages. The rarest ones are anchors: a text that has PART of a passage has at least
+    ``least`` of its anchors."""
 
     words: np.ndarray  # sorted
-    start: np.ndarray  # of each word's entries, and their end
+    times: np.ndarray  # words x passages: how often the passage has the word
+    start: np.ndarray  # of each word's passages of which it is an anchor, and their end
     passage: np.ndarray
-    times: np.ndarray  # how often the passage has the word
     least: np.ndarray  # by passage
+    need: np.ndarray  # words in order that make a leak
+    size: np.ndarray
 
 
 class Space(NamedTuple):
@@ -73,44 +75,61 @@ def needed_words(p: Passage) -> int:
     return next(k for k in range(1, len(p.words) + 1) if k / len(p.words) >= PART)
 
 
-def needed_kinds(p: Passage) -> int:
-    """The fewest different words of the passage that a leak has."""
-    spare = len(p.words) - needed_words(p)  # words that may be missing: first those that stand alone
-    times = sorted(Counter(p.words).values())
-    missing = 0
-    for n in times:
-        if n > spare:
-            break
-        spare, missing = spare - n, missing + 1
-    return len(times) - missing
-
-
 def anchors(passages: list[Passage], idf: np.ndarray) -> Anchors:
-    rows, least = [], []
+    words = np.unique(np.array([w for p in passages for w in p.words], np.int64))
+    times = np.zeros((len(words) + 1, len(passages)), np.int16)
+    need = np.array([needed_words(p) for p in passages], np.int64)
+    least, pairs = np.maximum(1, need // 2), set()
     for i, p in enumerate(passages):
-        need = needed_words(p)
-        least.append(max(1, need // 2))
-        rare = sorted(p.words, key=lambda w: (-float(idf[bucket(w)]), w))[: len(p.words) - need + least[-1]]
-        rows += [(w, i, rare.count(w)) for w in set(rare)]
-    rows.sort()
-    every = np.array([w for w, _, _ in rows], np.int64)
-    own, start = np.unique(every, return_index=True)
-    return Anchors(own, np.append(start, len(rows)), np.array([i for _, i, _ in rows], np.int64), np.array([n for _, _, n in rows], np.int64), np.array(least, np.int64))
-
-
-def possible(a: Anchors, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int]]:
-    """(text, passage) pairs with enough anchors: all pairs in which the text has PART of the passage."""
-    if not len(a.words) or not len(h):
-        return []
-    k = np.minimum(np.searchsorted(a.words, h), len(a.words) - 1)
-    at = np.flatnonzero(a.words[k] == h)
-    seen = np.unique((np.searchsorted(first, at, "right") - 1) * len(a.words) + k[at])
-    text, word = seen // len(a.words), seen % len(a.words)
-    size = a.start[word + 1] - a.start[word]
-    entry = np.arange(size.sum()) + np.repeat(a.start[word] - np.cumsum(size) + size, size)
-    pair, code = np.unique(np.repeat(text, size) * len(a.least) + a.passage[entry], return_inverse=True)
-    enough = pair[np.bincount(code, a.times[entry], minlength=len(pair)) >= a.least[pair % len(a.least)]]
-    return list(zip((enough // len(a.least)).tolist(), (enough % len(a.least)).tolist()))
+        np.add.at(times[:, i], np.searchsorted(words, p.words), 1)
+        rare = sorted(p.words, key=lambda w: (-float(idf[bucket(w)]), w))[: len(p.words) - need[i] + least[i]]
+        pairs |= {(int(np.searchsorted(words, w)), i) for w in rare}
+    pairs = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+    return Anchors(words, times, np.searchsorted(pairs[:, 0], np.arange(len(words) + 1)), pairs[:, 1], least, need, np.array([len(p.words) for p in passages], np.int64))
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... with size[0] values, then those of start[1], and so on."""
+    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
+
+
+def possible(a: Anchors, code: np.ndarray, first: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, passage) pairs whose surroundings have enough anchors: all that have PART of the passage.
+
+    code: of each word its number in a.words, or their number; begin: the first segment of each text.
+    """
+    at = np.flatnonzero(code < len(a.words))
+    n = np.diff(a.start)[code[at]]
+    passage, place = a.passage[ranges(a.start[code[at]], n)], np.repeat(at, n)
+    order = np.argsort(passage * len(code) + place)
+    passage, place = passage[order], place[order]
+    last = np.arange(len(place)) + a.least[passage] - 1
+    ok = np.flatnonzero(last < len(place))
+    ok = ok[passage[last[ok]] == passage[ok]]
+    x, y, passage = place[ok], place[last[ok]], passage[ok]
+    text, size = np.searchsorted(first, x, "right") - 1, a.size[passage]
+    end = begin[text + 1] - begin[text]
+    lo = np.maximum((y - first[text] - 2 * SEGMENT - size) // SEGMENT + 1, 0)
+    hi = np.minimum((x - first[text] + size) // SEGMENT + 1, end)
+    own = (lo < hi) & (y < first[text + 1])
+    lo, hi, text, passage = lo[own], hi[own], text[own], passage[own]
+    pair = np.unique(ranges(begin[text] + lo, hi - lo) * len(a.size) + np.repeat(passage, hi - lo))
+    return pair // len(a.size), pair % len(a.size)
+
+
+def with_enough_words(a: Anchors, code: np.ndarray, lo: np.ndarray, hi: np.ndarray, passage: np.ndarray, piece: int = 2048) -> np.ndarray:
+    """Which windows of words [lo, hi) have as many of the passage's words, in any order, as a leak needs."""
+    keep = np.zeros(len(lo), bool)
+    for i in range(0, len(lo), piece):
+        start, size, p = lo[i : i + piece], hi[i : i + piece] - lo[i : i + piece], passage[i : i + piece]
+        wide = np.arange(int(size.max()))
+        table = np.where(wide < size[:, None], code[np.minimum(start[:, None] + wide, len(code) - 1)], len(a.words)).astype(np.int32)
+        table.sort(axis=1)
+        new = np.ones(table.shape, bool)
+        new[:, 1:] = table[:, 1:] != table[:, :-1]
+        earlier = wide - np.maximum.accumulate(np.where(new, wide, 0), axis=1)  # equal words before it in the window
+        keep[i : i + piece] = (a.times[table, p[:, None]] > earlier).sum(axis=1) >= a.need[p]
+    return keep
 
 
 def bucket(h):
@@ -346,30 +365,23 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", out: str =
                 continue
             s = Segments(h, at, idf)
             for space, exact in zip(spaces, rare):
-                latent = s.project(space.basis)
-                near = latent @ space.items
-                pairs = set(zip(*(x.tolist() for x in np.nonzero(near >= cosine))))
-                for doc, p in possible(exact, h, at):
-                    need, reach = needed_words(space.passages[p]), len(space.passages[p].words)
-                    hits = np.flatnonzero(np.isin(h[at[doc] : at[doc + 1]], space.passages[p].words))
-                    if len(hits) >= need:
-                        start = np.arange(s.begin[doc + 1] - s.begin[doc]) * SEGMENT
-                        inside = np.searchsorted(hits, start + 2 * SEGMENT + reach) - np.searchsorted(hits, start - reach)
-                        pairs |= {(seg, p) for seg in (s.begin[doc] + np.flatnonzero(inside >= need)).tolist()}
-                for seg, p in sorted(pairs):
-                    passage = space.passages[p]
-                    doc = int(np.searchsorted(s.begin, seg, "right")) - 1
-                    place = int(at[doc]) + (seg - int(s.begin[doc])) * SEGMENT
-                    lo = max(int(at[doc]), place - len(passage.words))
-                    hi = min(int(at[doc + 1]), place + 2 * SEGMENT + len(passage.words))
-                    around = h[lo:hi].tolist()
-                    if len(set(passage.words).intersection(around)) < needed_kinds(passage):
-                        continue
-                    if shares := verdict(passage, around):
-                        entry = (*shares, float(near[seg, p]), int(at[doc]) - lo, hi - 1 - int(at[doc]))
-                        old = found[row + doc].get(passage.item_id)
+                near = s.project(space.basis) @ space.items
+                code = np.searchsorted(exact.words, h)
+                code[exact.words[np.minimum(code, len(exact.words) - 1)] != h] = len(exact.words)
+                pairs = [np.nonzero(near >= cosine), possible(exact, code, at, s.begin)]
+                pair = np.unique(np.concatenate([seg * near.shape[1] + p for seg, p in pairs]))
+                seg, p = pair // near.shape[1], pair % near.shape[1]
+                doc = np.searchsorted(s.begin, seg, "right") - 1
+                place = at[doc] + (seg - s.begin[doc]) * SEGMENT
+                lo = np.maximum(at[doc], place - exact.size[p])
+                hi = np.minimum(at[doc + 1], place + 2 * SEGMENT + exact.size[p])
+                for k in np.flatnonzero(with_enough_words(exact, code, lo, hi, p)).tolist():
+                    passage, own = space.passages[p[k]], int(doc[k])
+                    if shares := verdict(passage, h[lo[k] : hi[k]].tolist()):
+                        entry = (*shares, float(near[seg[k], p[k]]), int(at[own] - lo[k]), int(hi[k] - 1 - at[own]))
+                        old = found[row + own].get(passage.item_id)
                         if old is None or entry > old:
-                            found[row + doc][passage.item_id] = entry
+                            found[row + own][passage.item_id] = entry
         return pa.array([[dict(zip(names, (i, e[2], e[0], e[1], -e[3], e[4]))) for i, e in sorted(f.items())] for f in found], shape)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,8 +34,8 @@ HASH_BITS = 32  # of a word's hash
 BUCKETS, COLUMNS = 1 << 18, 1 << 16  # of words by the leading bits of their hashes: for idf, and for the vectors
 ITEM_PASSAGE = 48
 TOGETHER = 256  # item passages that share a latent space
-RANK = 48
-COSINE = 0.3
+RANK = 32
+COSINE = 0.35
 MOST, PART, ANSWER = 0.8, 0.6, 0.5
 BLOCK = 4 << 20
 PIECE = 1 << 15  # words looked at together
@@ -293,7 +293,7 @@ def latent_space(blocks: DataFrame, passages: list[Passage], idf: np.ndarray, ra
                             total[1:] += z.T @ z
                         else:
                             z = s.back(z / s.norm)
-                            order = np.argsort(s.column)
+                            order = np.argsort(s.column.astype(np.uint16), kind="stable")  # 16 bits are sorted by digits
                             ranked = s.column[order]
                             head = np.flatnonzero(np.diff(ranked, prepend=-1))
                             total[1 + ranked[head]] += np.add.reduceat(z[s.segment[order]] * s.weight[order, None], head, axis=0)

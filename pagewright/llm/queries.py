@@ -71,7 +71,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op6_sql(seed: int = 7, blocks: int = mixing.BLOCKS, levels: int = mixing.LEVELS) -> str:
     tree = ", ".join(
-        f"""tree{i + 1} AS (SELECT source_key, block, draw, shard * 2 + (row_number() OVER (PARTITION BY shard ORDER BY md5('{seed}-{i}:' || source_key || ':' || block || ':' || draw), source_key, block, draw) * 2 > count(*) OVER (PARTITION BY shard) + 1)::INT AS shard FROM tree{i})"""
+        f"""tree{i + 1} AS (SELECT source_key, number, shard * 2 + (row_number() OVER (PARTITION BY shard ORDER BY ('0x' || md5('{seed}-{i}:' || source_key || ':' || number)[1:8])::BIGINT % {mixing.BINS}, md5('{seed}-{i}:' || source_key || ':' || number), source_key, number) * 2 > count(*) OVER (PARTITION BY shard) + 1)::INT AS shard FROM tree{i})"""
         for i in range(levels)
     )
     return rf"""
@@ -98,9 +98,13 @@ drawn AS (
   SELECT source_key, block, source_size, target, times,
     greatest(0, rest - coalesce(sum(block_size) OVER (PARTITION BY source_key ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS rest
   FROM by_block JOIN plan USING (source_key)),
-tree0 AS (SELECT source_key, block, unnest(range(1, 1 + times + (rest > 0)::INT)) AS draw, 0 AS shard FROM drawn),
+draws AS (SELECT source_key, block, unnest(range(1, 1 + times + (rest > 0)::INT)) AS draw FROM drawn),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY md5('{seed}:' || source_key || ':' || block || ':' || draw), block, draw) AS number FROM draws),
+tree0 AS (SELECT source_key, number, 0 AS shard FROM placed),
 {tree},
-dealt AS (SELECT source_key, block, list(shard::VARCHAR ORDER BY draw) AS dealt FROM tree{levels} GROUP BY ALL),
+quotas AS (SELECT source_key, shard, count(*) AS quota FROM tree{levels} GROUP BY ALL),
+ends AS (SELECT source_key, shard, sum(quota) OVER (PARTITION BY source_key ORDER BY shard) AS upto, quota FROM quotas),
+dealt AS (SELECT p.source_key, p.block, list(e.shard::VARCHAR ORDER BY p.draw) AS dealt FROM placed p JOIN ends e ON p.source_key = e.source_key AND p.number <= e.upto AND p.number > e.upto - e.quota GROUP BY ALL),
 parts AS (
   SELECT s.doc_id, s.size, d.source_size, d.target, d.times, e.dealt,
     greatest(0, least(s.size, d.rest - coalesce(sum(s.size) OVER (PARTITION BY s.source_key, s.block ORDER BY s.key, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS part

@@ -168,14 +168,43 @@ def test_excess_is_shared_again_until_nothing_is_above(spark):
 
 
 def test_shards_get_each_draw_once(spark, docs):
-    known = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    mixed = mixing.mix(known)
-    rows = mixing.shard_rows(known, mixed).collect()
-    assert sum(r.mix_words for r in rows) == sum(r.taken for r in mixed.collect())
-    draws = [(s, i) for i, s in enumerate(range(40))]
-    table = spark.createDataFrame([("k", b, 1) for _, b in draws], "source_key string, block int, draw int")
-    per_shard = Counter(r.shard for r in mixing.split(table, 3, 1).collect())
-    assert sum(per_shard.values()) == 40 and max(per_shard.values()) - min(per_shard.values()) <= 1
+    rows, mixed = mixing.shard_rows(docs).collect(), mixing.mix(docs).collect()
+    assert sum(r.mix_words for r in rows) == sum(r.taken for r in mixed)
+    drawn = Counter((r.row.doc_id, r.row.text, r.mix_shard) for r in rows)
+    own = Counter()
+    for m in mixing.mix(docs, whole_rows=True).collect():
+        own.update((m.doc_id, m.row.text, int(s)) for s in m.shards.split(",") if s)
+    assert drawn == own and {r.row.Word for r in rows} <= {"clash", None}
+    for r in rows:
+        assert r.mix_text == r.row.text or words(r.mix_text) == words(r.row.text)[: r.mix_words]
+    assert mixing.shard_rows(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bins", [1, 4, 4096])
+def test_tree_cuts_each_node_in_the_middle(spark, bins):
+    numbers = [(s, i) for s, n in (("a", 40), ("b", 7), ("", 1)) for i in range(1, n + 1)]
+    told = mixing.quotas(spark.createDataFrame(numbers, "source_key string, number int"), 3, 1, bins).collect()
+    shards, sources = Counter(), Counter()
+    for r in told:
+        shards[r.shard] += r.quota
+        sources[r.source_key] += r.quota
+    assert sources == {"a": 40, "b": 7, "": 1} and sorted(shards.values()) == [6] * 8
+
+
+def test_left_quotas_are_hypergeometric(spark):
+    left = []
+    for seed in range(12):
+        told = mixing.quotas(spark.createDataFrame([(s, i) for s in "ab" for i in range(200)], "source_key string, number int"), 1, seed).where("source_key = 'a' AND shard = 0").first()
+        left.append(told.quota)
+    spread = 200 * 200 * 200 * 200 / (400 * 400 * 399)  # variance of 200 out of 400 with 200 of the kind
+    assert abs(np.mean(left) - 100) < 4 * math.sqrt(spread / 12) and 0.2 * spread < np.var(left) < 3 * spread
+
+
+def test_running_sums_over_ranges(spark):
+    values = [(i * 7919 % 101, i % 5) for i in range(101)]
+    got = mixing.in_order(spark.createDataFrame(values, "k int, v long"), [F.col("k")], "v").collect()
+    for r in got:
+        assert r["at"] == r.k + 1 and r.before_v == sum(v for k, v in values if k < r.k)
 
 
 def test_base_scores_and_counts(spark, docs):
@@ -413,11 +442,13 @@ def test_pipeline_keeps_columns_and_acts(spark, docs):
         assert out.columns == docs.columns
     assert names[0][1] < len(corpus()) and names[1][1] < names[0][1] and names[2][1] == names[1][1]
     final = p.STAGES[-1][1](spark, out, SF).collect()
-    assert final and all(r.taken > 0 for r in final)
+    assert final and all(r.words > 0 and len(words(r.text)) == r.words for r in final)
 
 
 def test_pipeline_runs_whole(spark):
     import corpus_pipeline
 
     rows = corpus_pipeline.run(spark, SF).collect()
-    assert rows and len({r.doc_id for r in rows}) == len(rows)
+    assert rows and max(Counter(r.doc_id for r in rows).values()) <= 4
+    assert {r.shard for r in rows} == set(range(16))
+    assert all(r.words == len(words(r.text)) for r in rows)

@@ -53,8 +53,9 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes: doc_id, source, size, source_size, target, taken and shards."""
-    return mixing.mix(docs.select("doc_id", "text", "source")).where("taken > 0")
+    """The mix: drawn texts by output shard, shuffled inside it: shard, place, doc_id, source, words and text."""
+    rows = mixing.shard_rows(docs.select("doc_id", "text", "source"))
+    return rows.select(F.col("mix_shard").alias("shard"), F.col("mix_place").alias("place"), "row.doc_id", "row.source", F.col("mix_words").alias("words"), F.col("mix_text").alias("text"))
 
 
 STAGES = [

@@ -12,7 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.words import chunks, flat
@@ -130,7 +130,8 @@ def text_windows(buf: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarr
 def training_windows(df: DataFrame, lang: str, text: str, key: Column, sample: int, window: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     """At most ``sample`` windows a language, each from a place of a text that its hash picks.
 
-    Rates come from counts over all labelled rows; the driver gets about 1.3 * sample windows of each language.
+    Rates come from counts over all labelled rows; of the windows picked, the first ``sample`` different ones of each
+    language by hash reach the driver, so reruns agree and repeated rows count once.
     """
     labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
@@ -141,8 +142,9 @@ def training_windows(df: DataFrame, lang: str, text: str, key: Column, sample: i
         rate = F.when(F.col(lang) == name, min(1.0, 1.3 * sample / n)).otherwise(rate)
     h = F.xxhash64(key, F.length(text))
     place = F.pmod(F.shiftrightunsigned(h, 20), F.greatest(F.lit(1), F.length(text) - window + 1)).cast("int") + 1
-    picked = labelled.where(F.pmod(h, F.lit(1 << 20)) < rate * (1 << 20)).select(lang, h.alias("h"), F.substring(F.col(text), place, F.lit(window)).alias("part"))
-    rows = picked.limit(2 * sample * len(counts)).toArrow().sort_by([("h", "ascending"), ("part", "ascending")])
+    picked = labelled.where(F.shiftrightunsigned(h, 1) < rate * float(1 << 63)).select(lang, h.alias("h"), F.substring(F.col(text), place, F.lit(window)).alias("part"))
+    number = F.row_number().over(Window.partitionBy(lang).orderBy("h", "part"))
+    rows = picked.distinct().withColumn("number", number).where(F.col("number") <= sample).toArrow().sort_by([("h", "ascending"), ("part", "ascending")])
     labels = sorted(counts)
     windows, target = [np.empty((0, window), np.uint8)], []
     for i, name in enumerate(labels):

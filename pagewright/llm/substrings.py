@@ -11,8 +11,9 @@ lengths, and only where it branches:
 
 At either length, prefixes are dealt by their leading bits into groups that fit into memory. A task sends each prefix
 of a block once, with a mark if the block has it again, so a passage that a third of all texts share costs a group one
-entry a block. Back come bits, in the order sent. Prefixes are 64-bit hashes; two different ones agree with a chance of
-about n*n/2**65 for n prefixes in the whole corpus.
+entry a block. Back come bits, in the order sent. The short prefixes are 64-bit hashes: two different ones that agree
+only send some windows to the second step in vain. Nodes are compared by 128 bits, made from three 64-bit hashes of parts
+of the window, so different windows agree with a chance of about n*n/2**129 for n of them.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pagewright.llm.words import chunks, flat, mix, row_ends, run_hashes, slidin
 
 WINDOW = 35
 PREFIX = 16
+FACTORS = np.array([[0xD6E8FEB86659FD93], [0xA0761D6478BD642F]], np.uint64)
 
 
 class BlockSuffixes:
@@ -51,11 +53,10 @@ class BlockSuffixes:
         self.prefixes, count = np.unique(g[sliding(around, reach, np.maximum) == g], return_counts=True)
         self.again = count > 1
         pieces = [g[i : i + m] for i in [*range(0, window - prefix, prefix), window - prefix]]
-        deep = np.zeros(m, np.uint64)
+        self.deep = np.zeros((2, m), np.uint64)
         for p in pieces:
-            deep *= np.uint64(0xD6E8FEB86659FD93)
-            deep += p
-        self.deep = deep
+            self.deep *= FACTORS
+            self.deep += p
 
     def below(self, branching: np.ndarray) -> np.ndarray:
         """Windows, by start, whose prefix occurs again. branching: a flag for each of self.prefixes."""
@@ -68,8 +69,14 @@ class BlockSuffixes:
         flag = branching[np.searchsorted(self.prefixes, leaf[head])]
         return keep[flag[np.cumsum(head) - 1]]
 
-    def nodes(self, windows: np.ndarray) -> np.ndarray:
-        return mix(self.deep[windows]) if len(windows) else np.empty(0, np.uint64)
+    def nodes(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct nodes of windows, two hashes each, in their order; how often each is there; each window's node."""
+        high, low = (mix(x[windows]) for x in self.deep) if len(windows) else np.empty((2, 0), np.uint64)
+        order, new = ranked(high, low)
+        code = np.empty(len(high), np.int64)
+        code[order] = np.cumsum(new) - 1
+        first = order[new]
+        return np.stack([high[first], low[first]], axis=1), np.bincount(code), code
 
     def covered(self, windows: np.ndarray) -> np.ndarray:
         """A flag for each word: some of these windows covers it."""
@@ -79,9 +86,17 @@ class BlockSuffixes:
         return np.cumsum(edge[:-1]) > 0
 
 
+def ranked(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of pairs of hashes, and which of them, in this order, differ from the one before."""
+    order = np.lexsort((low, high))
+    new = np.ones(len(order), bool)
+    new[1:] = (high[order[1:]] != high[order[:-1]]) | (low[order[1:]] != low[order[:-1]])
+    return order, new
+
+
 def groups(keys: np.ndarray, again: np.ndarray, bits: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """Sorted keys in groups by their leading bits: (group, keys, packed marks)."""
-    cut = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+    """Sorted keys, of one hash or two, in groups by leading bits: (group, keys, packed marks)."""
+    cut = np.searchsorted(keys if keys.ndim == 1 else np.ascontiguousarray(keys[:, 0]), np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
     edges = [0, *cut.tolist(), len(keys)]
     for g, (a, b) in enumerate(zip(edges, edges[1:])):
         if a < b:
@@ -91,15 +106,21 @@ def groups(keys: np.ndarray, again: np.ndarray, bits: int) -> Iterator[tuple[int
 SENT = pa.schema([("bucket", pa.int64()), ("block_id", pa.int64()), ("keys", pa.binary()), ("again", pa.binary())])
 
 
-def branching(sent: DataFrame, name: str) -> DataFrame:
-    """For each block, whether each key it sent occurs again anywhere: (block_id, found: array of (bucket, n, bits))."""
+def branching(sent: DataFrame, name: str, hashes: int = 1) -> DataFrame:
+    """For each block, whether each key it sent occurs again anywhere: (block_id, found: array of (bucket, n, bits)).
+
+    A key has one 64-bit hash or two.
+    """
 
     def count(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(k, np.uint64) for k in table["keys"].to_pylist()]
+        parts = [np.frombuffer(k, np.uint64).reshape(-1, hashes) for k in table["keys"].to_pylist()]
         keys = np.concatenate(parts)
-        order = np.argsort(keys)
-        ranked = keys[order]
-        same = ranked[1:] == ranked[:-1]
+        if hashes == 1:
+            order = np.argsort(keys[:, 0])
+            same = np.diff(keys[order, 0]) == 0
+        else:
+            order, new = ranked(*np.ascontiguousarray(keys.T))
+            same = ~new[1:]
         found = np.zeros(len(keys), bool)
         found[order[1:]] |= same
         found[order[:-1]] |= same
@@ -175,13 +196,13 @@ def remove_repeats(df: DataFrame, text: str = "text", *, window: int = WINDOW, p
         for batch in batches:
             for block, payload, found in zip(batch["block_id"].to_pylist(), batch["payload"], batch["prefixes"].to_pylist()):
                 s = BlockSuffixes(load(payload.as_buffer()).column(place), window, prefix)
-                keys, count = np.unique(s.nodes(s.below(flags(found))), return_counts=True)
+                keys, count, _ = s.nodes(s.below(flags(found)))
                 yield send(block, keys, count > 1)
 
     ddl = "bucket long, block_id long, keys binary, again binary"
     first = branching(blocks.mapInArrow(prefixes, ddl), "prefixes")
     visit = blocks.join(first.hint("merge"), "block_id", "left")
-    deep = branching(visit.mapInArrow(nodes, ddl), "nodes")
+    deep = branching(visit.mapInArrow(nodes, ddl), "nodes", 2)
     schema = df.select(*own, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text")).schema
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,8 +211,7 @@ def remove_repeats(df: DataFrame, text: str = "text", *, window: int = WINDOW, p
                 rows = load(payload.as_buffer())
                 s = BlockSuffixes(rows.column(place), window, prefix)
                 windows = s.below(flags(found))
-                keys = s.nodes(windows)
-                gone = s.covered(windows[flags(repeats)[np.searchsorted(np.unique(keys), keys)]])
+                gone = s.covered(windows[flags(repeats)[s.nodes(windows)[2]]])
                 removed = np.concatenate([[0], np.cumsum(gone)])[s.first]
                 kept = kept_words(rows.column(place), ~gone)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.diff(s.first)), pa.array(np.diff(removed)), kept], [*own, *new])

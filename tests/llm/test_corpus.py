@@ -67,12 +67,17 @@ def test_suffix_groups_on_random_texts():
         texts = [" ".join(map(str, rng.integers(0, rng.integers(1, 6), rng.integers(0, 60)))) for _ in range(rng.integers(1, 6))]
         s = substrings.BlockSuffixes(pa.array(texts), 9, 4)
         windows = s.below(s.again)
-        keys = s.nodes(windows)
-        unique, count = np.unique(keys, return_counts=True)
-        gone = s.covered(windows[(count > 1)[np.searchsorted(unique, keys)]])
+        _, count, node = s.nodes(windows)
+        gone = s.covered(windows[(count > 1)[node]])
         assert [x for x in substrings.kept_words(pa.array(texts), ~gone).to_pylist()] == [t for _, _, t in brute_repeats(texts, 9)], trial
 
 
+def test_nodes_that_share_a_hash_stay_apart():
+    high, low = np.array([5, 5, 1, 5, 5], np.uint64), np.array([7, 8, 7, 7, 9], np.uint64)
+    order, new = substrings.ranked(high, low)
+    assert new.sum() == 4 and [(int(high[i]), int(low[i])) for i in order] == [(1, 7), (5, 7), (5, 7), (5, 8), (5, 9)]
+
+
 def brute_components(rows, percent=75):
     sets = []
     for r in rows:

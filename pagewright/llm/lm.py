@@ -37,12 +37,12 @@ from pagewright.llm.words import chunks, flat, mix, spans, word_hashes
 DIVERGENCE = 4.0
 BASE_EPSILON = 0.5
 REACH = 3  # words of the longest context
-BLOCK = 3 << 20  # bytes of a block: a walk holds several times as much
+BLOCK = 6 << 20  # bytes of a block: a walk holds several times as much
 HOT = 1 << 22
 HOT_SHARE = 1 << 20  # no context under this part of all training tokens is spread, so a level has at most twice as many parts
 HEAD, TAIL = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)  # stand for the start and the end of a text
 STEP = np.uint64(0x9E3779B97F4A7C15)
-ROUNDS = (2, 2, 1)  # by level: in so many parts by groups, so that less is on disk at once
+ROUNDS = (2,)  # by level, the last for all further ones: in so many parts by groups, so that less is on disk at once
 KEY_BYTES, NEXT_BYTES = 6, 5  # that tell apart the contexts of one group, and the words after one context
 
 WORDS = "block_id long, symbols binary, code binary, first binary, train binary, texts long"

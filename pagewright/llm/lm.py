@@ -37,15 +37,16 @@ from pagewright.llm.words import chunks, flat, mix, spans, word_hashes
 DIVERGENCE = 4.0
 BASE_EPSILON = 0.5
 REACH = 3  # words of the longest context
-BLOCK = 6 << 20  # bytes of a block: a walk holds several times as much
+BLOCK = 4 << 20  # bytes of a block: a walk holds several times as much
 HOT = 1 << 22
 HOT_SHARE = 1 << 20  # no context under this part of all training tokens is spread, so a level has at most twice as many parts
 HEAD, TAIL = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)  # stand for the start and the end of a text
 STEP = np.uint64(0x9E3779B97F4A7C15)
-ROUNDS = (2,)  # by level, the last for all further ones: in so many parts by groups, so that less is on disk at once
+ROUNDS = (2, 2, 1)  # by level, the last for all further ones: in so many parts by groups, so that less is on disk at once
 KEY_BYTES, NEXT_BYTES = 6, 5  # that tell apart the contexts of one group, and the words after one context
 
 WORDS = "block_id long, symbols binary, code binary, first binary, train binary, texts long"
+RESULTS = ["n_tokens", "n_known", "base_score", "score"]
 ANSWER = "block_id long, bucket long, level int, spare binary, kinds binary, n binary"
 ANSWER_WIRE = pa.schema([("block_id", pa.int64()), ("bucket", pa.int64()), ("level", pa.int32()), ("spare", pa.binary()), ("kinds", pa.binary()), ("n", pa.binary())])
 SENT = ["keys", "hot", "asked", "past", "rare", "next", "counts"]
@@ -423,8 +424,8 @@ def _scored(blocks: DataFrame, words: DataFrame, schema, names: list[str], diver
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, payload in enumerate(batch["payload"]):
-                row = batch.drop_columns(["payload"]).slice(i, 1).to_pylist()[0]
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 way, first, code = walk(row), numbers(row["first"]), numbers(row["code"])
 
                 def by_text(x: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -434,7 +435,16 @@ def _scored(blocks: DataFrame, words: DataFrame, schema, names: list[str], diver
                 known = by_text((way.counts > 0).astype(np.int64)[code], first) + (texts > 0)
                 base = by_text(model.base(way.counts)[code], first) + model.base(np.array([texts]))
                 scores = by_text(np.where(way.place > 0, way.score, 0), way.first)
-                added = [np.diff(first) + 1, known, np.full(len(known), model.tokens), base, scores]
+                parts = [np.diff(first) + 1, known, base, scores]
+                yield pa.RecordBatch.from_pylist([{"block_id": row["block_id"]} | {c: x.tobytes() for c, x in zip(RESULTS, parts)}])
+
+    results = saved(gathered().mapInArrow(score, "block_id long, " + ", ".join(f"{c} binary" for c in RESULTS)), "scores")
+
+    def append(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload, *parts in zip(batch["payload"], *[batch[c].to_pylist() for c in RESULTS]):
+                n, known, base, scores = (np.frombuffer(x, k) for x, k in zip(parts, (np.int64, np.int64, np.float64, np.float64)))
+                added = [n, known, np.full(len(n), model.tokens), base, scores]
                 yield pa.RecordBatch.from_arrays([*load(payload.as_buffer()).columns[:-1], *map(pa.array, added)], names)
 
-    return blocks.join(gathered(), "block_id").mapInArrow(score, schema)
+    return blocks.join(results, "block_id").select("payload", *RESULTS).mapInArrow(append, schema)

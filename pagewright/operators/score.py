@@ -101,6 +101,15 @@ def candidate_structures(elements: DataFrame, roles: DataFrame, page: Sequence[s
     return elements.where("type <> 'text'").join(spare, [*page, "ref"], "left_anti")
 
 
+def mapped_edges(edges: DataFrame, matches: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Edges (group, source, target, more) with both ends mapped from observed to reference; others stay as they are."""
+    out = edges
+    for end in ("source", "target"):
+        own = matches.select(*group, F.col("observed").alias(end), "reference")
+        out = out.join(own, [*group, end], "left").withColumn(end, F.coalesce("reference", end)).drop("reference")
+    return out.select(*edges.columns)
+
+
 def structure_pairs(expected: DataFrame, observed: DataFrame, page: Sequence[str]) -> DataFrame:
     """(page, expected, observed, similarity 0..100) for structures of one type on a page, boxes as shares of the page."""
     o = observed.select(*page, "type", F.col("ref").alias("observed"), *[F.col(c).alias(f"o_{c}") for c in "xywh"])

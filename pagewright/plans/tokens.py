@@ -201,12 +201,12 @@ def token_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(BASE + "," + BLOCKS + """
 SELECT doc_id, count(*) AS anchors, count(*) FILTER (WHERE ok) AS recovered, coalesce(avg(ok::INT) * 100, 100.0) AS recall FROM (
-  SELECT r.doc_id, contains(coalesce(a.text, ''), substr(r.txt, 1, 12)) AS ok FROM regions r LEFT JOIN (SELECT doc_id, string_agg(word, '' ORDER BY line_no, word_no) AS text FROM cand GROUP BY doc_id) a USING (doc_id) WHERE r.essential) GROUP BY doc_id""")
+  SELECT r.doc_id, contains(coalesce(a.text, ''), r.txt) AS ok FROM regions r LEFT JOIN (SELECT doc_id, string_agg(word, '' ORDER BY line_no, word_no) AS text FROM cand GROUP BY doc_id) a USING (doc_id) WHERE r.essential) GROUP BY doc_id""")
 def anchor_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First letters of essential lines looked up in the whole recovered text."""
+    """Essential lines looked up in the whole recovered text."""
     tokens = layout.tokens(spark, sf_dir)
     whole = score.joined_text(layout.candidate(tokens), ["doc_id"], ["line_no", "word_no"], "word")
-    wanted = layout.regions(tokens).where("essential").select("doc_id", F.substring("txt", 1, 12).alias("anchor"))
+    wanted = layout.regions(tokens).where("essential").select("doc_id", F.col("txt").alias("anchor"))
     a = score.anchors(whole, wanted, ["doc_id"], normal=False)
     return a.groupBy("doc_id").agg(F.count(F.lit(1)).alias("anchors"), F.count(F.when(F.col("recovered"), 1)).alias("recovered"), score.share(F.col("recovered")).alias("recall"))
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 BLOCK_BYTES = 8 << 20
+NOTING: list[list[str]] = []  # who wants to know of new scratch tables, on the driver
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,16 +42,28 @@ def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write a DataFrame to the scratch folder and read it back: later steps start from the files."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    for tables in NOTING:
+        tables.append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by saved() that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+@contextmanager
+def noted(tables: list[str]):
+    """Adds the folders of the tables that saved() makes meanwhile to ``tables``."""
+    NOTING.append(tables)
+    try:
+        yield
+    finally:
+        NOTING.remove(tables)
+
+
+def discard(spark: SparkSession, tables: list[str]) -> None:
+    """Delete folders of scratch tables that nothing reads any more."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    while tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(tables.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def dump(batches: list[pa.RecordBatch]) -> bytes:

@@ -5,7 +5,7 @@ Boxes are made from columns of ``lineitem`` so that every rule meets rows on bot
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as g
@@ -27,7 +27,10 @@ def query(sql: str):
 BOXES = """
 boxes AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, (l_partkey % 640 - 20)::DOUBLE AS x, (l_suppkey % 900 - 30)::DOUBLE AS y,
   (l_quantity::INT * 13 - 26)::DOUBLE AS w, (l_linenumber * 40 + l_partkey % 7 - 43)::DOUBLE AS h, l_returnflag AS kind FROM lineitem)"""
-W, H = F.lit(layout.PAGE_W), F.lit(layout.PAGE_H)
+
+
+def page_size() -> tuple[Column, Column]:
+    return F.lit(layout.PAGE_W), F.lit(layout.PAGE_H)
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,10 +49,10 @@ SELECT doc_id, n, least(greatest(x / 595, 0.0::DOUBLE), 1 - uw) AS ux, least(gre
 def unit_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes as shares of the page, and points and boxes inside others, by pixels and with a tolerance."""
     b, frame = g.Box.of(), g.Box(F.lit(100), F.lit(200), F.lit(300), F.lit(400))
-    unit, plain = g.unit_box(b, W, H), g.plain_unit_box(b, W, H)
+    unit, plain = g.unit_box(b, *page_size()), g.plain_unit_box(b, *page_size())
     return boxes(spark, sf_dir).select(
         "doc_id", "n", unit.x.alias("ux"), unit.y.alias("uy"), unit.w.alias("uw"), unit.h.alias("uh"), plain.isNotNull().alias("has_extent"), plain["x"].alias("plain_x"),
-        g.inside_page(b, W, H, 0.01).alias("inside"), g.has_pixel_center(frame, b).alias("pixel_center"), g.has_point(frame, *b.center, 0.5).alias("near_center"),
+        g.inside_page(b, *page_size(), 0.01).alias("inside"), g.has_pixel_center(frame, b).alias("pixel_center"), g.has_point(frame, *b.center, 0.5).alias("near_center"),
     )
 
 
@@ -83,8 +86,8 @@ def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("part"), (F.col("p_size") * 13).cast("double").alias("w"), (F.col("p_size") * 17 + F.col("p_partkey") % 90).cast("double").alias("h"), (F.col("p_partkey") % 3).alias("pixels")
     )
     b = g.Box(F.lit(0.0), F.lit(0.0), F.col("w"), F.col("h"))
-    covers = g.covers_page(b, W, H, F.lit(0), F.lit(0), F.col("pixels"), F.col("pixels"))
-    return parts.select("part", covers.alias("covers"), (b.area / (W * H) >= 0.85).alias("extracted"))
+    covers = g.covers_page(b, *page_size(), F.lit(0), F.lit(0), F.col("pixels"), F.col("pixels"))
+    return parts.select("part", covers.alias("covers"), (b.area / (layout.PAGE_W * layout.PAGE_H) >= 0.85).alias("extracted"))
 
 
 @query("""

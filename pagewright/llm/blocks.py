@@ -94,10 +94,12 @@ def loosened(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind)[:, 0]
 
 
-def pack(df: DataFrame, size: int = BLOCK_BYTES, names: tuple[str, ...] = (), made: Callable[[pa.RecordBatch], list[bytes]] | None = None) -> DataFrame:
+def pack(
+    df: DataFrame, size: int = BLOCK_BYTES, names: tuple[str, ...] = (), made: Callable[[pa.RecordBatch], list[bytes]] | None = None, left_out: tuple[int, ...] = ()
+) -> DataFrame:
     """(block_id, payload, *names) rows that hold all rows of ``df``, about ``size`` bytes each before compression.
 
-    ``made`` gives the further columns, binary, of a block's rows.
+    ``made`` gives the further columns, binary, of a block's rows. It sees the columns at ``left_out`` too, which payload lacks.
     """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,8 +108,8 @@ def pack(df: DataFrame, size: int = BLOCK_BYTES, names: tuple[str, ...] = (), ma
 
         def out():
             nonlocal number, held, weight
-            payload = dump(held)
-            parts = [payload, *(made(load(payload)) if made else [])]
+            payload = dump([b.select([i for i in range(b.num_columns) if i not in left_out]) for b in held])
+            parts = [payload, *(made(pa.Table.from_batches(held).combine_chunks().to_batches()[0]) if made else [])]
             row = pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([x], pa.binary()) for x in parts]], ["block_id", "payload", *names])
             number, held, weight = number + 1, [], 0
             return row

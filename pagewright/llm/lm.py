@@ -42,10 +42,10 @@ HOT = 1 << 22
 HOT_SHARE = 1 << 20  # no context under this part of all training tokens is spread, so a level has at most twice as many parts
 HEAD, TAIL = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)  # stand for the start and the end of a text
 STEP = np.uint64(0x9E3779B97F4A7C15)
-ROUNDS = (2,)  # by level, the last for all further ones: in so many parts by groups, so that less is on disk at once
+ROUNDS = (2, 2, 1)  # by level, the last for all further ones: in so many parts by groups, so that less is on disk at once
 KEY_BYTES, NEXT_BYTES = 6, 5  # that tell apart the contexts of one group, and the words after one context
 
-WORDS = "block_id long, symbols binary, code binary, first binary, train binary, texts long"
+WORDS = ("symbols", "code", "first", "train")
 RESULTS = ["n_tokens", "n_known", "base_score", "score"]
 ANSWER = "block_id long, bucket long, level int, spare binary, kinds binary, n binary"
 ANSWER_WIRE = pa.schema([("block_id", pa.int64()), ("bucket", pa.int64()), ("level", pa.int32()), ("spare", pa.binary()), ("kinds", pa.binary()), ("n", pa.binary())])
@@ -264,19 +264,16 @@ def block_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys[order], rank[code], np.concatenate(first)
 
 
-def split_words(blocks: DataFrame, place: dict[str, int]) -> DataFrame:
-    """The words of each block as a row of WORDS: later steps start from these and not from texts."""
+def split_words(rows: DataFrame, text: int, train: int, left_out: tuple[int, ...]) -> DataFrame:
+    """Blocks of rows with their words (WORDS) and the number of training texts: later steps start from these and not
+    from texts. The payload has the columns that are not at ``left_out``."""
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, payload in zip(batch["block_id"].to_pylist(), batch["payload"]):
-                rows = load(payload.as_buffer())
-                symbols, code, first = block_words(rows.column(place["text"]))
-                train = rows.column(place["train"]).to_numpy(zero_copy_only=False).astype(bool)
-                parts = [symbols.tobytes(), squeezed(code), squeezed(first), squeezed(train.astype(np.uint8))]
-                yield pa.RecordBatch.from_arrays([pa.array([block]), *[pa.array([p], pa.binary()) for p in parts], pa.array([int(train.sum())])], [f.split()[0] for f in WORDS.split(", ")])
+    def split(batch: pa.RecordBatch) -> list[bytes]:
+        symbols, code, first = block_words(batch.column(text))
+        learn = batch.column(train).to_numpy(zero_copy_only=False).astype(np.uint8)
+        return [symbols.tobytes(), squeezed(code), squeezed(first), squeezed(learn), int(learn.sum()).to_bytes(8, "big")]
 
-    return saved(blocks.mapInArrow(split, WORDS), "words")
+    return saved(pack(rows, BLOCK, (*WORDS, "texts"), split, left_out), "words", "uncompressed")
 
 
 def count_words(words: DataFrame, bits: int) -> DataFrame:
@@ -303,7 +300,7 @@ def count_words(words: DataFrame, bits: int) -> DataFrame:
         return pa.Table.from_pylist([{"block_id": k, "bucket": table["bucket"][0].as_py(), "level": 0, "spare": b"", "kinds": b"", "n": n} for k, n in rows], ANSWER_WIRE)
 
     wire = pa.schema([("bucket", pa.int64()), ("block_id", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-    sent = words.select("block_id", "symbols", "code", "first", "train").mapInArrow(ask, "bucket long, block_id long, keys binary, counts binary")
+    sent = words.select("block_id", *WORDS).mapInArrow(ask, "bucket long, block_id long, keys binary, counts binary")
     return saved(sent.groupBy("bucket").applyInArrow(count, ANSWER), "word-counts")
 
 
@@ -370,35 +367,37 @@ def brief_shuffles(spark: SparkSession):
         spark.conf.set(key, old) if old is not None else spark.conf.unset(key)
 
 
-def score_texts(df: DataFrame, train: Column, text: str = "text", *, divergence: float = DIVERGENCE, reach: int = REACH, hot: int = HOT) -> DataFrame:
+def score_texts(df: DataFrame, train: Column, text: str = "text", *, divergence: float = DIVERGENCE, reach: int = REACH, hot: int = HOT, keep_text: bool = True) -> DataFrame:
     """Add n_tokens, n_known, train_tokens, base_score and score to every row.
 
     train says which rows the model learns from (null: no). Tokens are the words, A-Z lower-cased, and one end; null
     texts are empty, so they have the end alone. base_score is the sum over tokens of log10((c + 0.5) / (N + 0.5 * (V +
     1))) with c, N and V counted in training tokens; score is the model's log10 probability of the tokens.
     Without training rows N and V are 0, and both scores are 0. Repeated rows are rows of their own. An empty table
-    gives no rows. Other columns stay; columns of the five names are replaced.
+    gives no rows. Other columns stay; columns of the five names are replaced. Without
+    keep_text the text column goes, and no texts are written in between.
 
     Words are told apart by 64-bit hashes, contexts by their group and 48 bits, the words after one context by 40 bits.
     """
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     own = [c for c in df.columns if c.lower() not in new]
+    kept = [c for c in own if keep_text or c != text]
     rows = df.select(*own, F.coalesce(train, F.lit(False)).alias("__train"))
-    blocks = saved(pack(rows, BLOCK), "blocks", "uncompressed")
-    schema = df.select(*own, *[F.lit(0).cast("long").alias(c) for c in new[:3]], *[F.lit(0.0).alias(c) for c in new[3:]]).schema
+    schema = df.select(*kept, *[F.lit(0).cast("long").alias(c) for c in new[:3]], *[F.lit(0.0).alias(c) for c in new[3:]]).schema
+    place = own.index(text)
     with brief_shuffles(df.sparkSession):
-        words = split_words(blocks, {"text": own.index(text), "train": len(own)})
-        return _scored(blocks, words, schema, [*own, *new], divergence, reach, hot)
+        words = split_words(rows, place, len(own), () if keep_text else (place,))
+        return _scored(words, schema, [*kept, *new], divergence, reach, hot)
 
 
-def _scored(blocks: DataFrame, words: DataFrame, schema, names: list[str], divergence: float, reach: int, hot: int) -> DataFrame:
-    n_blocks, texts = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("texts"), F.lit(0))).first()
+def _scored(words: DataFrame, schema, names: list[str], divergence: float, reach: int, hot: int) -> DataFrame:
+    n_blocks, texts = words.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.conv(F.hex("texts"), 16, 10).cast("long")), F.lit(0))).first()
     bits = max(6, (n_blocks // 2).bit_length())
     told = [count_words(words, bits)]
     groups = [numbers(x) for x in told[0].where("block_id = -1").select("n").toArrow()["n"].to_pylist()]
     kinds, seen = np.sum([np.zeros(2, np.int64), *groups], axis=0).tolist()
     model = Model(texts, seen + texts, kinds + (texts > 0), divergence, max(hot, (seen + texts) // HOT_SHARE))
-    context, spread = blocks.sparkSession.sparkContext, []
+    context, spread = words.sparkSession.sparkContext, []
 
     def walk(row: dict) -> Walk:
         """A block's walk down all levels that have answers."""
@@ -415,7 +414,7 @@ def _scored(blocks: DataFrame, words: DataFrame, schema, names: list[str], diver
         for t in told[1:]:
             every = every.unionByName(t)
         every = every.where("block_id >= 0").groupBy("block_id").agg(F.collect_list(F.struct("level", "bucket", "spare", "kinds", "n")).alias("answers"))
-        return words.drop("texts").join(every, "block_id", "left")
+        return words.select("block_id", *WORDS).join(every, "block_id", "left")
 
     for level in range(1, reach + 1):
         asking, parts = gathered(), ROUNDS[min(level, len(ROUNDS)) - 1]
@@ -447,4 +446,4 @@ def _scored(blocks: DataFrame, words: DataFrame, schema, names: list[str], diver
                 added = [n, known, np.full(len(n), model.tokens), base, scores]
                 yield pa.RecordBatch.from_arrays([*load(payload.as_buffer()).columns[:-1], *map(pa.array, added)], names)
 
-    return blocks.join(results, "block_id").select("payload", *RESULTS).mapInArrow(append, schema)
+    return words.select("block_id", "payload").join(results, "block_id").select("payload", *RESULTS).mapInArrow(append, schema)

@@ -155,7 +155,7 @@ FROM docs JOIN lowest USING (r) LEFT JOIN sizes USING (r)
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce(remainder(5) == 1, F.lit(False)).alias("held_out"), "text")
-    return lm.score_texts(docs, ~F.col("held_out")).drop("text")
+    return lm.score_texts(docs, ~F.col("held_out"), keep_text=False)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

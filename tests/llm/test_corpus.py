@@ -212,6 +212,10 @@ def test_running_sums_over_ranges(spark):
         assert r["at"] == r.k + 1 and r.before_v == sum(v for k, v in values if k < r.k)
 
 
+def key_counts(rows):
+    return Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in rows)
+
+
 def test_base_scores_and_counts(spark, docs):
     rows = corpus()
     train = [r for r in rows if r[0] is not None and r[0] % 2 == 0]
@@ -229,6 +233,8 @@ def test_base_scores_and_counts(spark, docs):
         assert g[:3] == w[:3] and g[3] == pytest.approx(w[3], abs=1e-6)
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
     assert len({(r.text, round(r.score, 9)) for r in got}) == len({r.text for r in got})
+    slim = lm.score_texts(docs, F.col("doc_id") % 2 == 0, keep_text=False)
+    assert "text" not in slim.columns and key_counts(slim.collect()) == key_counts(got)
     untrained = lm.score_texts(docs, F.lit(False)).collect()
     assert {(r.train_tokens, r.base_score, r.n_known) for r in untrained} == {(0, 0.0, 0)}
     assert lm.score_texts(docs.limit(0), F.lit(True)).count() == 0

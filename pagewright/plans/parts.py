@@ -151,3 +151,23 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = layout.tokens(spark, sf_dir).groupBy("doc_id", "page_number").agg(F.array_join(F.transform(words, lambda t: t["word"]), " ").alias("text"), F.count(F.lit(1)).alias("n"))
     texts = F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda t: t["text"])
     return pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("words"), F.sha2(F.array_join(texts, "\n\n"), 256).alias("digest"))
+
+
+@query("""
+r AS (SELECT l_orderkey AS doc_id, 'kind_' || l_returnflag AS reason, min(l_linenumber) AS place FROM lineitem GROUP BY ALL)
+SELECT doc_id, count(*) AS n, string_agg(reason, ',' ORDER BY place, reason) AS reasons FROM r GROUP BY doc_id""")
+def ordered_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reasons of a document, each once, in the order in which they first occur."""
+    rows = layout.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", F.concat(F.lit("kind_"), "l_returnflag").alias("reason"))
+    found = compare.ordered_reasons(rows, ["doc_id"], "l_linenumber", "reason")
+    return found.select("doc_id", F.size("reasons").cast("long").alias("n"), F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("""
+r AS (SELECT DISTINCT l_orderkey AS doc_id, sha256('{"mode":' || (l_linenumber % 3) || ',"kind":"' || l_returnflag || '"}') AS digest FROM lineitem)
+SELECT doc_id, count(*) AS n, count(*) > 1 AS mixed, string_agg(digest, ',' ORDER BY digest) AS digests FROM r GROUP BY doc_id""")
+def parameter_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With which parameters a document's runs were made, as digests, and whether these differ."""
+    runs = layout.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber").cast("int") % 3).alias("mode"), F.col("l_returnflag").alias("kind"))
+    found = compare.parameter_digests(runs, ["doc_id"], ["mode", "kind"])
+    return found.select("doc_id", F.size("digests").cast("long").alias("n"), (F.size("digests") > 1).alias("mixed"), F.array_join("digests", ",").alias("digests"))

@@ -108,7 +108,8 @@ def mix(
     ``row`` is the whole input row as a struct, so no column can clash.
 
     Windows hold a range of sources, the draws of one source (at most 4 * ``blocks``), the bins of a node, or the
-    documents of one block, 1/``blocks`` of a source.
+    documents of a source's one cut block, 1/``blocks`` of it. Other rows meet their block's draws in a join, which
+    Spark broadcasts only while the table of blocks is small.
     """
     size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.md5(F.col(text)), F.lit(""))))
@@ -128,20 +129,22 @@ def mix(
         F.when(whole > 0, want % whole).otherwise(0).alias("rest"),
     )
     so_far = F.coalesce(F.sum("block_size").over(Window.partitionBy("source_key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    drawn = by_block.join(plan, "source_key").select("source_key", "block", "source_size", "target", "times", F.greatest(F.lit(0), F.col("rest") - so_far).alias("rest"))
-    drawn = saved(drawn, "mix-drawn")
+    drawn = by_block.join(plan, "source_key").select("source_key", "block", "block_size", "source_size", "target", "times", F.greatest(F.lit(0), F.col("rest") - so_far).alias("rest"))
+    drawn = saved(drawn.withColumn("cut", (F.col("rest") > 0) & (F.col("rest") < F.col("block_size"))).drop("block_size"), "mix-drawn")
     count = F.col("times") + (F.col("rest") > 0).cast("int")
     draws = drawn.select("source_key", "block", F.explode(F.when(count > 0, F.sequence(F.lit(1), count))).alias("draw"))
     dealt = (
         deal(draws, levels, seed).groupBy("source_key", "block")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("draw", "shard"))), lambda x: x["shard"].cast("string")).alias("dealt"))
     )
-    told = drawn.join(dealt, ["source_key", "block"], "left")
-    earlier = Window.partitionBy("source_key", "block").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.coalesce(F.col("earlier"), F.lit(0))))
+    told = saved(drawn.join(dealt, ["source_key", "block"], "left"), "mix-told")
+    # Only rows of a source's cut block are put in order; the others need no more than what is told of their block.
+    whole_blocks = slim.join(told.where("NOT cut"), ["source_key", "block"]).withColumn("part", F.when(F.col("rest") > 0, F.col("size")).otherwise(0))
+    earlier = F.sum("size").over(Window.partitionBy("source_key", "block").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1))
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.coalesce(earlier, F.lit(0))))
+    cut_blocks = slim.join(told.where("cut"), ["source_key", "block"]).withColumn("part", part)
     return (
-        slim.withColumn("earlier", F.sum("size").over(earlier)).join(told, ["source_key", "block"])
-        .withColumn("part", part)
+        whole_blocks.unionByName(cut_blocks)
         .select(
             "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times") + F.col("part")).alias("taken"),
             F.when(F.col("size") > 0, F.array_join(F.slice(F.coalesce("dealt", F.array().cast("array<string>")), F.lit(1), F.col("times") + (F.col("part") > 0).cast("int")), ",")).otherwise("").alias("shards"),

@@ -90,8 +90,8 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 def best_place(words: list[int], template: list[int], threshold: float) -> tuple[int, int, int] | None:
     """(matches, first word, last word) of the window that covers the template best, if it covers enough.
 
-    Windows are twice as long as the template and overlap by half, so a copy lies whole in one of them. A window is
-    aligned only if the words it shares with the template could cover enough.
+    Windows are twice as long as the template and overlap by half, so a copy of up to the template's length lies whole
+    in one of them; one with inserted words may be cut by both and lose some of its matches. A window is aligned only if the words it shares with the template could cover enough.
     """
     need, size, wanted = threshold * len(template), len(template), Counter(template)
     best = None
@@ -110,8 +110,9 @@ def scan_licenses(df: DataFrame, text: str = "text", out: str = "found", *, temp
 
     Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. The best template has the highest
     coverage, then the most matched words, then the name that sorts first. Texts that no template covers by
-    ``threshold``, empty and null texts give null. Repeated rows are judged alike; other columns stay. A text is
-    aligned with a template only if the words that both have could reach the threshold, which loses nothing.
+    ``threshold``, empty and null texts give null. Repeated rows are judged alike, and no rows give none. A column
+    already called ``out`` is replaced; others stay. A text is aligned with a template only if the words that both have
+    could reach the threshold, which loses nothing.
     """
 
     def tokens(value: str) -> np.ndarray:

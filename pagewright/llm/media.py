@@ -151,7 +151,10 @@ def payload_image(text: bytes) -> bytes:
 
 
 def text_images(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
-    """Add a binary column with each whole text as an image; null is the empty text (one row of zeros)."""
+    """Add a binary column with each whole text as an image; null is the empty text (one row of zeros).
+
+    A column already called ``media`` is replaced; others stay. Equal texts give equal images, no rows give none.
+    """
 
     def draw(column: pa.Array) -> pa.Array:
         return pa.array([payload_image((x.as_py() or "").encode()) for x in column], pa.binary())
@@ -166,7 +169,8 @@ def media_features(df: DataFrame, media: str = "media", out: str = "features") -
     """Decode each image and add a struct: digests of its samples and of its stored form, hash and NPY tile.
 
     A null image gives a null struct; bytes that are no readable image give a struct with null fields but
-    media_bytes and media_sha256. Equal images give equal structs, whatever the row's other columns.
+    media_bytes and media_sha256. Equal images give equal structs, whatever the row's other columns. A
+    column already called ``out`` is replaced; others stay. No rows give none.
     """
     fields = [f.split() for f in FEATURES.split(", ")]
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}

@@ -95,8 +95,8 @@ def count_tokens(df: DataFrame, text: str = "text", *, tokenizer: str, remember:
     """Add n_bytes (UTF-8) and n_tokens for the byte-level BPE file at ``tokenizer``.
 
     Null counts as the empty text: 0 bytes, 0 tokens. A special string of the file counts as one token wherever it
-    stands. Nothing is truncated. Repeated rows count alike. Other columns stay, so ``df`` must not have columns
-    called n_bytes or n_tokens. A task forgets the counts of pieces whenever it has ``remember`` of them, which
+    stands. Nothing is truncated. Repeated rows count alike, and no rows give none. Columns already called n_bytes
+    or n_tokens are replaced; others stay. A task forgets the counts of pieces whenever it has ``remember`` of them, which
     bounds its memory and leaves results as they are. The merge table is sent to the executors; its size is that of
     the tokenizer file.
     """

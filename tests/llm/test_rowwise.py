@@ -133,3 +133,22 @@ def test_url_rules(spark):
     assert got == {i: brute(u) for i, u in enumerate(URLS * 2)}
     assert urls.filter_urls(pages, urls.rule_table(spark).where("false")).where("verdict = 'allow'").count() == len(URLS) * 2
     assert urls.filter_urls(pages.limit(0), urls.rule_table(spark)).count() == 0
+
+
+OPERATORS = {
+    "media": lambda df: media.media_features(media.text_images(df)),
+    "found": licenses.scan_licenses,
+    "n_tokens": lambda df: tokens.count_tokens(df, tokenizer=queries.tokenizer_path()),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_tables_repeated_rows_and_clashing_names(spark, name):
+    notice = min(licenses.TEMPLATES.values(), key=len)
+    texts = [notice, notice, None, None, "", f"a {notice} b"]
+    plain = OPERATORS[name](frame(spark, texts)).collect()
+    assert plain[0][name] == plain[1][name] and plain[2][name] == plain[3][name]
+    clashing = frame(spark, texts).withColumnRenamed("lang", name)
+    rows = OPERATORS[name](clashing)
+    assert rows.columns.count(name) == 1 and [r[name] for r in rows.collect()] == [r[name] for r in plain]
+    assert OPERATORS[name](frame(spark, [])).count() == 0

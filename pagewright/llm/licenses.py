@@ -91,7 +91,8 @@ def best_place(words: list[int], template: list[int], threshold: float) -> tuple
     """(matches, first word, last word) of the window that covers the template best, if it covers enough.
 
     Windows are twice as long as the template and overlap by half, so a copy of up to the template's length lies whole
-    in one of them; one with inserted words may be cut by both and lose some of its matches. A window is aligned only if the words it shares with the template could cover enough.
+    in one of them; one with inserted words may be cut by both and lose some of its matches. A window is aligned
+    only if the words it shares with the template could cover enough.
     """
     need, size, wanted = threshold * len(template), len(template), Counter(template)
     best = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import decontam, langid, licenses, lm, media, mixing, neardup, substrings, tokens, urls
+from pagewright.llm import decontam, langid, licenses, lm, media, mixing, neardup, substrings, tokens, urls, whiten
 from pagewright.llm.blocks import read
 
 
@@ -164,5 +164,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_license_scans, op3_url_filters, op4_language_id, op5_benchmark_decontamination, op6_source_mixing, op7_substring_dedup, op8_minhash_near_dedup, op9_lm_scoring, op10_token_counts)}
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whiten.whiten(vectors).drop("embedding")
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_license_scans, op3_url_filters, op4_language_id, op5_benchmark_decontamination, op6_source_mixing, op7_substring_dedup, op8_minhash_near_dedup, op9_lm_scoring, op10_token_counts, op13_embedding_whitening)}
 SQL = {"op3_url_filters": OP3_SQL, "op6_source_mixing": _op6_sql(), "op7_substring_dedup": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import decontam, langid, licenses, lm, media, mixing, neardup, substrings, tokens, urls, whiten
+from pagewright.llm import decontam, langid, licenses, lm, media, mixing, neardup, substrings, tokens, toxicity, urls, whiten
 from pagewright.llm.blocks import read
 
 
@@ -164,10 +164,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(remainder(3) == 1, F.lit(False))
+    docs = read(spark, sf_dir, "documents").select("doc_id", held.alias("held_out"), "text")
+    labels = read(spark, sf_dir, "labels").where(~held).select("doc_id", "toxic")
+    return toxicity.detect(docs, labels).select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return whiten.whiten(vectors).drop("embedding")
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_license_scans, op3_url_filters, op4_language_id, op5_benchmark_decontamination, op6_source_mixing, op7_substring_dedup, op8_minhash_near_dedup, op9_lm_scoring, op10_token_counts, op13_embedding_whitening)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_license_scans, op3_url_filters, op4_language_id, op5_benchmark_decontamination, op6_source_mixing, op7_substring_dedup, op8_minhash_near_dedup, op9_lm_scoring, op10_token_counts, op12_toxicity, op13_embedding_whitening)}
 SQL = {"op3_url_filters": OP3_SQL, "op6_source_mixing": _op6_sql(), "op7_substring_dedup": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL}

@@ -25,8 +25,8 @@ WINDOW, STEP = 5, 2
 LEAST_TEXTS, LEAST_SHARE, FREQUENT = 3, 0.002, 0.5
 LEAST_GRAMS = 100
 TOP, SPACING = 8, 40
-SAMPLE = 2000
-LONGEST = 32 << 10
+SAMPLE = 1500
+LONGEST = 16 << 10
 PIECE = 1 << 19  # bytes of text scored at once
 PIECE_WORDS = 40_000  # of a longer text, a multiple of STEP
 _FACTOR = np.uint32(0x01000193)
@@ -92,9 +92,12 @@ def rated(b: Bags, scores: np.ndarray, bias: float, step: int) -> tuple[np.ndarr
     """All windows with their log odds, by text and from the most toxic one on: text, log odds, first word, word after the last."""
     first, last, text = windows(b, step)
     total = np.zeros(len(b.grams) + 1)
-    np.cumsum(scores[b.grams].sum(axis=1), out=total[1:])
-    held = np.zeros(len(b.grams) + 1, np.int64)
-    np.cumsum((b.grams < BUCKETS).sum(axis=1), out=held[1:])
+    held = np.zeros(len(b.grams) + 1, np.int32)
+    for j in range(len(GRAMS)):
+        total[1:] += scores[b.grams[:, j]]
+        held[1:] += b.grams[:, j] < BUCKETS
+    np.cumsum(total, out=total)
+    np.cumsum(held, out=held)
     a, z = b.word[first], b.word[last]
     value = bias + (total[z] - total[a]) / np.maximum(LEAST_GRAMS, held[z] - held[a])
     order = np.lexsort((first, -value, text))
@@ -111,17 +114,29 @@ def odds(b: Bags, scores: np.ndarray, bias: float) -> np.ndarray:
 
 
 def pairs(b: Bags, lo: np.ndarray, hi: np.ndarray, rare: np.ndarray, once: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of all n-grams in words lo to hi of each text, or of all different ones; not of buckets where ``rare`` is true."""
+    """(text, bucket) of all n-grams in words lo to hi of each text, or of all different ones; not of buckets where ``rare`` is true.
+
+    Made for some texts at a time, so little more is held than what is returned.
+    """
     size = b.word[hi] - b.word[lo]
-    own = np.repeat(np.arange(len(lo)), size)
-    place = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(b.word[lo], size)
-    bucket = b.grams[place].ravel().astype(np.int64)
-    own = np.repeat(own, len(GRAMS))
-    if once:
-        key = np.unique(own * (BUCKETS + 1) + bucket)
-        own, bucket = key // (BUCKETS + 1), key % (BUCKETS + 1)
-    use = ~rare[bucket]
-    return own[use], bucket[use]
+    upto = np.concatenate([[0], np.cumsum(size)])
+    owns, buckets = [np.empty(0, np.int32)], [np.empty(0, np.uint16)]
+    row = 0
+    while row < len(lo):
+        stop = max(row + 1, int(np.searchsorted(upto, upto[row] + (1 << 18), "right")) - 1)
+        part = slice(row, stop)
+        own = np.repeat(np.arange(row, stop), size[part])
+        place = np.arange(upto[row], upto[stop]) - np.repeat(upto[row:stop] - b.word[lo[part]], size[part])
+        bucket = b.grams[place].ravel().astype(np.int64)
+        own = np.repeat(own, len(GRAMS))
+        if once:
+            key = np.unique(own * (BUCKETS + 1) + bucket)
+            own, bucket = key // (BUCKETS + 1), key % (BUCKETS + 1)
+        use = ~rare[bucket]
+        owns.append(own[use].astype(np.int32))
+        buckets.append(bucket[use].astype(np.uint16))
+        row = stop
+    return np.concatenate(owns), np.concatenate(buckets)
 
 
 def descend(net: Classifier, own: np.ndarray, bucket: np.ndarray, toxic: np.ndarray, weight: np.ndarray, steps: int, shrink: float) -> Classifier:
@@ -184,7 +199,9 @@ def train(b: Bags, toxic: np.ndarray, weight: np.ndarray, *, steps: int = 60, ro
     embedding = np.where(rare[:, None], 0, rng.normal(0, 1e-3, (BUCKETS + 1, EMBEDDING)))
     net = Classifier(embedding, rng.normal(0, 1, (EMBEDDING, 2)), np.zeros(2))
     use = ~rare[bucket] & ~back[own]
-    net = descend(net, own[use], bucket[use], toxic, learn, steps, shrink)
+    own, bucket = own[use], bucket[use]
+    net = descend(net, own, bucket, toxic, learn, steps, shrink)
+    del own, bucket, use
     for _ in range(rounds):
         text, lo, hi = chosen(b, net)
         share = learn[text] / np.bincount(text, minlength=texts)[text]

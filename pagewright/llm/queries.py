@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import decontam, langid, licenses, lm, media, mixing, neardup, substrings, tokens, toxicity, urls, whiten
+from pagewright.llm import conversations, decontam, langid, licenses, lm, media, mixing, neardup, substrings, tokens, toxicity, urls, whiten
 from pagewright.llm.blocks import read
 
 
@@ -164,6 +164,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows with faults by crc32 of ``conv_id:turn`` modulo 20; nulls are one space."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(said("conv_id"), F.lit(":"), said("turn")).cast("binary")) % 20
+    text = F.when(fault == 1, "").when(fault == 2, F.regexp_replace(said("text"), "[.!?]", "")).otherwise(said("text"))
+    out = rows.select("conv_id", "turn", F.when(fault == 4, "user").otherwise(said("role")).alias("role"), text.alias("text"), fault.alias("__fault")).where("__fault != 0")
+    return out.withColumn("__copy", F.explode(F.when(F.col("__fault") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("__fault", "__copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversations.repair(damaged(rows), keep=False).drop("repaired").withColumnRenamed("conv_id", "__conv")
+    every = rows.select("conv_id").distinct()
+    joined = every.join(found, F.col("conv_id").eqNullSafe(F.col("__conv")), "left")
+    counts = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(remainder(3) == 1, F.lit(False))
     docs = read(spark, sf_dir, "documents").select("doc_id", held.alias("held_out"), "text")
@@ -176,5 +194,5 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whiten(vectors).drop("embedding")
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_license_scans, op3_url_filters, op4_language_id, op5_benchmark_decontamination, op6_source_mixing, op7_substring_dedup, op8_minhash_near_dedup, op9_lm_scoring, op10_token_counts, op12_toxicity, op13_embedding_whitening)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_license_scans, op3_url_filters, op4_language_id, op5_benchmark_decontamination, op6_source_mixing, op7_substring_dedup, op8_minhash_near_dedup, op9_lm_scoring, op10_token_counts, op11_conversation_repair, op12_toxicity, op13_embedding_whitening)}
 SQL = {"op3_url_filters": OP3_SQL, "op6_source_mixing": _op6_sql(), "op7_substring_dedup": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL}

@@ -54,6 +54,42 @@ def accuracy(expected: Column, observed: Column) -> Column:
     return F.when(longer == 0, 100.0).otherwise(F.round(F.greatest(F.lit(0.0), 100 * (1 - distance / longer)), 6))
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance; a row of the cost table is two whole numbers of a bit for each character."""
+    start = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    a, b = a[start:], b[start:]
+    end = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), min(len(a), len(b)))
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    if not a or not b:
+        return len(a) + len(b)
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    up, down, distance = full, 0, len(a)
+    for c in b:
+        same = where.get(c, 0)
+        level = (((same & up) + up) ^ up) | same | down
+        above, below = (down | ~(level | up)) & full, level & up
+        distance += (above & top > 0) - (below & top > 0)
+        above, below = above << 1 | 1, below << 1
+        up, down = (below | ~(level | above)) & full, above & level & full
+    return distance
+
+
+@F.arrow_udf(T.LongType())
+def long_distance(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int64())
+
+
+def whole_accuracy(expected: Column, observed: Column, long: int = 2000) -> Column:
+    """accuracy() of whole documents: texts of over ``long`` characters are compared by edit_distance(), whose work grows with a 64th."""
+    size = F.greatest(F.length(expected), F.length(observed))
+    wide = size > long
+    distance = F.when(wide, long_distance(F.when(wide, expected), F.when(wide, observed))).otherwise(F.levenshtein(F.when(~wide, expected), F.when(~wide, observed)))
+    return F.when(size == 0, 100.0).otherwise(F.round(F.greatest(F.lit(0.0), 100 * (1 - distance / size)), 6))
+
+
 @F.arrow_udf(T.DoubleType())
 def ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     """Twice the matched characters over all, matching longest blocks first; 1 if both are empty, null for null."""

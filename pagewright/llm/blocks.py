@@ -8,10 +8,12 @@ an equi-join on its number.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +68,27 @@ def discard(spark: SparkSession, tables: list[str]) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers are kept for later tasks and stages, and would hold it meanwhile."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def thrifty(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that gives memory back after each of its results."""
+
+    @wraps(work)
+    def run(rows: Iterator) -> Iterator:
+        for out in work(rows):
+            yield out
+            give_back()
+        give_back()
+
+    return run
+
+
 def dump(batches: list[pa.RecordBatch]) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:

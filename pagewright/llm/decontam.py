@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.blocks import load, loosened, pack, saved, squeezed
+from pagewright.llm.blocks import load, loosened, pack, saved, squeezed, thrifty
 from pagewright.llm.words import MARKS, texts_words
 
 SEGMENT = 12  # words; a passage is two segments
@@ -202,6 +202,7 @@ def slices(matrix: np.ndarray, n: int = 32) -> pa.RecordBatch:
 def inverse_frequencies(blocks: DataFrame) -> np.ndarray:
     """idf of each word bucket, from the number of documents that have it."""
 
+    @thrifty
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(BUCKETS + 1, np.int64)
         for batch in batches:
@@ -278,6 +279,7 @@ def latent_space(blocks: DataFrame, passages: list[Passage], idf: np.ndarray, ra
         """A'(A basis), or with inner (A basis)'(A basis), over all documents; a first row has the number of passages."""
         held = blocks.sparkSession.sparkContext.broadcast((np.vstack([basis, np.zeros((1, rank), np.float32)]), idf))
 
+        @thrifty
         def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             basis, idf = held.value
             total = np.zeros((1 + (rank if inner else COLUMNS), rank), np.float32)
@@ -384,6 +386,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", out: str =
                             found[row + own][passage.item_id] = entry
         return pa.array([[dict(zip(names, (i, e[2], e[0], e[1], -e[3], e[4]))) for i, e in sorted(f.items())] for f in found], shape)
 
+    @thrifty
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for payload, words, first in zip(batch["payload"], batch["words"].to_pylist(), batch["first"].to_pylist()):

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.llm.blocks import thrifty
 from pagewright.llm.words import chunks, flat
 
 WINDOW = 192
@@ -171,6 +172,7 @@ def identify(
     held = df.sparkSession.sparkContext.broadcast(net)
     shape = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
+    @thrifty
     def predict(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         net = held.value
         tables = net.tables()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.blocks import saved
+from pagewright.llm.blocks import saved, thrifty
 from pagewright.llm.words import chunks, flat, mix, row_ends, run_hashes, spans, word_hashes
 
 SHINGLE = 5
@@ -82,6 +82,7 @@ def signatures(df: DataFrame, doc_id: str, text: str, shingle: int, halves: int,
     """(doc_id, text_key, n_shingles, node, halves): node is the set's fingerprint, null without shingles."""
     rows = df.select(F.col(doc_id).alias("doc_id"), F.unhex(F.md5(text)).alias("text_key"), F.col(text).alias("text"))
 
+    @thrifty
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, piece in chunks(batch["text"]):
@@ -151,6 +152,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
         .select("node", "rep", "text", "rep_text")
     )
 
+    @thrifty
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rep_set = None, None
         for batch in batches:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.blocks import load, pack, saved
+from pagewright.llm.blocks import load, pack, saved, thrifty
 from pagewright.llm.words import chunks, flat, mix, row_ends, run_hashes, sliding, spans, texts_words
 
 WINDOW = 35
@@ -186,12 +186,14 @@ def remove_repeats(df: DataFrame, text: str = "text", *, window: int = WINDOW, p
         rows = list(groups(keys, again, bits))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], schema=SENT)
 
+    @thrifty
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch["block_id"].to_pylist(), batch["payload"]):
                 s = BlockSuffixes(load(payload.as_buffer()).column(place), window, prefix)
                 yield send(block, s.prefixes, s.again)
 
+    @thrifty
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload, found in zip(batch["block_id"].to_pylist(), batch["payload"], batch["prefixes"].to_pylist()):
@@ -205,6 +207,7 @@ def remove_repeats(df: DataFrame, text: str = "text", *, window: int = WINDOW, p
     deep = branching(visit.mapInArrow(nodes, ddl), "nodes", 2)
     schema = df.select(*own, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text")).schema
 
+    @thrifty
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for payload, found, repeats in zip(batch["payload"], batch["prefixes"].to_pylist(), batch["nodes"].to_pylist()):

@@ -7,7 +7,15 @@ import __spark_entry__ as driver
 from tests.conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["recognition_quality", "source_baselines", "element_matches", "snapshot_regions", "restoration_scores", "ocr_quality", "reading_order", "token_regions", "grouped_regions", "line_texts", "experiment_decisions", "primitive_roles", "suppressed_boxes", "document_issues", "stage_gate", "parsed_elements", "changed_fields", "selections", "layer_states", "covered_edges", "slot_segments", "contract_gates", "padding_decisions", "text_assignments", "truth_issues", "provenance_issues", "run_field_issues", "score_issues", "crop_issues", "resize_issues", "option_issues", "line_rectangles", "anchor_recall", "unit_boxes", "box_neighbours", "page_images", "element_counts", "same_outcomes", "mapped_edges", "weighted_totals", "page_texts", "ordered_reasons", "parameter_digests"]
+CHECKED = [
+    "target_recovery", "singleton_rows", "inferred_topologies", "topology_differences", "record_issues", "record_references", "recognition_quality",
+    "source_baselines", "element_matches", "snapshot_regions", "restoration_scores", "ocr_quality", "reading_order", "token_regions",
+    "grouped_regions", "line_texts", "experiment_decisions", "primitive_roles", "suppressed_boxes", "document_issues", "stage_gate",
+    "parsed_elements", "changed_fields", "selections", "layer_states", "covered_edges", "slot_segments", "contract_gates", "padding_decisions",
+    "text_assignments", "truth_issues", "provenance_issues", "run_field_issues", "score_issues", "crop_issues", "resize_issues", "option_issues",
+    "line_rectangles", "anchor_recall", "unit_boxes", "box_neighbours", "page_images", "element_counts", "same_outcomes", "mapped_edges",
+    "weighted_totals", "page_texts", "ordered_reasons", "parameter_digests",
+]
 
 
 @pytest.fixture(scope="module")

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.geometry import GRID_TOLERANCE, Box, Line, has_center, has_pixel_center, shared_fraction, strictly_has, supports_edge
 
+#: Height of a band in which tokens meet regions, in pixels: about two lines.
+REGION_BAND = 32.0
+
 
 def prefixed(df: DataFrame, prefix: str, keys: Sequence[str] = ()) -> DataFrame:
     return df.select(*[F.col(c).alias(c if c in keys else prefix + c) for c in df.columns])
@@ -23,25 +26,29 @@ def banded(df: DataFrame, height: float, y: Column, bottom: Column) -> DataFrame
     return df.withColumn("band", F.explode(F.sequence(F.floor(y / height), F.floor(bottom / height))))
 
 
-def tokens_to_regions(tokens: DataFrame, regions: DataFrame, page: Sequence[str]) -> DataFrame:
+def tokens_to_regions(tokens: DataFrame, regions: DataFrame, page: Sequence[str], band: float = REGION_BAND) -> DataFrame:
     """The region of each token, in three tiers: by the region it names; by its pixel centre, the smallest region; by
     half of its area or more, the largest share. Ties: y, x, then ref, which is the least in tier 2 and the greatest in
-    tier 3. Adds region_ref (null: none) and inferred (tiers 2 and 3)."""
+    tier 3. Adds region_ref (null: none) and inferred (tiers 2 and 3). ref is unique in a page, for tokens and for regions.
+
+    Named regions are met by an equi-join. For the rest, a region that has half of a token also has the middle of its
+    height, so a token is in one band and only regions are repeated, once a band that they touch.
+    """
     r = prefixed(regions.select(*page, "ref", "x", "y", "w", "h"), "r_", page)
     token, region = Box.of(), Box.of("r_")
+    named = r.select(*page, F.col("r_ref").alias("parent_ref"), F.lit(True).alias("_named"))
+    told = tokens.join(named, [*page, "parent_ref"], "left").withColumn("_at", F.when(F.col("_named").isNull(), F.floor(token.center[1] / band)))
+    spread = banded(r, band, region.y - 1, region.bottom + 1)  # a pixel centre lies half a pixel before the middle
     share = shared_fraction(token, region)
-    tier = F.when(F.col("parent_ref") == F.col("r_ref"), 1).when(has_pixel_center(region, token), 2).when(share >= 0.5, 3)
-    pairs = tokens.join(r, list(page)).withColumns({"_tier": tier, "_share": share}).where("_tier is not null")
-    # One rank for all tiers: smaller is better. The greatest ref of tier 3 is taken among equals afterwards.
-    rank = F.struct(
-        F.col("_tier").alias("t"), F.when(F.col("_tier") == 2, region.area.cast("double")).when(F.col("_tier") == 3, -F.col("_share")).otherwise(0.0).alias("a"), region.y.alias("y"), region.x.alias("x"),
-    )
-    best = (
-        pairs.groupBy(*page, "ref", rank.alias("rank")).agg(F.min("r_ref").alias("lo"), F.max("r_ref").alias("hi"))
-        .groupBy(*page, "ref").agg(F.min(F.struct("rank", "lo", "hi")).alias("b"))
-        .select(*page, "ref", F.when(F.col("b.rank.t") == 3, F.col("b.hi")).otherwise(F.col("b.lo")).alias("region_ref"), (F.col("b.rank.t") > 1).alias("inferred"))
+    tier = F.when(has_pixel_center(region, token), 2).when(share >= 0.5, 3)
+    pairs = told.join(spread.withColumnsRenamed({c: f"_p_{c}" for c in page} | {"band": "_band"}), [*[F.col(c) == F.col(f"_p_{c}") for c in page], F.col("_at") == F.col("_band"), tier.isNotNull()], "left")
+    pairs = pairs.withColumns({"_tier": F.when(F.col("_named"), 1).when(F.col("r_ref").isNotNull(), tier), "_share": share})
+    best = Window.partitionBy(*page, "ref").orderBy(
+        "_tier", F.when(F.col("_tier") == 2, region.area.cast("double")).otherwise(-F.col("_share")), region.y, region.x,
+        F.when(F.col("_tier") == 2, F.col("r_ref")), F.when(F.col("_tier") == 3, F.col("r_ref")).desc(),
     )
-    return tokens.join(best, [*page, "ref"], "left")
+    one = pairs.withColumn("_n", F.row_number().over(best)).where("_n = 1")
+    return one.select(*[F.col(c) for c in tokens.columns], F.when(F.col("_named"), F.col("parent_ref")).otherwise(F.col("r_ref")).alias("region_ref"), (F.col("_tier") > 1).alias("inferred"))
 
 
 def exclusive(tokens: DataFrame, regions: DataFrame, page: Sequence[str], token: Box, region: Box, order: Sequence[Column | str], own: Sequence[str]) -> DataFrame:

@@ -7,11 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.operators.reference import percentage
+
 THRESHOLD = 70.0
 
 
 def fixture_decisions(measured: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Adds passed and reasons to (stage_id, fixture_id, score, integrity)."""
+    threshold = percentage(threshold, "threshold")
     low, broken = F.col("score") < threshold, ~F.coalesce("integrity", F.lit(False))
     below = F.concat(F.lit("overall_below_threshold:"), F.col("score").cast("string"), F.lit(f"<{threshold:g}"))
     reasons = F.array_compact(F.array(F.when(low, below), F.when(broken, F.lit("integrity_failed")), F.when(~low & ~broken, F.lit("individual_overall_and_integrity_passed"))))

@@ -9,6 +9,7 @@ from tests.conftest import SF
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 CHECKED = [
     "extracted_elements", "extraction_rejects", "extracted_assets", "region_candidates", "enriched_selection",
+    "language_decisions", "relabelled_decisions", "built_references", "unknown_essentials", "package_states",
     "references_read_back", "reference_record_issues", "reports_read_back",
     "target_recovery", "singleton_rows", "inferred_topologies", "topology_differences", "record_issues", "record_references", "recognition_quality",
     "source_baselines", "element_matches", "snapshot_regions", "restoration_scores", "ocr_quality", "reading_order", "token_regions",

@@ -26,29 +26,33 @@ def banded(df: DataFrame, height: float, y: Column, bottom: Column) -> DataFrame
     return df.withColumn("band", F.explode(F.sequence(F.floor(y / height), F.floor(bottom / height))))
 
 
-def tokens_to_regions(tokens: DataFrame, regions: DataFrame, page: Sequence[str], band: float = REGION_BAND) -> DataFrame:
+def tokens_to_regions(tokens: DataFrame, regions: DataFrame, page: Sequence[str], band: float = REGION_BAND, carry: Sequence[str] = ()) -> DataFrame:
     """The region of each token, in three tiers: by the region it names; by its pixel centre, the smallest region; by
     half of its area or more, the largest share. Ties: y, x, then ref, which is the least in tier 2 and the greatest in
-    tier 3. Adds region_ref (null: none) and inferred (tiers 2 and 3). ref is unique in a page, for tokens and for regions.
+    tier 3. Adds region_ref (null: none), inferred (tiers 2 and 3) and, with region_ before, the columns to carry.
 
-    Named regions are met by an equi-join. For the rest, a region that has half of a token also has the middle of its
-    height, so a token is in one band and only regions are repeated, once a band that they touch.
+    A page's regions are one row: a map by ref, which is unique in a page, and one by band of height. A region that has half
+    of a token also has the middle of its height, so a token looks at one band. Tokens are joined by page alone: no
+    pairs are made, and tokens that lie by page already aren't moved.
     """
-    r = prefixed(regions.select(*page, "ref", "x", "y", "w", "h"), "r_", page)
-    token, region = Box.of(), Box.of("r_")
-    named = r.select(*page, F.col("r_ref").alias("parent_ref"), F.lit(True).alias("_named"))
-    told = tokens.join(named, [*page, "parent_ref"], "left").withColumn("_at", F.when(F.col("_named").isNull(), F.floor(token.center[1] / band)))
-    spread = banded(r, band, region.y - 1, region.bottom + 1)  # a pixel centre lies half a pixel before the middle
-    share = shared_fraction(token, region)
-    tier = F.when(has_pixel_center(region, token), 2).when(share >= 0.5, 3)
-    pairs = told.join(spread.withColumnsRenamed({c: f"_p_{c}" for c in page} | {"band": "_band"}), [*[F.col(c) == F.col(f"_p_{c}") for c in page], F.col("_at") == F.col("_band"), tier.isNotNull()], "left")
-    pairs = pairs.withColumns({"_tier": F.when(F.col("_named"), 1).when(F.col("r_ref").isNotNull(), tier), "_share": share})
-    best = Window.partitionBy(*page, "ref").orderBy(
-        "_tier", F.when(F.col("_tier") == 2, region.area.cast("double")).otherwise(-F.col("_share")), region.y, region.x,
-        F.when(F.col("_tier") == 2, F.col("r_ref")), F.when(F.col("_tier") == 3, F.col("r_ref")).desc(),
-    )
-    one = pairs.withColumn("_n", F.row_number().over(best)).where("_n = 1")
-    return one.select(*[F.col(c) for c in tokens.columns], F.when(F.col("_named"), F.col("parent_ref")).otherwise(F.col("r_ref")).alias("region_ref"), (F.col("_tier") > 1).alias("inferred"))
+    area = Box.of().area
+    item = F.struct(area.alias("area"), F.col("y"), F.col("x"), F.col("ref"), F.col("w"), F.col("h"), *[F.col(c) for c in carry])
+    own = regions.select(*page, "ref", "y", "h", item.alias("item"))
+    spread = banded(own, band, F.col("y") - 1, F.col("y") + F.col("h") + 1)  # a pixel centre lies half a pixel before the middle
+    bands = spread.groupBy(*page, "band").agg(F.collect_list("item").alias("items")).groupBy(*page).agg(F.map_from_entries(F.collect_list(F.struct("band", "items"))).alias("_bands"))
+    names = own.groupBy(*page).agg(F.map_from_entries(F.collect_list(F.struct("ref", "item"))).alias("_names"))
+    token = Box.of()
+    box = lambda r: Box(*(r[c] for c in "xywh"))
+    told = tokens.join(bands.join(names, list(page)), list(page), "left").withColumns({
+        "_named": F.when(F.col("parent_ref").isNotNull(), F.try_element_at("_names", F.col("parent_ref"))), "_near": F.try_element_at("_bands", F.floor(token.center[1] / band)),
+    })
+    held = F.array_min(F.filter("_near", lambda r: has_pixel_center(box(r), token)))
+    shares = F.transform("_near", lambda r: F.struct(shared_fraction(token, box(r)).alias("share"), (-r["y"]).alias("y"), (-r["x"]).alias("x"), r["ref"].alias("ref"), r.alias("item")))
+    most = F.array_max(F.filter(shares, lambda r: r["share"] >= 0.5))["item"]
+    found = told.withColumn("_found", F.when(F.col("_named").isNull(), F.coalesce(held, most)))
+    best = F.coalesce("_named", "_found")
+    inferred = F.when(best.isNotNull(), F.col("_named").isNull())
+    return found.select(*[F.col(c) for c in tokens.columns], best["ref"].alias("region_ref"), inferred.alias("inferred"), *[best[c].alias(f"region_{c}") for c in carry])
 
 
 def exclusive(tokens: DataFrame, regions: DataFrame, page: Sequence[str], token: Box, region: Box, order: Sequence[Column | str], own: Sequence[str]) -> DataFrame:

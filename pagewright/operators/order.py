@@ -57,8 +57,9 @@ def _grow_rows(ys: pa.Array, hs: pa.Array) -> pa.Array:
 def box_rows(boxes: DataFrame, page: Sequence[str], key: Sequence[str] = TOKEN_KEY) -> DataFrame:
     """Add row_index, 0 for the first row of a page by (top, left, bottom). Needs columns x, y, w, h and those of key."""
     packed = boxes.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(key)], F.struct(*boxes.columns).alias("row")))).alias("all"))
-    rows = packed.select("all", _grow_rows(F.transform("all", lambda t: t["row"]["y"].cast("double")), F.transform("all", lambda t: t["row"]["h"].cast("double"))).alias("at"))
-    flat = rows.select(F.explode(F.arrays_zip("all", "at")).alias("z")).select("z.all.row.*", F.col("z.at").alias("_row"))
+    rows = packed.select(*page, "all", _grow_rows(F.transform("all", lambda t: t["row"]["y"].cast("double")), F.transform("all", lambda t: t["row"]["h"].cast("double"))).alias("at"))
+    flat = rows.select(*page, F.explode(F.arrays_zip("all", "at")).alias("z"))  # the page's own columns stay, so that rows aren't moved again
+    flat = flat.select(*[F.col(c) if c in page else F.col(f"z.all.row.{c}").alias(c) for c in boxes.columns], F.col("z.at").alias("_row"))
     own = Window.partitionBy(*page, "_row")
     spread = flat.withColumns({"_top": F.min("y").over(own), "_left": F.min("x").over(own), "_bottom": F.max(F.col("y") + F.col("h")).over(own)})
     return spread.withColumn("row_index", F.dense_rank().over(Window.partitionBy(*page).orderBy("_top", "_left", "_bottom", "_row")) - 1).drop("_row", "_top", "_left", "_bottom")

@@ -27,9 +27,9 @@ def repeated_fixtures(measured: DataFrame) -> DataFrame:
 
 
 def stage_decisions(decided: DataFrame) -> DataFrame:
-    """(stage_id, fixtures, minimum, average, passed) of fixture decisions; the average is a diagnostic."""
+    """(stage_id, fixtures, minimum, average, total, passed) of fixture decisions; average and total, the unrounded sum, are diagnostics."""
     return decided.groupBy("stage_id").agg(
-        F.count(F.lit(1)).alias("fixtures"), F.round(F.min("score"), 6).alias("minimum"), F.round(F.avg("score"), 6).alias("average"), F.bool_and("passed").alias("passed"),
+        F.count(F.lit(1)).alias("fixtures"), F.round(F.min("score"), 6).alias("minimum"), F.round(F.avg("score"), 6).alias("average"), F.sum("score").alias("total"), F.bool_and("passed").alias("passed"),
     )
 
 

@@ -259,3 +259,8 @@ def test_all_spoilt_lines_are_compared_in_full(spark):
             own = got[r.doc_id, r.line_no]
             missing, extra = runs_of_the_whole_table(r.text, r.observed)
             assert (own.ratio, own.missing, own.extra) == (difflib.SequenceMatcher(None, r.text, r.observed, autojunk=False).ratio(), len(missing), len(extra))
+
+
+def test_totals_of_large_stages_are_exact(spark):
+    rows = spark.range(100_000).select(F.lit("s").alias("stage_id"), F.col("id").cast("string").alias("fixture_id"), (F.col("id") % 3 + 70.0).alias("score"), F.lit(True).alias("passed"))
+    assert gate.stage_decisions(rows).first().total == 7_099_999.0

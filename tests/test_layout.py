@@ -261,6 +261,24 @@ def test_all_spoilt_lines_are_compared_in_full(spark):
             assert (own.ratio, own.missing, own.extra) == (difflib.SequenceMatcher(None, r.text, r.observed, autojunk=False).ratio(), len(missing), len(extra))
 
 
+def test_grids_of_several_outers_share_a_rectangle(spark):
+    cells = [(1, f"{t}{i}", x + 50.0 * i, 0.0, 50.0, 20.0) for t, x in (("a", 0.0), ("b", 300.0)) for i in range(2)]
+    outers = [(1, "oa", 0.0, 0.0, 100.0, 20.0), (1, "ob", 300.0, 0.0, 100.0, 20.0), (2, "p", 0.0, 0.0, 60.0, 20.0), (2, "q", 20.0, 0.0, 60.0, 20.0), (2, "s", 25.0, 0.0, 10.0, 20.0), (2, "t", 40.0, 0.0, 10.0, 20.0)]
+    rows = spark.createDataFrame(random.Random(4).sample(cells + outers, 10), "page int, ref string, x double, y double, w double, h double")
+    found = topology.grids(rows, ["page"])
+    assert {(r.outer, r.table_id) for r in found.tables.collect()} == {("oa", "p001-table-0000"), ("ob", "p001-table-0001")}
+    assert {(r.ref, r.outer, r.col) for r in found.cells.collect()} == {("a0", "oa", 0), ("a1", "oa", 1), ("b0", "ob", 0), ("b1", "ob", 1)}
+    assert sorted(r.ref for r in found.ambiguous.collect()) == ["s", "t"] and sorted(r.outer for r in found.rejected.collect()) == ["p", "q"]
+
+
+@pytest.mark.parametrize("name", ["text_membership", "cell_support", "structure_matches", "edge_f1", "line_rectangles"])
+def test_tables_by_page_are_never_broadcast(spark, name):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
 def test_totals_of_large_stages_are_exact(spark):
     rows = spark.range(100_000).select(F.lit("s").alias("stage_id"), F.col("id").cast("string").alias("fixture_id"), (F.col("id") % 3 + 70.0).alias("score"), F.lit(True).alias("passed"))
     assert gate.stage_decisions(rows).first().total == 7_099_999.0

@@ -282,3 +282,34 @@ def test_tables_by_page_are_never_broadcast(spark, name):
 def test_totals_of_large_stages_are_exact(spark):
     rows = spark.range(100_000).select(F.lit("s").alias("stage_id"), F.col("id").cast("string").alias("fixture_id"), (F.col("id") % 3 + 70.0).alias("score"), F.lit(True).alias("passed"))
     assert gate.stage_decisions(rows).first().total == 7_099_999.0
+
+
+def test_words_are_placed_without_moving_rows(spark, tmp_path):
+    """Places of words and boxes of lines are worked out in their line; before, each word went through a window by line."""
+    lines = ["", " ", "a", "  two  words ", "x" * 7 + " " + " ".join("w" * (i % 5) for i in range(300)), "end "]
+    schema = "doc_id long, text string"
+    spark.createDataFrame([(1, "\n".join(lines)), (2, None), (3, "\n".join(["é b"] * 45))], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    tokens = layout.tokens(spark, str(tmp_path))
+    wanted = set()
+    for doc, text in ((1, lines), (3, ["? b"] * 45)):
+        for n, line in enumerate(text):
+            at = 0
+            for k, word in enumerate(line.split(" ")):
+                if word:
+                    wanted.add((doc, n // 40 + 1, n, k, word, 6 * at, n % 40 * 14 + k % 3, 6 * len(word), 10))
+                at += len(word) + 1
+    assert sorted(map(tuple, tokens.collect())) == sorted(wanted)
+    own = layout.regions(tokens)
+    assert sorted(map(tuple, layout.reviewed(spark, str(tmp_path)).select(own.columns).collect())) == sorted(map(tuple, own.collect()))
+    assert "Exchange" not in tokens._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exclusive_makes_no_pairs(spark):
+    """The least area, then the order; a token on an edge of two bands; regions meet tokens as one row a page."""
+    regions = spark.createDataFrame([(1, 0, 0, 100, 64, 7), (1, 0, 0, 100, 64, 3), (1, 0, 32, 50, 40, 9), (2, 0, 0, 9, 9, 1)], "page int, rx int, ry int, rw int, rh int, no int")
+    tokens = spark.createDataFrame([(1, 1, 10, 59, 4, 10), (1, 2, 90, 27, 4, 10), (1, 3, 200, 0, 4, 4), (3, 4, 0, 0, 1, 1)], "page int, k int, x int, y int, w int, h int")
+    held = assign.exclusive(tokens, regions, ["page"], Box.of(), Box("rx", "ry", "rw", "rh"), ["no"], ["k"])
+    assert sorted((r.k, r.no) for r in held.collect()) == [(1, 9), (2, 3)]
+    every = assign.in_every(tokens, regions, ["page"], Box.of(), Box("rx", "ry", "rw", "rh"))
+    assert sorted((r.k, r.no) for r in every.collect()) == [(1, 3), (1, 7), (1, 9), (2, 3), (2, 7)]
+    assert "Window" not in held._jdf.queryExecution().executedPlan().toString()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text as t
 from pagewright.operators import baseline, compare
-from pagewright.sources import topology_record
+from pagewright.sources import nested, topology_record
 from pagewright.sources.nested import Rule, canonical_digest, nodes, strict_issues
 
 RULES = [Rule("$", "object", ("a", "d"), ("c",)), Rule("$.a", "array"), Rule("$.a[]", "object", ("n",)), Rule("$.a[].n", "integer", least=2, most=9), Rule("$.d", "number", above=1), Rule("$.c", "string", allowed=("x", "y"))]
@@ -147,3 +147,14 @@ def test_short_numbers(spark):
     values = [0.0, 100.0, 68.25, 54.716981, 5.0, 33.333333, 0.5]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select(baseline.short_number(F.col("v"))).collect()
     assert [r[0] for r in rows] == [f"{v:g}" for v in values]
+
+
+def test_texts_are_read_as_variants_are(spark):
+    """The one pass over a text tells the values that the walk over variants tells, on odd texts too."""
+    texts = [
+        '{"a":[1,2.0,"x",null,true,{"b":[]}],"c":{"d":{"e":{"f":1}}}}', "null", "7", "[]", '""', "", " ", "{", "[1,]", '{"a":1,"a":2}', "NaN", "[Infinity]", "01", "-0", "9223372036854775807", "9223372036854775808",
+        "1e2", "1e400", "-1.50", '"\\u00e9 \\n"', '{"":{"é":1}}', None, "tru", '{"a" : false }', "'a'", "[1] ", '"a\nb"', "1" * 1001, '{"a":"\\ud83d\\ude00"}',
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(3)
+    told = lambda d: sorted((r.k, r.path, r.shape, r.kind, r.scalar if r.kind == "string" else None, sorted(r["keys"] or [])) for r in d.collect())
+    assert told(nested.text_nodes(rows, "k", "t", 3)) == told(nested.nodes(rows, "k", "t", 3))

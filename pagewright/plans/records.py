@@ -102,10 +102,8 @@ d AS (SELECT doc_id, word, count(*) AS n, min(line_no * 100000 + word_no) AS fir
 SELECT doc_id, count(*) AS assets, sum(n - 1)::BIGINT AS repeated, sum(first)::BIGINT AS firsts FROM d GROUP BY doc_id""")
 def content_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One registry entry for each digest in a document; the first use wins."""
-    tokens = layout.tokens(spark, sf_dir).withColumn("sha256", F.sha2("word", 256))
-    first = order.first_wins(tokens, ["doc_id", "sha256"], ["line_no", "word_no"])
-    used = tokens.groupBy("doc_id", "sha256").agg(F.count(F.lit(1)).alias("n"))
-    rows = first.join(used, ["doc_id", "sha256"])
+    words = layout.words(spark, sf_dir).withColumn("sha256", F.sha2("word", 256))
+    rows = order.first_uses(words, ["doc_id", "sha256"], "line_no", "word_no")
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("assets"), F.sum(F.col("n") - 1).alias("repeated"), F.sum(F.col("line_no").cast("long") * 100000 + F.col("word_no")).alias("firsts"))
 
 

@@ -115,6 +115,17 @@ def test_suppression_is_the_sequential_one(spark):
     assert got == {k[1] for k in kept}
 
 
+def test_words_are_moved_once_and_the_first_use_wins(spark):
+    from pagewright.operators import order
+    from pagewright.plans import audit, parts, records
+    from tests.conftest import SF
+
+    for query in (records.content_registry, audit.render_accounting, parts.page_texts):
+        assert query(spark, SF)._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1, query.__name__
+    rows = spark.createDataFrame([(1, "a", 3, 9), (1, "a", 2, 70000), (1, "a", 2, 5), (1, "b", 0, 0), (2, "a", 2147483647, 2147483647)], "doc_id int, key string, line_no int, word_no int")
+    assert {tuple(r) for r in order.first_uses(rows, ["doc_id", "key"], "line_no", "word_no").collect()} == {(1, "a", 3, 2, 5), (1, "b", 1, 0, 0), (2, "a", 1, 2147483647, 2147483647)}
+
+
 def test_tokens_go_to_regions_in_tiers(spark):
     tokens = spark.createDataFrame([(1, "a", 0, 0, 10, 10, "r2"), (1, "b", 0, 0, 10, 10, None), (1, "c", 95, 0, 30, 10, None), (1, "d", 500, 500, 5, 5, None)], "page int, ref string, x int, y int, w int, h int, parent_ref string")
     regions = spark.createDataFrame([(1, "r1", 0, 0, 100, 100), (1, "r2", 0, 0, 100, 100), (1, "r3", 90, 0, 20, 100), (1, "r4", 90, 0, 20, 100)], "page int, ref string, x int, y int, w int, h int")

@@ -42,7 +42,7 @@ HOT = 1 << 22
 HOT_SHARE = 1 << 20  # no context under this part of all training tokens is spread, so a level has at most twice as many parts
 HEAD, TAIL = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)  # stand for the start and the end of a text
 STEP = np.uint64(0x9E3779B97F4A7C15)
-ROUNDS = (2, 2, 1)  # by level, the last for all further ones: in so many parts by groups, so that less is on disk at once
+ROUNDS = (1, 2, 1)  # by level, the last for all further ones: in so many parts by groups, so that less is on disk at once
 KEY_BYTES, NEXT_BYTES = 6, 5  # that tell apart the contexts of one group, and the words after one context
 
 WORDS = ("symbols", "code", "first", "train")
@@ -155,10 +155,14 @@ class Walk:
         self.before = np.full(len(self.code), -1)  # occurrences of the context one word shorter
         self.ids, self.hashes = self.code, self.symbols  # of the sequences of ``level`` words that end at each place
 
-    def ask(self, level: int) -> Asked:
+    def ask(self, level: int, bits: int = 0, part: int = 0, parts: int = 1) -> Asked:
+        """With ``parts`` only the contexts whose group is in that part, and the hot ones, whose words go to groups of all parts."""
         total = np.zeros(len(self.n), np.int64)
         total[1:] = self.n[:-1]
         at = np.flatnonzero((total >= 2) & (self.place >= level))
+        if parts > 1:
+            mine = (self.hashes >> np.uint64(64 - bits)) % np.uint64(parts) == part
+            at = at[mine[self.ids[at - 1]] | (total[at] > self.model.hot)]
         pair, code = grouped(self.ids[at - 1] * len(self.symbols) + self.code[at])
         owner, symbol = pair // len(self.symbols), pair % len(self.symbols)
         where = np.empty(len(pair), np.int64)
@@ -192,7 +196,7 @@ class Walk:
 
     def messages(self, level: int, block: int, bits: int, part: int, parts: int) -> Iterator[pa.RecordBatch]:
         """To groups whose number modulo ``parts`` is ``part``."""
-        a = self.ask(level)
+        a = self.ask(level, bits, part, parts)
         learn = self.train[a.at]
         unit = a.unit[a.code]
         seen_twice = self.n[a.at] >= 2

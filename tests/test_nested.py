@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text as t
 from pagewright.operators import baseline, compare
+from pagewright.plans import nested as plans
 from pagewright.sources import nested, topology_record
 from pagewright.sources.nested import Rule, canonical_digest, nodes, strict_issues
 
@@ -158,3 +159,40 @@ def test_texts_are_read_as_variants_are(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(3)
     told = lambda d: sorted((r.k, r.path, r.shape, r.kind, r.scalar if r.kind == "string" else None, sorted(r["keys"] or [])) for r in d.collect())
     assert told(nested.text_nodes(rows, "k", "t", 3)) == told(nested.nodes(rows, "k", "t", 3))
+
+
+def plan_of(d):
+    return d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_digests_are_made_in_one_pass(spark):
+    """Values went through a row each, once a level; now a text is read and told in one go, and what lies deeper than the rules counts too."""
+    deep = '{"a":' * 12 + "%s" + "}" * 12
+    texts = ['{"a":1,"b":1.50}', '{"b":1.5, "a":1}', '{"a":1.0,"b":1.5}', '{"a":1,"a":1}', "{", None, "null", deep % 1, deep % 2, '{"a" : {"ids":[9]},"c":":"}', '{"c":":","a":{}}']
+    found = canonical_digest(frame(spark, *texts), "doc_id", "content", 5, ["ids"])
+    d = [r.digest for r in found.orderBy("doc_id").collect()]
+    assert d[0] == d[1] and d[3] == d[4] and d[5] == d[6] and d[9] == d[10] and len(set(d)) == 7
+    assert "Generate" not in plan_of(found) and "Aggregate" not in plan_of(found)
+
+
+def test_records_are_read_without_being_written_or_moved(spark):
+    """Texts, issues and typed rows were written out and joined; every value was a row. Each side is one pass now."""
+    typed, issues = read(spark, record(), record(x=('"index":0', '"index":-1')), record()[:-1] + ',"provider":"p"}', record().replace(",", " , ").replace(":", " :\n"), '{"a":":::"}')
+    assert [r.doc_id for r in typed.collect()] == [0, 3] and {r.doc_id for r in issues.collect()} == {1, 2, 4}
+    for d in (typed, issues):
+        assert not any(x in plan_of(d) for x in ("Join", "Exchange", "FileScan"))
+
+
+def test_records_of_orders_are_moved_once(spark):
+    from tests.conftest import SF
+
+    for name in ("record_issues", "record_references"):
+        plan = plan_of(plans.QUERIES[name](spark, SF))
+        assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert plan_of(plans.QUERIES["topology_differences"](spark, SF)).count("REPARTITION_BY_NUM") == 2
+
+
+def test_odd_patterns_and_spelt_numbers_are_judged_as_before(spark):
+    rules = [Rule("$", "object", ("a", "b")), Rule("$.a", "string", pattern=r"^\p{Lu}+$"), Rule("$.b", "integer", allowed=("1", "10")), Rule("$.c", "string", pattern="^x$")]
+    assert told(spark, {"a": "ÄB", "b": 10}, rules) == [] and told(spark, {"a": "äb", "b": 2}, rules) == [("$.a", "bad_format"), ("$.b", "not_allowed")]
+    assert told(spark, '{"a":"A","b":1,"c":"x"}', rules) == [("$.c", "unknown_field")] and told(spark, "1" * 1001, rules) == [("$", "not_json")]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import text as t
 from pagewright.operators import baseline, compare
 from pagewright.plans import nested as plans
-from pagewright.sources import nested, topology_record
+from pagewright.sources import evaluation_record, nested, topology_record
 from pagewright.sources.nested import Rule, canonical_digest, nodes, strict_issues
 
 RULES = [Rule("$", "object", ("a", "d"), ("c",)), Rule("$.a", "array"), Rule("$.a[]", "object", ("n",)), Rule("$.a[].n", "integer", least=2, most=9), Rule("$.d", "number", above=1), Rule("$.c", "string", allowed=("x", "y"))]
@@ -196,3 +196,21 @@ def test_odd_patterns_and_spelt_numbers_are_judged_as_before(spark):
     rules = [Rule("$", "object", ("a", "b")), Rule("$.a", "string", pattern=r"^\p{Lu}+$"), Rule("$.b", "integer", allowed=("1", "10")), Rule("$.c", "string", pattern="^x$")]
     assert told(spark, {"a": "ÄB", "b": 10}, rules) == [] and told(spark, {"a": "äb", "b": 2}, rules) == [("$.a", "bad_format"), ("$.b", "not_allowed")]
     assert told(spark, '{"a":"A","b":1,"c":"x"}', rules) == [("$.c", "unknown_field")] and told(spark, "1" * 1001, rules) == [("$", "not_json")]
+
+
+def test_references_are_read_without_being_written(spark):
+    """Texts and issues of references and reports were written out, and every value was a row; now each side is one pass over the texts."""
+    element = {"id": "e1", "type": "text", "page_number": 1}
+    edge = {"kind": "adjacency", "source": "e1", "target": "e2"}
+    whole = {"reference_id": "r", "ir_version": "1", "reviewed": True, "elements": [element, element | {"id": "e2", "bbox": None}], "relationships": [edge], "essential_text_anchors": ["a"]}
+    texts = [whole, whole | {"elements": [element, element]}, whole | {"relationships": [edge, edge, edge | {"target": "e1"}]}, whole | {"elements": [element | {"page_number": 0}]}, "{"]
+    parts = evaluation_record.read_references(frame(spark, *texts))
+    assert [(r.doc_id, r["index"], r.ref) for r in parts[1].orderBy("index").collect()] == [(0, 0, "e1"), (0, 1, "e2")] and [len(p.collect()) for p in (parts[0], parts[2], parts[3])] == [1, 1, 1]
+    assert sorted((r.doc_id, r.path, r.code) for r in parts[4].collect()) == [
+        (1, "$.elements", "duplicate_id"), (2, "$.relationships", "duplicate_relationship"), (2, "$.relationships[2]", "one_end"), (3, "$.elements[0].page_number", "out_of_range"), (4, "$", "not_json"),
+    ]
+    report = {"reference_id": "r", "overall_score": 1, "components": [], "elements": {"matched": [], "missing": [], "unexpected": []}, "hard_gates": [], "state": "pass", "reasons": [], "required_human_checks": []}
+    typed, issues = evaluation_record.read_reports(frame(spark, report, report | {"state": "odd"}))
+    assert [(r.doc_id, r.report.state) for r in typed.collect()] == [(0, "pass")] and [(r.doc_id, r.code) for r in issues.collect()] == [(1, "not_allowed")]
+    for d in (*parts, typed, issues):
+        assert not any(x in plan_of(d) for x in ("Join", "Exchange", "FileScan"))

@@ -332,3 +332,14 @@ def test_exclusive_makes_no_pairs(spark):
     every = assign.in_every(tokens, regions, ["page"], Box.of(), Box("rx", "ry", "rw", "rh"))
     assert sorted((r.k, r.no) for r in every.collect()) == [(1, 3), (1, 7), (1, 9), (2, 3), (2, 7)]
     assert "Window" not in held._jdf.queryExecution().executedPlan().toString()
+
+
+def test_line_rectangles_moves_no_edges(spark):
+    """Edges were rows, sorted and joined four times; now a page is one row. The most confident, longest, first line covers an edge, unknown confidences last."""
+    contours = spark.createDataFrame([(1, "a", 1.0, 1.0, 99.0, 49.0, 4851.0), (1, "b", 2.0, 0.0, 99.0, 50.0, 2500.0), (1, "c", 0.0, 0.0, 99.0, 11.0, 1089.0), (2, "d", 0.0, 0.0, 99.0, 50.0, 4950.0)], "page int, ref string, x double, y double, w double, h double, area double")
+    rows = [(1, "l1", False, 0.0, 0.0, 50.0, 0.2), (1, "l2", False, 100.0, 0.0, 50.0, 1.0), (1, "l3", True, 0.0, 0.0, 100.0, 1.0), (1, "l4", True, 50.0, 0.0, 100.0, None), (1, "l5", True, 50.0, -1.0, 100.0, 0.4), (1, "l6", False, 1.0, -2.0, 52.0, 0.2), (2, "l7", False, 0.0, 0.0, 50.0, 1.0)]
+    lines = spark.createDataFrame(rows, "page int, ref string, level boolean, at double, start double, end double, conf double")
+    found = topology.line_rectangles(contours, lines, ["page"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join ") == 1 and "Window" not in plan
+    assert [tuple(r) for r in found.collect()] == [(1, 1.0, 0.0, 100.0, 51.0, round(0.55 * (0.2 + 1 + 1 + 0.4) / 4 + 0.45, 6))]

@@ -7,6 +7,7 @@ import time
 import pytest
 
 from pagewright.functions import matching
+from pagewright.operators import match
 from tests.conftest import SF
 
 
@@ -41,3 +42,12 @@ def test_line_differences_works_out_no_distances(spark):
 
     plan = tokens.line_differences(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "levenshtein" not in plan.lower()
+
+
+def test_greedy_matching_is_one_walk(spark):
+    """Rounds were written and joined until nothing was left; settled apart by type, the choice is the same."""
+    pairs = spark.createDataFrame([(1, "t", "a", "x", 0.9), (1, "t", "a", "y", 0.9), (1, "t", "b", "x", 0.9), (1, "t", "b", "y", 0.1), (1, "u", "c", "z", 0.5), (2, "t", "a", "x", 0.2)], "page int, type string, a string, b string, s double")
+    for within in ([], ["type"]):
+        won = match.greedy_match(pairs, ["page"], "a", "b", "s", 0.1, within)
+        assert "FileScan" not in won._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(r) for r in won.collect()) == [(1, "t", "a", "x", 0.9), (1, "t", "b", "y", 0.1), (1, "u", "c", "z", 0.5), (2, "t", "a", "x", 0.2)]
